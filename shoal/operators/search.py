@@ -280,10 +280,14 @@ def query_response_nested(response: DataFrame) -> DataFrame:
     names = {"id": "ids", "document": "documents", "metadata": "metadatas", "distance": "distances"}
     return ordered.select(
         "query_id",
-        *[F.transform("_hits", lambda h, f=f: h["hit"][f]).alias(names.get(f, f)) for f in fields],
+        *[_field("_hits", f).alias(names.get(f, f)) for f in fields],
     )
 
 
+def _field(hits: str, name: str):
+    return F.transform(hits, lambda h: h["hit"][name])
+
+
 def _by_rank(rows):
     return F.array_sort(rows, lambda a, b: (a["rank"] - b["rank"]).cast("int"))
 

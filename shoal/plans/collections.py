@@ -11,7 +11,7 @@ from shoal.operators.catalog import require_resolved, resolve_collection, resolv
 from shoal.operators.embed import Embedder, embed_documents, require_embedder
 from shoal.operators.ingest import import_records
 from shoal.operators.search import DEFAULT_RESULTS, query_frame, query_texts
-from shoal.operators.upsert import insert_if_absent, with_generated_ids
+from shoal.operators.upsert import first_wins, unmatched, with_generated_ids
 from shoal.schemas import DEFAULT_DATABASE, DEFAULT_TENANT
 from shoal.sources.jsonl import read_jsonl
 from shoal.sources.store import current_records, list_records, next_epoch, write_epoch
@@ -86,11 +86,10 @@ def add_documents(
     named = with_generated_ids(documents, run_ns)
     if "position" not in named.columns:
         named = named.withColumn("position", F.lit(0).cast("long"))
-    rows = embed_documents(named, embedder).withColumns({
-        "collection_id": F.lit(target),
-        "metadata": F.lit(None).cast("variant"),
-    })
-    return insert_if_absent(current, rows, order=("position",))
+    rows = named.withColumns({"collection_id": F.lit(target), "metadata": F.lit(None).cast("variant")})
+    # Only what is new gets embedded.
+    added = embed_documents(unmatched(first_wins(rows), current), embedder)
+    return current.unionByName(added.select(*current.columns))
 
 
 def query_collection(
