@@ -7,21 +7,22 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 # A lookup table is broadcast only if it is proven to stay below both bounds.
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 100_000
 BROADCAST_BYTES = 32 * 1024 * 1024
 SALTS = 16
 
 
-def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+def fits_broadcast(df: DataFrame, rows: int | None = None, size: int | None = None) -> bool:
     """Count the rows and text bytes of `df`, reading no further than the bound."""
+    rows = BROADCAST_ROWS if rows is None else rows
+    size = BROADCAST_BYTES if size is None else size
     text = sum(
         (F.coalesce(F.octet_length(c), F.lit(0)) for c, t in df.dtypes if t == "string"),
         F.lit(16 * len(df.columns)),
     )
-    seen = df.limit(rows + 1).agg(
-        F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(text), F.lit(0)).alias("bytes")
-    ).first()
-    return seen["rows"] <= rows and seen["bytes"] <= size
+    # A limit that is collected reads partitions only until it is filled.
+    seen = df.select(text.alias("bytes")).limit(rows + 1).collect()
+    return len(seen) <= rows and sum(r["bytes"] for r in seen) <= size
 
 
 def lookup_join(rows: DataFrame, table: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:

@@ -66,7 +66,8 @@ class NearestRecords:
             self._update_block(slice(start, min(start + step, self.count)), ids, exact, scaled, squares)
 
     def _update_block(self, block: slice, ids, exact, scaled, squares) -> None:
-        dots = self._scaled[block] @ scaled.T
+        with np.errstate(over="ignore", invalid="ignore"):
+            dots = self._scaled[block] @ scaled.T
         own = self._squares[block]
         slack = self.error * (own[:, None] + squares[None, :])
         if self.metric == "l2":

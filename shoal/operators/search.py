@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types a
 
 from shoal.functions.vectors import check_metric, format_distance
 from shoal.operators.embed import Embedder, embed_documents
+from shoal.operators.lookup import fits_broadcast
 from shoal.operators.nearest import NearestRecords
-from shoal.session import ship_package
+from shoal.session import ship_package, stage
 
 DEFAULT_RESULTS = 5
 ZERO_RESULTS = 3
@@ -91,19 +92,22 @@ def knn(
     ship_package(records.sparkSession)
     records = records.select(F.col(id_col).alias("id"), F.col(vector_col).alias("embedding"))
     queries = queries.select(F.col(query_id_col).alias("query_id"), F.col(query_vector_col).alias("embedding"))
-    queries = queries.where(F.col("embedding").isNotNull())
     if method not in ("auto", "matrix", "blocked"):
         raise ValueError(f"unknown method {method!r}")
-    if method != "blocked":
-        head = queries.limit(BROADCAST_QUERIES + 1).toArrow()
-        fits = head.num_rows <= BROADCAST_QUERIES and head.nbytes <= BROADCAST_BYTES
-        if fits:
+    if method != "blocked" and few_queries(queries):
+        head = queries.toArrow()
+        if head.nbytes <= BROADCAST_BYTES:
             return _merge_candidates(_matrix_candidates(records, queries, head, k, metric), k)
-        if method == "matrix":
-            raise ValueError("too many queries to broadcast; use method='blocked'")
+    if method == "matrix":
+        raise ValueError("too many queries to broadcast; use method='blocked'")
     return _merge_candidates(_blocked_candidates(records, queries, k, metric), k)
 
 
+def few_queries(queries: DataFrame) -> bool:
+    """Whether the queries are within the bound for a broadcast, by counting up to it."""
+    return len(queries.select(F.lit(1)).limit(BROADCAST_QUERIES + 1).collect()) <= BROADCAST_QUERIES
+
+
 def _to_matrix(lists: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
     if isinstance(lists, pa.ChunkedArray):
         lists = lists.combine_chunks()
@@ -150,6 +154,7 @@ def _matrix_candidates(
     records: DataFrame, queries: DataFrame, head: pa.Table, k: int, metric: str
 ) -> DataFrame:
     schema = _candidate_schema(records, queries)
+    head = head.filter(head["embedding"].is_valid())
     if head.num_rows == 0:
         return records.sparkSession.createDataFrame([], schema)
     widths = set(head["embedding"].combine_chunks().value_lengths().to_pylist())
@@ -189,6 +194,7 @@ def _blocked_candidates(
     past them, so a task holds one query block and one Arrow batch.
     """
     spark = records.sparkSession
+    queries = queries.where(F.col("embedding").isNotNull())
     first = queries.select(F.size("embedding").alias("dim")).first()
     schema = _candidate_schema(records, queries)
     if first is None:
@@ -264,11 +270,16 @@ def query_response(
     """Hits in long form with the asked-for columns of the records they point at.
 
     `max_hits` is a proven bound of the number of hits; within BROADCAST_HITS
-    they are broadcast and the records are scanned in place.
+    they are broadcast and the records are scanned in place. Without one the
+    hits are staged, so that their size decides before any record is moved.
     """
     wanted = [c for c in include if c in records.columns]
-    side = F.broadcast(hits) if max_hits is not None and max_hits <= BROADCAST_HITS else hits
-    joined = records.select("id", *wanted).join(side, "id")
+    if max_hits is None:
+        hits = stage(hits, "hits")
+        small = fits_broadcast(hits, BROADCAST_HITS)
+    else:
+        small = max_hits <= BROADCAST_HITS
+    joined = records.select("id", *wanted).join(F.broadcast(hits) if small else hits, "id")
     return joined.select("query_id", "rank", "id", *wanted, "distance")
 
 
@@ -306,16 +317,26 @@ def query_frame(spark: SparkSession, texts: list[str]) -> DataFrame:
     return spark.createDataFrame(list(enumerate(texts)), "query_id int, text string")
 
 
+def search_records(
+    records: DataFrame,
+    queries: DataFrame,
+    n_results: int = DEFAULT_RESULTS,
+    metric: str = "l2",
+    include: tuple[str, ...] = ("document", "metadata"),
+) -> DataFrame:
+    """Answer vector queries (`query_id`, `embedding`) over one collection, in long form."""
+    k = result_count(n_results)
+    bound = BROADCAST_QUERIES * k if few_queries(queries) else None
+    return query_response(knn(records, queries, k, metric), records, bound, include)
+
+
 def query_texts(
     records: DataFrame,
     queries: DataFrame,
     embedder: Embedder | None,
     n_results: int = DEFAULT_RESULTS,
     metric: str = "l2",
-    method: str = "auto",
 ) -> DataFrame:
-    """Answer text queries over one collection's records, in long form."""
-    k = result_count(n_results)
+    """Answer text queries (`query_id`, `text`) over one collection's records, in long form."""
     embedded = embed_documents(queries, embedder, id_col="query_id", text_col="text")
-    hits = knn(records, embedded, k, metric, method=method)
-    return query_response(hits, records)
+    return search_records(records, embedded, n_results, metric)

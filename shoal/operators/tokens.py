@@ -17,7 +17,7 @@ from shoal.functions.tokens import (
     tokenize_words,
     word_mask,
 )
-from shoal.operators.lookup import BROADCAST_ROWS, fits_broadcast, lookup_join
+from shoal.operators.lookup import fits_broadcast, lookup_join
 from shoal.session import ship_package
 
 
@@ -42,7 +42,7 @@ def encode_tokens(
     id_col: str = "id",
     text_col: str = "document",
     max_length: int = MAX_LENGTH,
-    max_vocabulary: int = BROADCAST_ROWS,
+    max_vocabulary: int | None = None,
 ) -> DataFrame:
     """Add `input_ids`, `attention_mask` and `token_type_ids` of fixed length.
 
@@ -66,7 +66,7 @@ def encode_tokens(
 
 def _lookup_in_batches(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
     ship_package(words.sparkSession)
-    table = vocabulary.select("token", F.col("token_id").cast("int").alias("token_id")).toArrow()
+    table = vocabulary.select("token", F.col("token_id").cast("int").alias("token_id")).toArrow()  # within the bound
     shared = words.sparkSession.sparkContext.broadcast(
         (table["token"].combine_chunks(), np.append(table["token_id"].to_numpy(), UNKNOWN_ID).astype(np.int32))
     )

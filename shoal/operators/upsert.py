@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from shoal.functions.ids import generated_id, hash_id
+from shoal.operators.lookup import fits_broadcast
 from shoal.operators.ordering import with_position
 
 RECORD_KEYS = ("collection_id", "id")
@@ -31,8 +32,19 @@ def first_wins(df: DataFrame, keys: Sequence[str] = RECORD_KEYS, order: Sequence
 
 
 def unmatched(rows: DataFrame, others: DataFrame, keys: Sequence[str] = RECORD_KEYS) -> DataFrame:
-    """Rows whose key does not occur in `others`; only the keys of `others` travel."""
-    return rows.join(others.select(*keys), list(keys), "left_anti").select(*rows.columns)
+    """Rows whose key does not occur in `others`; only the keys of `others` travel.
+
+    Keys of `others` within the bound are broadcast, so that `rows` stay where
+    they are. If instead the keys of `rows` are within it, they first pick
+    their matches out of `others`, which then stays where it is.
+    """
+    keys = list(keys)
+    found = others.select(*keys)
+    if fits_broadcast(found):
+        found = F.broadcast(found)
+    elif fits_broadcast(rows.select(*keys)):
+        found = found.join(F.broadcast(rows.select(*keys)), keys, "left_semi")
+    return rows.join(found, keys, "left_anti").select(*rows.columns)
 
 
 def upsert(

@@ -226,7 +226,7 @@ ORACLES: dict[str, str] = {
     "list_databases": "SELECT DISTINCT lang AS id, lang AS name, 'default_tenant' AS tenant FROM documents",
     "list_collections": f"SELECT * FROM ({REGISTRY}) WHERE database = 'de'",
     "describe_collections": f"""
-      SELECT r.id, r.name, r.tenant, r.database, CAST(CASE WHEN s.lo = s.hi THEN s.lo END AS INTEGER) AS dimension,
+      SELECT r.id, r.name, r.tenant, r.database, CAST(CASE WHEN s.lo = s.hi THEN s.lo ELSE 0 END AS INTEGER) AS dimension,
              coalesce(s.records, 0) AS records
       FROM ({REGISTRY}) r LEFT JOIN (
         SELECT d.lang, d.source, count(*) AS records, min(len(e.embedding)) AS lo, max(len(e.embedding)) AS hi
@@ -290,7 +290,7 @@ ORACLES: dict[str, str] = {
     """,
     "query_response_nested": f"""
       SELECT h.query_id, string_agg(CAST(h.id AS VARCHAR), ',' ORDER BY h.rank) AS ids,
-             string_agg(d.source, ',' ORDER BY h.rank) AS documents, CAST(count(*) AS INTEGER) AS n
+             sha256(string_agg(d.text, ',' ORDER BY h.rank)) AS documents, CAST(count(*) AS INTEGER) AS n
       FROM ({BENCHMARK_HITS}) h JOIN documents d ON h.id = d.doc_id GROUP BY h.query_id
     """,
     "format_distances": f"SELECT query_id, rank, printf('%.4f', dist) AS shown FROM ({_knn(L2)})",

@@ -74,9 +74,20 @@ def shared_dir(spark: SparkSession) -> str:
     return fallback
 
 
+_scratch: list[str] = []
+
+
 def scratch_path(spark: SparkSession, purpose: str) -> str:
     """A new, unused path below the shared folder."""
-    return f"{shared_dir(spark)}/shoal/{purpose}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/shoal/{purpose}-{uuid.uuid4().hex}"
+    _scratch.append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete what this process staged; call it once no DataFrame needs it any more."""
+    while _scratch:
+        remove_path(spark, _scratch.pop())
 
 
 def stage(df: DataFrame, purpose: str) -> DataFrame:

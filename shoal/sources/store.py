@@ -1,17 +1,23 @@
 """Record tables on a shared file system.
 
-Parquet cannot replace single rows, so writes go to a log: every write is a new
-``epoch=<n>`` folder, partitioned by collection, and the current state is the
-last row per id over all epochs. `compact` folds the log into one epoch.
+Parquet cannot replace single rows, so a table is a folder of epochs, each
+partitioned by collection:
+
+``delta/epoch=<n>``  the rows of one write, in order of n;
+``base/epoch=<n>``   one row per id, covering every delta up to n.
+
+The current state is the newest base, less the ids the later deltas hold, plus
+the last row per id of those deltas. As long as the deltas are small the base
+is scanned in place, without a shuffle. Only folders whose write was finished
+are read.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from shoal.functions.ids import hash_id
-from shoal.operators.upsert import last_wins
-from shoal.schemas import LOG_ORDER, LOG_RECORD
+from shoal.operators.upsert import last_wins, unmatched
+from shoal.schemas import LOG_ORDER, LOG_RECORD, RECORD
 from shoal.session import remove_path
 
 
@@ -23,28 +29,70 @@ def _conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     ])
 
 
-def write_epoch(records: DataFrame, path: str, epoch: int) -> None:
-    """Write one epoch of the log; writing it again replaces it.
+def _write(rows: DataFrame, path: str) -> None:
+    # Rebalancing splits a collection that holds most rows over several files
+    # and packs small collections together.
+    rows.hint("rebalance", "collection_id").write.mode("overwrite").partitionBy("collection_id").parquet(path)
 
-    The rebalance hint lets Spark split a collection that holds most rows over
-    several files and pack small ones together.
-    """
+
+def write_epoch(records: DataFrame, path: str, epoch: int) -> None:
+    """Write one delta; writing the same epoch again replaces it."""
     fields = [f for f in LOG_RECORD.fields if f.name != "epoch"]
-    rows = _conform(records, T.StructType(fields)).hint("rebalance", "collection_id")
-    rows.write.mode("overwrite").partitionBy("collection_id").parquet(f"{path}/epoch={epoch}")
+    _write(_conform(records, T.StructType(fields)), f"{path}/delta/epoch={epoch}")
+
+
+def _finished(spark: SparkSession, folder: str) -> list[int]:
+    """Epochs below a folder whose write was finished."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(target):
+        return []
+    found = []
+    for status in fs.listStatus(target):
+        name = status.getPath().getName()
+        if name.startswith("epoch=") and fs.exists(jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")):
+            found.append(int(name.removeprefix("epoch=")))
+    return sorted(found)
+
+
+def epochs(spark: SparkSession, path: str) -> tuple[int | None, list[int]]:
+    """The newest base and the deltas after it."""
+    base = max(_finished(spark, f"{path}/base"), default=None)
+    deltas = _finished(spark, f"{path}/delta")
+    return base, [e for e in deltas if base is None or e > base]
 
 
-def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """Every row ever written, with the columns that order it."""
-    return spark.read.schema(LOG_RECORD).parquet(path)
+def next_epoch(spark: SparkSession, path: str) -> int:
+    base, deltas = epochs(spark, path)
+    return max([*deltas, -1 if base is None else base]) + 1
+
+
+def _read(spark: SparkSession, path: str, kind: str, numbers: list[int], schema: T.StructType) -> DataFrame:
+    if not numbers:
+        return spark.createDataFrame([], schema)
+    reader = spark.read.schema(schema).option("basePath", f"{path}/{kind}")
+    return reader.parquet(*[f"{path}/{kind}/epoch={n}" for n in numbers]).select(*schema.names)
+
+
+def read_deltas(spark: SparkSession, path: str) -> DataFrame:
+    """Every row written since the newest base, with the columns that order it."""
+    return _read(spark, path, "delta", epochs(spark, path)[1], LOG_RECORD)
 
 
 def current_records(spark: SparkSession, path: str, collection_id: str | None = None) -> DataFrame:
     """The last row per id; one collection's folders only, if one is named."""
-    log = read_log(spark, path)
+    base_epoch, delta_epochs = epochs(spark, path)
+    base = _read(spark, path, "base", [] if base_epoch is None else [base_epoch], RECORD)
+    deltas = _read(spark, path, "delta", delta_epochs, LOG_RECORD)
     if collection_id is not None:
-        log = log.where(F.col("collection_id") == collection_id)
-    return last_wins(log, order=LOG_ORDER).drop(*LOG_ORDER)
+        base, deltas = (df.where(F.col("collection_id") == collection_id) for df in (base, deltas))
+    latest = last_wins(deltas, order=LOG_ORDER).select(*RECORD.names)
+    if base_epoch is None:
+        return latest
+    if not delta_epochs:
+        return base
+    return unmatched(base, deltas).unionByName(latest)
 
 
 def list_records(records: DataFrame, collection_id: str) -> DataFrame:
@@ -52,36 +100,19 @@ def list_records(records: DataFrame, collection_id: str) -> DataFrame:
     return records.where(F.col("collection_id") == collection_id).select("id", "document", "metadata")
 
 
-def epochs(spark: SparkSession, path: str) -> list[int]:
-    """Numbers of the epochs that are in the log."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(target):
-        return []
-    names = [status.getPath().getName() for status in fs.listStatus(target)]
-    return sorted(int(n.removeprefix("epoch=")) for n in names if n.startswith("epoch="))
-
-
-def next_epoch(spark: SparkSession, path: str) -> int:
-    return max(epochs(spark, path), default=-1) + 1
-
-
-def compact(spark: SparkSession, path: str) -> int:
-    """Fold all epochs into a new one and drop them; returns the new epoch.
+def compact(spark: SparkSession, path: str) -> int | None:
+    """Fold base and deltas into a new base and drop what it covers; returns its epoch.
 
-    The new epoch holds the current rows and outranks the old ones, so a stop
-    between writing and dropping leaves the current state as it was.
+    Readers take the newest finished base, so a stop at any point leaves the
+    current state as it was.
     """
-    old = epochs(spark, path)
-    fresh = max(old, default=-1) + 1
-    write_epoch(current_records(spark, path), path, fresh)
-    for epoch in old:
-        remove_path(spark, f"{path}/epoch={epoch}")
-    return fresh
-
-
-def with_content_ids(df: DataFrame, text_col: str = "document") -> DataFrame:
-    """Content-hash ids where none is given."""
-    given = F.col("id") if "id" in df.columns else F.lit(None).cast("string")
-    return df.withColumn("id", F.coalesce(given, hash_id(F.col(text_col))))
+    base, deltas = epochs(spark, path)
+    if not deltas:
+        return base
+    covered = deltas[-1]
+    _write(current_records(spark, path), f"{path}/base/epoch={covered}")
+    for kind in ("base", "delta"):
+        for epoch in _finished(spark, f"{path}/{kind}"):
+            if epoch < covered or (kind == "delta" and epoch == covered):
+                remove_path(spark, f"{path}/{kind}/epoch={epoch}")
+    return covered

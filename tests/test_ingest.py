@@ -1,0 +1,149 @@
+"""One case per rule of the JSON-lines import."""
+
+from __future__ import annotations
+
+import pytest
+from pyspark.sql import functions as F
+
+from plan import simple
+from shoal.operators import ingest
+from shoal.sources.jsonl import read_jsonl
+
+HASH_OF_NO_ID = "745677f0e14bf1bdd94d58d8"
+
+
+def lines(spark, *values):
+    return spark.createDataFrame([(v, i) for i, v in enumerate(values)], "value string, n int").coalesce(1)
+
+
+def imported(spark, *values, **options):
+    records = ingest.import_records(lines(spark, *values), order_by=("n",), **options)
+    return [(r.id, r.document, r.m) for r in records.withColumn("m", F.col("metadata").cast("string")).orderBy("n").collect()]
+
+
+@pytest.mark.parametrize(
+    "line, expected",
+    [
+        ('{"id":"a","text":"x"}', ("a", "x")),
+        ('{"id":1234567,"text":"x"}', ("1234567", "x")),
+        ('{"id":9007199254740993,"text":"x"}', ("9007199254740993", "x")),
+        ('{"text":"no id"}', (HASH_OF_NO_ID, "no id")),
+        ('{"id":null,"text":"no id"}', (HASH_OF_NO_ID, "no id")),
+        ('{"id":"","text":"x"}', ("", "x")),
+        ('{"id":"e","text":""}', ("e", "")),
+        ('{"id":1,"id":2,"text":"d"}', ("2", "d")),
+        ('  {"id":"a","text":"x"} \r', ("a", "x")),
+        ('{"id":"b","text":true}', ("b", "true")),
+        ('{"id":"q\\"uote","text":"tab\\tand \\u00e9"}', ('q"uote', "tab\tand é")),
+    ],
+)
+def test_accepted_lines(spark, line, expected):
+    assert [r[:2] for r in imported(spark, line)] == [expected]
+
+
+@pytest.mark.parametrize(
+    "line, reason",
+    [
+        ('{"id":"n","text":null}', "no_content"),
+        ('{"id":"n"}', "no_content"),
+        ('{"id":"n","Text":"x"}', "no_content"),
+        ("{}", "no_content"),
+        ("", "malformed"),
+        ("bad{", "malformed"),
+        ("[1,2]", "malformed"),
+        ("null", "malformed"),
+        ("3", "malformed"),
+        ('{"text":"x"} x', "malformed"),
+        ('{"text":"x"},{"text":"y"}', "malformed"),
+        ('{"text":"x"}{"text":"y"}', "malformed"),
+        ('{"text":"x"}] [{"b":1}', "malformed"),
+        ('{"text":"x"},null', "malformed"),
+        ('{"text":"x"},"b":{"c":1}', "malformed"),
+        ("{'text':'x'}", "malformed"),
+        ('{"text":"x","n":1e400}', "malformed"),
+        ('{"text":"x","n":' + "9" * 250 + "e99}", "malformed"),
+        ('{"text":"' + "z" * (1024 * 1024) + '"}', "line_too_long"),
+    ],
+)
+def test_rejected_lines(spark, line, reason):
+    assert imported(spark, line) == []
+    assert [r.reason for r in ingest.rejected_records(lines(spark, line)).collect()] == [reason]
+
+
+def test_number_like_text_is_not_a_number(spark):
+    assert [r[1] for r in imported(spark, '{"text":"1e400 ' + "7" * 300 + '"}')] == ["1e400 " + "7" * 300]
+    nested = '{"id":"a","text":"x","o":[{"b":[{"c":1e300}]}]}'
+    assert [r[0] for r in imported(spark, nested)] == ["a"]
+
+
+def test_long_line_does_not_stop_the_import(spark):
+    long = '{"text":"' + "z" * (1024 * 1024) + '"}'
+    assert [r[0] for r in imported(spark, '{"id":"a","text":"x"}', long, '{"id":"b","text":"y"}')] == ["a", "b"]
+
+
+@pytest.mark.parametrize(
+    "key, line, documents",
+    [
+        ("m.t", '{"m":{"t":"x"}}', ["x"]),
+        ("m.0", '{"m":["x"]}', []),
+        ("m.t", '{"m.t":"x"}', []),
+        ("m.t.u", '{"m":{"t":"x"}}', []),
+        ("", '{"text":"default key"}', ["default key"]),
+        ("it's", '{"it\'s":"quoted"}', ["quoted"]),
+        ("a'b\"c", '{"a\'b\\"c":"both"}', ["both"]),
+        ("a.", '{"a":{"":"empty"}}', ["empty"]),
+    ],
+)
+def test_content_paths(spark, key, line, documents):
+    assert [r[1] for r in imported(spark, line, content_key=key)] == documents
+
+
+@pytest.mark.parametrize(
+    "options, line, metadata",
+    [
+        ({"all_metadata": True}, '{"id":"a","text":"x","k":null,"o":{"p":1}}', '{"k":null,"o":{"p":1}}'),
+        ({"all_metadata": True, "id_key": "m.id"}, '{"m":{"id":"a"},"text":"x"}', '{"m":{"id":"a"}}'),
+        ({"all_metadata": True, "metadata_keys": ["id"]}, '{"id":"a","text":"x","k":1}', '{"k":1}'),
+        ({"metadata_keys": ["k", "zz"]}, '{"text":"x","k":1}', '{"k":1}'),
+        ({"metadata_keys": ["k"]}, '{"text":"x","k":null}', '{"k":null}'),
+        ({"metadata_keys": ["text", "id"]}, '{"id":"a","text":"x"}', '{"id":"a","text":"x"}'),
+        ({"metadata_keys": ["o.p"]}, '{"text":"x","o":{"p":1}}', "{}"),
+        ({}, '{"text":"x","k":1}', "{}"),
+    ],
+)
+def test_metadata(spark, options, line, metadata):
+    assert [r[2] for r in imported(spark, line, **options)] == [metadata]
+
+
+def test_id_path_is_nested(spark):
+    assert imported(spark, '{"m":{"id":7},"text":"x"}', id_key="m.id")[0][0] == "7"
+
+
+def test_limit_counts_accepted_records_only(spark):
+    values = ["bad{"] + [f'{{"id":"{i}","text":"t"}}' for i in range(2, 6)]
+    assert [r[0] for r in imported(spark, *values, n_ingest=2)] == ["2", "3"]
+    assert len(imported(spark, *values, n_ingest=0)) == 4
+    assert len(imported(spark, *values, n_ingest=-1)) == 4
+
+
+def test_file_lines_end_at_newline_only(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_bytes(b'{"id":"1","text":"x"}\r\n{"id":"2","text":"a\rb"}\n{"id":"3","text":"y"}')
+    lines = read_jsonl(spark, str(tmp_path))
+    records = ingest.import_records(lines).orderBy(*ingest.SOURCE_ORDER)
+    assert [r.id for r in records.collect()] == ["1", "3"]
+    assert ingest.rejected_records(lines).count() == 1
+
+
+def test_limit_follows_file_order(spark, tmp_path):
+    for name, count in (("a", 3), ("b", 400)):
+        text = "\n".join(f'{{"id":"{name}{i:03d}","text":"t"}}' for i in range(count))
+        (tmp_path / f"{name}.jsonl").write_text(text)
+    records = ingest.import_records(read_jsonl(spark, str(tmp_path)), n_ingest=5)
+    assert sorted(r.id for r in records.collect()) == ["a000", "a001", "a002", "b000", "b001"]
+
+
+def test_each_line_is_parsed_once(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"id":"1","text":"x"}')
+    plan = simple(ingest.import_records(read_jsonl(spark, str(tmp_path)), all_metadata=True))
+    assert plan.count("parseJson(concat([") == 1
+    assert "Exchange" not in plan
