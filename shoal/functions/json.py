@@ -13,7 +13,8 @@ from shoal.functions.binding import let
 STARTS_AS_OBJECT = r"^\s*\{"
 CLOSES_EARLY = r"\}\s*\]"
 STRING_LITERAL = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
-HUGE_NUMBER = r"[0-9][eE]\+?[0-9]{3}|[0-9]{200}"
+HUGE_EXPONENT = r"[0-9][eE]\+?[0-9]{3}"
+HUGE_MANTISSA = r"[0-9]{200}"
 NUMBER = r"-?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?"
 
 # The scanner of the ingest format gives up on a line that fills 1 MiB.
@@ -44,11 +45,12 @@ def sole_object(value: Column, in_array: Column) -> Column:
         F.regexp_extract_all(bare, F.lit(NUMBER), 0),
         lambda n: F.abs(n.try_cast("double")) == F.lit(float("inf")),
     )
+    maybe_huge = value.rlike(HUGE_EXPONENT) | value.rlike(HUGE_MANTISSA)
     return F.when(
         value.rlike(STARTS_AS_OBJECT)
         & F.try_variant_get(in_array, "$[1]", "variant").isNull()
         & F.when(value.rlike(CLOSES_EARLY), in_object.isNotNull()).otherwise(F.lit(True))
-        & F.when(value.rlike(HUGE_NUMBER), ~overflows).otherwise(F.lit(True)),
+        & F.when(maybe_huge, ~overflows).otherwise(F.lit(True)),
         F.try_variant_get(in_array, "$[0]", "variant"),
     )
 

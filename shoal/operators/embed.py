@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from shoal.functions.binding import with_computed
 from shoal.functions.vectors import hashing_embedding
 from shoal.session import ship_package
 
@@ -166,4 +167,4 @@ def embed_documents(
 
 def hashing_embed(df: DataFrame, dim: int, *, text_col: str = "document", out_col: str = "embedding") -> DataFrame:
     """The hashing stand-in as a plain column expression, without Python workers."""
-    return df.withColumn(out_col, hashing_embedding(F.col(text_col), dim))
+    return with_computed(df, **{out_col: hashing_embedding(F.col(text_col), dim)})

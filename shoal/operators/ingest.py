@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from shoal.functions.binding import with_computed
 from shoal.functions.ids import choose_id
 from shoal.functions.json import (
     LINE_LIMIT_BYTES,
@@ -31,27 +32,22 @@ def classify_lines(lines: DataFrame, content_key: str = CONTENT_KEY) -> DataFram
     """Add `record` (VARIANT), `content`, `reason` and `line_seq` to every line.
 
     `reason` is NULL for an accepted line, else ``line_too_long``, ``malformed``
-    or ``no_content``. `line_seq` grows along each input block; being
-    non-deterministic for the optimizer it also keeps later filters from being
-    pushed below the parse, which would run it twice.
+    or ``no_content``. `line_seq` grows along each input block.
     """
     allow_duplicate_keys(lines.sparkSession)
     too_long = F.octet_length("value") >= LINE_LIMIT_BYTES
-    parsed = lines.select(
-        "*",
+    parsed = with_computed(lines, _parsed=F.when(~too_long, parse_in_array(F.col("value"))))
+    checked = with_computed(parsed, record=sole_object(F.col("value"), F.col("_parsed")))
+    return checked.select(
+        *lines.columns,
         F.monotonically_increasing_id().alias("line_seq"),
-        F.when(~too_long, parse_in_array(F.col("value"))).alias("_parsed"),
-    )
-    return (
-        parsed.select("*", sole_object(F.col("value"), F.col("_parsed")).alias("record"))
-        .drop("_parsed")
-        .withColumn("content", get_nested(F.col("record"), _or_default(content_key, CONTENT_KEY), "string"))
-        .withColumn(
-            "reason",
-            F.when(too_long, F.lit("line_too_long"))
-            .when(F.col("record").isNull(), F.lit("malformed"))
-            .when(F.col("content").isNull(), F.lit("no_content")),
-        )
+        "record",
+        get_nested(F.col("record"), _or_default(content_key, CONTENT_KEY), "string").alias("content"),
+    ).withColumn(
+        "reason",
+        F.when(too_long, F.lit("line_too_long"))
+        .when(F.col("record").isNull(), F.lit("malformed"))
+        .when(F.col("content").isNull(), F.lit("no_content")),
     )
 
 

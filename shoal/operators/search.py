@@ -7,6 +7,7 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
@@ -38,11 +39,6 @@ def result_count(n_results: int) -> int:
     return n_results or ZERO_RESULTS
 
 
-def valid_vectors(df: DataFrame, vector_col: str, dim: int) -> DataFrame:
-    """Rows whose vector has `dim` elements; others have no distance to a query."""
-    return df.where(F.col(vector_col).isNotNull() & (F.size(vector_col) == dim))
-
-
 def top_k(pairs: DataFrame, k: int, query_col: str = "query_id", id_col: str = "id") -> DataFrame:
     """The k nearest rows of each query with their 1-based `rank`.
 
@@ -114,7 +110,15 @@ def _to_matrix(lists: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
     return lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
-def _finite(ids: pa.Array, lists: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+def _valid(ids: pa.Array, lists: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors of the records that have a distance to a query.
+
+    Checked here rather than by a filter in the plan: Spark would push that
+    below the projection and compute an embedding column twice.
+    """
+    fits = pc.fill_null(pc.equal(pc.list_value_length(lists), dim), False)
+    if not pc.all(fits).as_py():
+        ids, lists = ids.filter(fits), lists.filter(fits)
     vectors = _to_matrix(lists, dim)
     ids = ids.to_numpy(zero_copy_only=False)
     finite = np.isfinite(vectors).all(axis=1)
@@ -170,12 +174,12 @@ def _matrix_candidates(
         id_type = None
         for batch in batches:
             id_type = batch.schema.field("id").type
-            state.update(*_finite(batch["id"], batch["embedding"], dim))
+            state.update(*_valid(batch["id"], batch["embedding"], dim))
         if len(state.query):
             group = TaskContext.get().partitionId() % MERGE_GROUPS
             yield _candidate_batch(query_ids, state, id_type, group)
 
-    return valid_vectors(records, "embedding", dim).mapInArrow(search, schema)
+    return records.mapInArrow(search, schema)
 
 
 def _blocked_candidates(
@@ -220,7 +224,7 @@ def _blocked_candidates(
         F.lit(None).cast(records.schema["id"].dataType).alias("id"),
         same_width.alias("embedding"),
     )
-    record_side = valid_vectors(records, "embedding", dim).select(
+    record_side = records.select(
         every(blocks).alias("block"),
         spread("id", slices).alias("slice"),
         F.lit(1).alias("side"),
@@ -257,7 +261,7 @@ def _blocked_candidates(
                     )
                     pending = []
                 if state is not None:
-                    state.update(*_finite(run["id"], run["embedding"], dim))
+                    state.update(*_valid(run["id"], run["embedding"], dim))
         if state is not None and len(state.query):
             yield _candidate_batch(query_ids, state, id_type, int(cell // blocks) % MERGE_GROUPS)
 

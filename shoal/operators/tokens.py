@@ -17,7 +17,7 @@ from shoal.functions.tokens import (
     tokenize_words,
     word_mask,
 )
-from shoal.operators.lookup import fits_broadcast, lookup_join
+from shoal.operators.lookup import BROADCAST_BYTES, BROADCAST_ROWS, lookup_join
 from shoal.session import ship_package
 
 
@@ -52,8 +52,11 @@ def encode_tokens(
     which are then put back together per row (at most `max_length` each).
     """
     words = df.withColumn("_words", F.slice(tokenize_words(F.col(text_col)), 1, max_length))
-    if fits_broadcast(vocabulary, max_vocabulary):
-        with_ids = _lookup_in_batches(words, vocabulary)
+    bound = BROADCAST_ROWS if max_vocabulary is None else max_vocabulary
+    table = vocabulary.select("token", F.col("token_id").cast("int").alias("token_id"))
+    head = table.limit(bound + 1).toArrow()
+    if head.num_rows <= bound and head.nbytes <= BROADCAST_BYTES:
+        with_ids = _lookup_in_batches(words, head)
     else:
         with_ids = _lookup_by_join(words, vocabulary, id_col)
     return (
@@ -64,9 +67,8 @@ def encode_tokens(
     )
 
 
-def _lookup_in_batches(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
+def _lookup_in_batches(words: DataFrame, table: pa.Table) -> DataFrame:
     ship_package(words.sparkSession)
-    table = vocabulary.select("token", F.col("token_id").cast("int").alias("token_id")).toArrow()  # within the bound
     shared = words.sparkSession.sparkContext.broadcast(
         (table["token"].combine_chunks(), np.append(table["token_id"].to_numpy(), UNKNOWN_ID).astype(np.int32))
     )

@@ -17,7 +17,7 @@ from shoal.functions.tokens import attention_mask, tokenize_words
 from shoal.functions.vectors import first_token_pool, format_distance
 from shoal.operators import catalog, ingest, ordering, search, tokens, upsert
 from shoal.operators.embed import HashingEmbedder, embed_documents, hashing_embed
-from shoal.session import allow_duplicate_keys, scratch_path
+from shoal.session import allow_duplicate_keys, scratch_path, spread
 from shoal.sources.jsonl import read_jsonl
 from shoal.sources.store import current_records, list_records as records_of, write_epoch
 from shoal.streaming.importer import stream_import as start_stream
@@ -46,7 +46,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 def document_lines(spark: SparkSession, sf: str) -> DataFrame:
     """One JSON line per document."""
     line = F.struct(F.col("doc_id").alias("id"), "text", F.struct("lang", "source").alias("meta"), "n_chars")
-    return table(spark, sf, "documents").select(
+    return spread(table(spark, sf, "documents")).select(
         F.lit("documents").alias("feed"),
         F.col("doc_id").alias("key1"),
         F.lit(0).cast("long").alias("key2"),
@@ -123,7 +123,7 @@ def vector_queries(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def hashed_documents(spark: SparkSession, sf: str) -> DataFrame:
-    records = table(spark, sf, "documents").select(
+    records = spread(table(spark, sf, "documents")).select(
         F.col("doc_id").alias("id"),
         F.col("text").alias("document"),
         F.to_variant_object(F.struct("lang", "source")).alias("metadata"),
@@ -138,7 +138,7 @@ def benchmark_queries(spark: SparkSession, sf: str) -> DataFrame:
 
 def vocabulary(spark: SparkSession, sf: str) -> DataFrame:
     """Words that occur at least twice in the documents, with an id made from their hash."""
-    words = table(spark, sf, "documents").select(F.explode(tokenize_words(F.col("text"))).alias("token"))
+    words = spread(table(spark, sf, "documents")).select(F.explode(tokenize_words(F.col("text"))).alias("token"))
     number = F.conv(F.substring(F.sha2("token", 256), 1, 6), 16, 10).cast("long")
     return (
         words.groupBy("token").count().where(F.col("count") >= 2)
@@ -451,7 +451,7 @@ def create_collection(spark, sf):
 
 @query
 def tokenize_documents(spark, sf):
-    words = table(spark, sf, "documents").select("doc_id", tokenize_words(F.col("text")).alias("words"))
+    words = spread(table(spark, sf, "documents")).select("doc_id", tokenize_words(F.col("text")).alias("words"))
     return words.select("doc_id", F.size("words").alias("n"), F.sha2(F.array_join("words", " "), 256).alias("digest"))
 
 
@@ -481,7 +481,7 @@ def hashing_embed_documents(spark, sf):
 
 @query
 def embed_documents_in_workers(spark, sf):
-    documents = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("document"))
+    documents = spread(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("document")))
     rows = exploded(embed_documents(documents, HashingEmbedder(HASH_DIM)), "embedding", "id")
     return rows.withColumn("value", F.round(F.col("value").cast("double"), 6))
 

@@ -102,6 +102,18 @@ def stage(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Deal the rows of a small scan out to all cores.
+
+    A small Parquet file is one row group and so one task, which is slow for
+    steps that cost far more than moving the row. A scan that already has a
+    task per core is left alone. For plain scans only: counting the tasks of a
+    plan with shuffles would run them.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     """Delete a scratch or superseded folder through Spark's file system layer."""
     jvm = spark.sparkContext._jvm

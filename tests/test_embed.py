@@ -107,6 +107,11 @@ def test_onnx_model(spark, tmp_path):
     assert np.allclose([r.embedding for r in embed_documents(df, shipped).orderBy("id").collect()], got)
 
 
+def test_column_form_is_computed_once(texts):
+    rows = hashing_embed(texts, 8).where(F.size("embedding") == 8).select("id", F.explode("embedding"))
+    assert simple(rows).count("regexp_extract_all(") == 1
+
+
 def test_first_token_pool(spark):
     flat = spark.range(1).select(first_token_pool(F.lit([1.0, 2.0, 3.0, 4.0]), 2)).first()[0]
     assert flat == [1.0, 2.0]

@@ -144,6 +144,12 @@ def test_limit_follows_file_order(spark, tmp_path):
 
 def test_each_line_is_parsed_once(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('{"id":"1","text":"x"}')
-    plan = simple(ingest.import_records(read_jsonl(spark, str(tmp_path)), all_metadata=True))
-    assert plan.count("parseJson(concat([") == 1
-    assert "Exchange" not in plan
+    lines = read_jsonl(spark, str(tmp_path))
+    for df in (
+        ingest.import_records(lines, all_metadata=True),
+        ingest.import_records(lines).select("id"),
+        ingest.rejected_records(lines).select("reason"),
+    ):
+        plan = simple(df)
+        assert plan.count("parseJson(concat([") == 1
+        assert "Exchange" not in plan
