@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types a
 
 from shoal.functions.vectors import check_metric, format_distance
 from shoal.operators.embed import Embedder, embed_documents
-from shoal.operators.lookup import fits_broadcast
+from shoal.operators.lookup import fits_broadcast, lookup_join
 from shoal.operators.nearest import NearestRecords
 from shoal.session import ship_package, stage
 
@@ -283,7 +283,14 @@ def query_response(
         small = fits_broadcast(hits, BROADCAST_HITS)
     else:
         small = max_hits <= BROADCAST_HITS
-    joined = records.select("id", *wanted).join(F.broadcast(hits) if small else hits, "id")
+    pointed_at = records.select("id", *wanted)
+    if small:
+        joined = pointed_at.join(F.broadcast(hits), "id")
+    else:
+        # One record may be the answer to most queries: find each record once,
+        # then hand it to its hits with the skew-safe lookup.
+        needed = pointed_at.join(hits.select("id").distinct(), "id", "left_semi")
+        joined = lookup_join(hits, needed, ["id"], "inner")
     return joined.select("query_id", "rank", "id", *wanted, "distance")
 
 

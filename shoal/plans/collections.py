@@ -4,17 +4,19 @@ from __future__ import annotations
 
 import time
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shoal.operators.catalog import require_resolved, resolve_collection, resolve_or_input
 from shoal.operators.embed import Embedder, embed_documents, require_embedder
-from shoal.operators.ingest import import_records
+from shoal.operators.ingest import CONTENT_KEY, import_records, rejected_records
 from shoal.operators.search import DEFAULT_RESULTS, query_frame, query_texts
 from shoal.operators.upsert import first_wins, unmatched, with_generated_ids
 from shoal.schemas import DEFAULT_DATABASE, DEFAULT_TENANT
 from shoal.sources.jsonl import read_jsonl
-from shoal.sources.store import current_records, list_records, next_epoch, write_epoch
+from shoal.sources.sinks import write_rejected
+from shoal.sources.store import current_records, epoch_size, list_records, next_epoch, write_epoch
 
 
 def collection_id(
@@ -34,6 +36,11 @@ def collection_id(
     return require_resolved(resolve_collection(request, registry)).first()["collection_id"]
 
 
+class Imported(NamedTuple):
+    epoch: int
+    records: int
+
+
 def import_jsonl(
     spark: SparkSession,
     registry: DataFrame,
@@ -44,19 +51,23 @@ def import_jsonl(
     *,
     tenant: str = DEFAULT_TENANT,
     database: str = DEFAULT_DATABASE,
+    rejects_path: str | None = None,
     **options,
-) -> int:
-    """Import JSON lines into a collection: parse, extract, embed, upsert. Returns the epoch.
+) -> Imported:
+    """Import JSON lines into a collection: parse, extract, embed, upsert.
 
-    `options` are those of `import_records`.
+    `options` are those of `import_records`. The count is that of the accepted
+    records; with `rejects_path` the other lines are written there.
     """
     embedder = require_embedder(embedder)
     target = collection_id(registry, collection, tenant, database)
-    records = import_records(read_jsonl(spark, source), **options)
-    embedded = embed_documents(records, embedder).withColumn("collection_id", F.lit(target))
+    lines = read_jsonl(spark, source)
+    embedded = embed_documents(import_records(lines, **options), embedder)
     epoch = next_epoch(spark, log_path)
-    write_epoch(embedded, log_path, epoch)
-    return epoch
+    write_epoch(embedded.withColumn("collection_id", F.lit(target)), log_path, epoch)
+    if rejects_path:
+        write_rejected(rejected_records(lines, options.get("content_key", CONTENT_KEY)), rejects_path, epoch)
+    return Imported(epoch, epoch_size(spark, log_path, epoch))
 
 
 def add_documents(

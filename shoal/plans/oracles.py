@@ -293,5 +293,15 @@ ORACLES: dict[str, str] = {
              sha256(string_agg(d.text, ',' ORDER BY h.rank)) AS documents, CAST(count(*) AS INTEGER) AS n
       FROM ({BENCHMARK_HITS}) h JOIN documents d ON h.id = d.doc_id GROUP BY h.query_id
     """,
+    "vector_distances": f"""
+      SELECT q.id, round({L2}, 6) AS l2, round({COSINE}, 6) AS cosine, round({IP}, 6) AS ip
+      FROM (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) q
+      JOIN (SELECT vec_id - 1 AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) d ON q.id = d.id
+    """,
+    "query_display": f"""
+      SELECT h.query_id, h.rank,
+             sha256('  [' || CAST(h.rank AS VARCHAR) || '] (Dist: ) ID: ' || CAST(h.id AS VARCHAR) || chr(10) || '      Content: ' || d.text) AS digest
+      FROM ({BENCHMARK_HITS}) h JOIN documents d ON h.id = d.doc_id
+    """,
     "format_distances": f"SELECT query_id, rank, printf('%.4f', dist) AS shown FROM ({_knn(L2)})",
 }

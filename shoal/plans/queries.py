@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from shoal.functions.ids import choose_id, collection_uuid, hash_id
 from shoal.functions.json import as_map, get_nested, parse_object, stringify
 from shoal.functions.tokens import attention_mask, tokenize_words
-from shoal.functions.vectors import first_token_pool, format_distance
+from shoal.functions.vectors import distance, first_token_pool, format_distance
 from shoal.operators import catalog, ingest, ordering, search, tokens, upsert
 from shoal.operators.embed import HashingEmbedder, embed_documents, hashing_embed
 from shoal.session import allow_duplicate_keys, scratch_path, spread
@@ -538,6 +538,23 @@ def query_response_nested(spark, sf):
     )
 
 
+@query
+def vector_distances(spark, sf):
+    """Each vector and the next one, by every metric, as column expressions."""
+    left = vectors(spark, sf).withColumnRenamed("embedding", "a")
+    right = vectors(spark, sf).select((F.col("id") - 1).alias("id"), F.col("embedding").alias("b"))
+    return left.join(right, "id").select(
+        "id", *[F.round(distance(F.col("a"), F.col("b"), m), 6).alias(m) for m in ("l2", "cosine", "ip")]
+    )
+
+
+@query
+def query_display(spark, sf):
+    response = search.search_records(hashed_documents(spark, sf), benchmark_queries(spark, sf), RESULTS)
+    numberless = F.regexp_replace("value", r"Dist: [0-9.]+", "Dist: ")
+    return search.query_lines(response).select("query_id", "rank", F.sha2(numberless, 256).alias("digest"))
+
+
 @query
 def format_distances(spark, sf):
     hits = search.knn(vectors(spark, sf), vector_queries(spark, sf), RESULTS, "l2")

@@ -17,3 +17,8 @@ def write_query_text(response: DataFrame, path: str) -> None:
 def write_query_json(response: DataFrame, path: str) -> None:
     """Write an answer, long or nested, as JSON lines."""
     response.write.mode("overwrite").json(path)
+
+
+def write_rejected(rejected: DataFrame, path: str, epoch: int) -> None:
+    """Write the lines that gave no record, with their reasons, next to the epoch they came with."""
+    rejected.write.mode("overwrite").json(f"{path}/epoch={epoch}")

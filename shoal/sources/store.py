@@ -41,6 +41,11 @@ def write_epoch(records: DataFrame, path: str, epoch: int) -> None:
     _write(_conform(records, T.StructType(fields)), f"{path}/delta/epoch={epoch}")
 
 
+def epoch_size(spark: SparkSession, path: str, epoch: int) -> int:
+    """Rows of one delta, counted from the file footers."""
+    return _read(spark, path, "delta", [epoch], LOG_RECORD).count()
+
+
 def _finished(spark: SparkSession, folder: str) -> list[int]:
     """Epochs below a folder whose write was finished."""
     jvm = spark.sparkContext._jvm

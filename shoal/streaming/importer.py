@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from shoal.operators.embed import Embedder, embed_documents
-from shoal.operators.ingest import CONTENT_KEY, ID_KEY, import_records
+from shoal.operators.ingest import CONTENT_KEY, ID_KEY, import_records, rejected_records
 from shoal.session import allow_duplicate_keys
 from shoal.sources.jsonl import stream_jsonl
+from shoal.sources.sinks import write_rejected
 from shoal.sources.store import write_epoch
 
 
@@ -29,12 +30,14 @@ def stream_import(
     n_ingest: int = 0,
     max_files_per_trigger: int | None = None,
     processing_time: str | None = None,
+    rejects_path: str | None = None,
 ) -> StreamingQuery:
     """Start importing the files of a folder, those there now and those to come.
 
     Each micro-batch becomes the log epoch of its batch number. A batch that is
     run again after a failure replaces its epoch, so nothing is doubled. Without
-    `processing_time` the query stops once the files present are imported.
+    `processing_time` the query stops once the files present are imported. With
+    `rejects_path` the lines that give no record are written there.
     """
     if n_ingest > 0:
         raise ValueError("a stream has no first n records; use a batch import for n_ingest")
@@ -51,6 +54,8 @@ def stream_import(
         if embedder is not None:
             records = embed_documents(records, embedder)
         write_epoch(records, log_path, epoch)
+        if rejects_path:
+            write_rejected(rejected_records(lines, content_key), rejects_path, epoch)
 
     lines = stream_jsonl(spark, source, max_files_per_trigger)
     writer = lines.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)

@@ -57,10 +57,13 @@ def test_import_query_list(spark, registry, tmp_path):
     write_lines(tmp_path / "in" / "a.jsonl", *ANIMALS)
     log = str(tmp_path / "log")
     source = str(tmp_path / "in")
-    assert jobs.import_jsonl(spark, registry, "animals", source, log, EMBEDDER, all_metadata=True) == 0
+    rejects = str(tmp_path / "rejects")
+    done = jobs.import_jsonl(spark, registry, "animals", source, log, EMBEDDER, rejects_path=rejects, all_metadata=True)
+    assert done == (0, 4)
+    assert [(r.value, r.reason) for r in spark.read.json(rejects).collect()] == [("bad{", "malformed")]
     assert contents(jobs.list_collection(spark, registry, "animals", log)) == EXPECTED
     # The same import again changes nothing.
-    assert jobs.import_jsonl(spark, registry, "animals", source, log, EMBEDDER, all_metadata=True) == 1
+    assert jobs.import_jsonl(spark, registry, "animals", source, log, EMBEDDER, all_metadata=True).epoch == 1
     assert contents(jobs.list_collection(spark, registry, "animals", log)) == EXPECTED
 
     records = store.current_records(spark, log)
@@ -79,7 +82,7 @@ def test_import_query_list(spark, registry, tmp_path):
     assert store.compact(spark, log) == 1 and store.epochs(spark, log) == (1, [])
     assert contents(jobs.list_collection(spark, registry, "animals", log)) == EXPECTED
     write_lines(tmp_path / "more" / "a.jsonl", {"id": "2", "text": "the dog barks"}, {"id": "4", "text": "cat"})
-    assert jobs.import_jsonl(spark, registry, "animals", str(tmp_path / "more"), log, EMBEDDER) == 2
+    assert jobs.import_jsonl(spark, registry, "animals", str(tmp_path / "more"), log, EMBEDDER) == (2, 2)
     after = EXPECTED | {"2": ("the dog barks", "{}"), "4": ("cat", "{}")}
     assert contents(jobs.list_collection(spark, registry, "animals", log)) == after
     plan = simple(store.current_records(spark, log))
@@ -131,7 +134,8 @@ def test_stream_equals_batch(spark, tmp_path):
 
     def run():
         query = stream_import(
-            spark, str(source), log, state, "animals", embedder=EMBEDDER, all_metadata=True, max_files_per_trigger=1
+            spark, str(source), log, state, "animals", embedder=EMBEDDER, all_metadata=True, max_files_per_trigger=1,
+            rejects_path=str(tmp_path / "rejects"),
         )
         query.awaitTermination()
 
@@ -147,6 +151,7 @@ def test_stream_equals_batch(spark, tmp_path):
     write_lines(source / "c.jsonl", {"id": "2", "text": "a dog woke up"})
     run()
     assert len(store.epochs(spark, log)[1]) == 3
+    assert spark.read.json(str(tmp_path / "rejects")).count() == 1
     now = store.current_records(spark, log, "animals")
     assert contents(now)["2"] == ("a dog woke up", "{}")
     assert now.where("embedding is null").count() == 0
