@@ -7,7 +7,10 @@ import numpy as np
 # Elements of a distance block or of a gathered vector block held at a time.
 BLOCK_ELEMENTS = 1 << 22
 FLOAT32_UNIT = 2.0**-24
-FLOAT32_SAFE = 1e74
+FLOAT32_SAFE = 1e36
+
+# Candidates per query and result beyond which a block looks for a closer bound.
+CROWDED = 4
 
 
 def exact_distance(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
@@ -21,13 +24,30 @@ def exact_distance(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
     return 1.0 - np.divide(dots, norms, out=np.zeros_like(dots), where=norms > 0)
 
 
+def drop_surplus_copies(ids: np.ndarray, vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of more than k equal vectors only the k smallest ids can be among the k nearest.
+
+    Equal vectors are found by equal projections on one direction, then compared.
+    """
+    if len(ids) <= k:
+        return ids, vectors
+    direction = np.cos(np.arange(1, vectors.shape[1] + 1, dtype=np.float64))
+    _, group, size = np.unique(vectors @ direction, return_inverse=True, return_counts=True)
+    keep = np.ones(len(ids), dtype=bool)
+    for crowded in np.flatnonzero(size > k):
+        rows = np.flatnonzero(group == crowded)
+        if (vectors[rows] == vectors[rows[0]]).all():
+            keep[rows[np.argsort(ids[rows], kind="stable")[k:]]] = False
+    return ids[keep], vectors[keep]
+
+
 class NearestRecords:
     """The k nearest records seen so far for each of a block of query vectors.
 
-    A single-precision matrix product gives a lower bound of every distance.
-    Only pairs whose bound reaches the k-th best are computed exactly, so the
-    result equals a full double-precision search. Ties at `digits` decimals go
-    to the smaller id.
+    One single-precision matrix product gives a lower bound of every distance
+    (up to a constant). Only pairs whose bound reaches the k-th best are
+    computed exactly, so the result equals a full double-precision search. Ties
+    at `digits` decimals go to the smaller id.
     """
 
     def __init__(self, queries: np.ndarray, k: int, metric: str, digits: int = 9):
@@ -40,47 +60,51 @@ class NearestRecords:
         self.query = np.zeros(0, dtype=np.int64)
         self.tie_key = np.zeros(0)
         self.distance = np.zeros(0)
-        self.ids = np.zeros(0, dtype=object)
+        self.ids: np.ndarray | None = None
         self.worst = np.full(self.count, np.inf)
-        scaled = self.queries
-        if metric == "cosine":
-            scaled = self._unit(scaled)
-        self._squares = (scaled**2).sum(axis=1)
-        self._scaled = scaled.astype(np.float32)
+        scaled, self._squares = self._scaled(self.queries)
+        if metric == "l2":
+            self._offset, self._weight, dots = 0.0, 1.0 - self.error, -2.0 * scaled
+        else:
+            self._offset, self._weight, dots = 1.0, -self.error, -scaled
+        ones = np.ones((self.count, 1))
+        with np.errstate(over="ignore"):
+            self._left = np.hstack([dots, ones, self._weight * self._squares[:, None]]).astype(np.float32)
 
-    @staticmethod
-    def _unit(rows: np.ndarray) -> np.ndarray:
-        norms = np.sqrt((rows**2).sum(axis=1, keepdims=True))
-        return np.divide(rows, norms, out=np.zeros_like(rows), where=norms > 0)
+    def _scaled(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows as the bound sees them (unit length for cosine) and their squared lengths."""
+        squares = (rows**2).sum(axis=1)
+        if self.metric != "cosine":
+            return rows, squares
+        norms = np.sqrt(squares)[:, None]
+        rows = np.divide(rows, norms, out=np.zeros_like(rows), where=norms > 0)
+        return rows, (rows**2).sum(axis=1)
 
     def update(self, ids: np.ndarray, vectors: np.ndarray) -> None:
         """Take in a batch of records with finite vectors of the right width."""
-        if len(ids) == 0:
+        ids, vectors = drop_surplus_copies(ids, vectors, self.k)
+        if len(ids) == 0 or self.count == 0:
             return
         exact = vectors.astype(np.float64)
-        scaled = self._unit(exact) if self.metric == "cosine" else exact
-        squares = (scaled**2).sum(axis=1)
-        scaled = scaled.astype(np.float32)
+        scaled, squares = self._scaled(exact)
+        with np.errstate(over="ignore"):
+            right = np.hstack([scaled, self._weight * squares[:, None], np.ones((len(ids), 1))]).astype(np.float32).T
         step = max(1, BLOCK_ELEMENTS // len(ids))
         for start in range(0, self.count, step):
-            self._update_block(slice(start, min(start + step, self.count)), ids, exact, scaled, squares)
+            self._update_block(slice(start, min(start + step, self.count)), ids, exact, right, squares.max())
 
-    def _update_block(self, block: slice, ids, exact, scaled, squares) -> None:
-        with np.errstate(over="ignore", invalid="ignore"):
-            dots = self._scaled[block] @ scaled.T
+    def _update_block(self, block: slice, ids, exact, right, largest: float) -> None:
         own = self._squares[block]
-        slack = self.error * (own[:, None] + squares[None, :])
-        if self.metric == "l2":
-            lower = own[:, None] + squares[None, :] - 2.0 * dots - slack
+        if max(own.max(), largest) > FLOAT32_SAFE:
+            lower = np.full((len(own), len(ids)), -np.inf, dtype=np.float32)
         else:
-            lower = 1.0 - dots - slack
-        if own.max() * squares.max() > FLOAT32_SAFE:
-            lower[~np.isfinite(dots)] = -np.inf
-        bound = self.worst[block].copy()
-        if len(ids) >= self.k:
-            kth = np.partition(lower, self.k - 1, axis=1)[:, self.k - 1]
-            bound = np.minimum(bound, kth + 2.0 * self.error * (own + squares.max()))
-        rows, columns = np.nonzero(lower <= (bound + 1.0 / self.scale)[:, None])
+            lower = self._left[block] @ right
+        near = lower <= self._reach(self.worst[block])
+        if len(ids) > self.k and np.count_nonzero(near) > CROWDED * self.k * len(own):
+            kth = np.partition(lower, self.k - 1, axis=1)[:, self.k - 1].astype(np.float64)
+            bound = kth + self._offset + 2.0 * self.error * (own + largest)
+            near = lower <= self._reach(np.minimum(self.worst[block], bound))
+        rows, columns = np.nonzero(near)
         if len(rows) == 0:
             return
         rows += block.start
@@ -91,11 +115,16 @@ class NearestRecords:
             distances[part] = exact_distance(self.queries[rows[part]], exact[columns[part]], self.metric)
         self._merge(rows, ids[columns], distances)
 
+    def _reach(self, bound: np.ndarray) -> np.ndarray:
+        """Largest lower bound that may still tie with `bound`, rounded outwards."""
+        reach = bound - self._offset + 1.0 / self.scale
+        return (reach + np.abs(reach) * 1e-6).astype(np.float32)[:, None]
+
     def _merge(self, query: np.ndarray, ids: np.ndarray, distance: np.ndarray) -> None:
         query = np.concatenate([self.query, query])
         tie_key = np.concatenate([self.tie_key, np.rint(distance * self.scale)])
         distance = np.concatenate([self.distance, distance])
-        ids = np.concatenate([self.ids, ids.astype(object)])
+        ids = ids if self.ids is None else np.concatenate([self.ids, ids])
         order = np.lexsort((ids, tie_key, query))
         query = query[order]
         first = np.searchsorted(query, query, side="left")

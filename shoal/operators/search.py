@@ -116,7 +116,7 @@ def _valid(ids: pa.Array, lists: pa.Array, dim: int) -> tuple[np.ndarray, np.nda
     Checked here rather than by a filter in the plan: Spark would push that
     below the projection and compute an embedding column twice.
     """
-    fits = pc.fill_null(pc.equal(pc.list_value_length(lists), dim), False)
+    fits = pc.and_(ids.is_valid(), pc.fill_null(pc.equal(pc.list_value_length(lists), dim), False))
     if not pc.all(fits).as_py():
         ids, lists = ids.filter(fits), lists.filter(fits)
     vectors = _to_matrix(lists, dim)

@@ -143,6 +143,31 @@ def test_state_over_many_batches(order):
     assert got == {i: [expected[(i, r)] for r in range(1, 7)] for i in range(4)}
 
 
+def test_copies_in_later_batches_with_smaller_ids():
+    v = np.tile(RNG.normal(size=(1, 5)), (1000, 1)).astype(np.float32)
+    state = NearestRecords(v[:2], 4, "cosine")
+    for start in range(900, -1, -100):
+        state.update(np.arange(start, start + 100), v[start : start + 100])
+    assert state.ids.tolist() == [0, 1, 2, 3] * 2
+    names = np.array([f"r{i:04d}" for i in range(1000)], dtype=object)
+    state = NearestRecords(v[:1], 3, "l2")
+    state.update(names[::-1], v)
+    assert state.ids.tolist() == ["r0000", "r0001", "r0002"]
+
+
+def test_random_scales_equal_brute_force():
+    for trial in range(30):
+        rng = np.random.default_rng(trial)
+        v = (rng.normal(size=(300, 9)) * 10.0 ** rng.integers(-3, 4) + rng.integers(0, 3) * 100).astype(np.float32)
+        q = np.vstack([v[:5], rng.normal(size=(5, 9))]).astype(np.float32)
+        for metric in ("l2", "ip", "cosine"):
+            state = NearestRecords(q, 5, metric)
+            for start in range(0, 300, 64):
+                state.update(np.arange(300)[start : start + 64], v[start : start + 64])
+            expected = np.sort(distances(q.astype(np.float64), v.astype(np.float64), metric), axis=1)[:, :5]
+            assert np.allclose(state.distance.reshape(10, 5), expected, rtol=1e-12, atol=2e-9), (trial, metric)
+
+
 def test_huge_and_tiny_vectors():
     v = np.array([[1e30, 0], [-1e30, 1e30], [1e-30, 0], [0, 0]], dtype=np.float32)
     state = NearestRecords(v, 2, "l2")
