@@ -162,7 +162,8 @@ def embed_documents(
                 vectors = embed_batch(embedder, ids.filter(texts.is_valid()).to_pylist(), kept)
             yield _vectors(vectors, valid, embedder.dim)
 
-    return df.withColumn(out_col, vectors_of(F.col(id_col), F.col(text_col)))
+    # Non-deterministic to the optimizer, or a filter on the vectors would embed twice.
+    return df.withColumn(out_col, vectors_of.asNondeterministic()(F.col(id_col), F.col(text_col)))
 
 
 def hashing_embed(df: DataFrame, dim: int, *, text_col: str = "document", out_col: str = "embedding") -> DataFrame:

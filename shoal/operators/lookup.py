@@ -25,17 +25,24 @@ def fits_broadcast(df: DataFrame, rows: int | None = None, size: int | None = No
     return len(seen) <= rows and sum(r["bytes"] for r in seen) <= size
 
 
-def lookup_join(rows: DataFrame, table: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
+def lookup_join(
+    rows: DataFrame, table: DataFrame, on: Sequence[str], how: str = "left", small: bool | None = None
+) -> DataFrame:
     """Join each row with the one row of `table` that has its key.
 
-    A table within the bound is broadcast. A larger one is shuffled; then the
-    rows are salted, each salt meeting its own copy of the table, so that a key
-    held by a large share of the rows spreads over several tasks.
+    A table within the bound (or known to be `small`) is broadcast. If instead
+    the distinct keys of the rows are within it, they pick their part of the
+    table, which is then broadcast. Otherwise both sides are shuffled, the rows
+    salted and each salt meeting its own copy of the table, so that a key held
+    by a large share of the rows spreads over several tasks.
     """
     on = list(on)
-    if fits_broadcast(table):
+    if fits_broadcast(table) if small is None else small:
         return rows.join(F.broadcast(table), on, how)
+    keys = rows.select(*on).distinct()
+    if fits_broadcast(keys):
+        return rows.join(F.broadcast(table.join(F.broadcast(keys), on, "left_semi")), on, how)
     hashable = [c for c, t in rows.dtypes if "map<" not in t and "variant" not in t]
     salt = F.pmod(F.xxhash64(*hashable), F.lit(SALTS).cast("long"))
-    salted_table = table.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    return rows.withColumn("_salt", salt).join(salted_table, [*on, "_salt"], how).drop("_salt")
+    every_salt = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
+    return rows.withColumn("_salt", salt).join(table.withColumn("_salt", every_salt), [*on, "_salt"], how).drop("_salt")

@@ -28,10 +28,12 @@ def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
     return whole.select(F.explode(vocab).alias("token", "token_id"))
 
 
-def vocab_lookup(words: DataFrame, vocabulary: DataFrame, word_col: str = "word") -> DataFrame:
+def vocab_lookup(
+    words: DataFrame, vocabulary: DataFrame, word_col: str = "word", small: bool | None = None
+) -> DataFrame:
     """Add `token_id` for one word per row; unknown words get the unknown id."""
     table = vocabulary.select(F.col("token").alias(word_col), "token_id")
-    joined = lookup_join(words, table, [word_col])
+    joined = lookup_join(words, table, [word_col], small=small)
     return joined.withColumn("token_id", F.coalesce("token_id", F.lit(UNKNOWN_ID)))
 
 
@@ -83,12 +85,12 @@ def _lookup_in_batches(words: DataFrame, table: pa.Table) -> DataFrame:
             values = pa.array(token_ids[at.to_numpy()])
             yield pa.ListArray.from_arrays(pa.array(offsets), values, mask=lists.is_null())
 
-    return words.withColumn("_word_ids", ids_of("_words"))
+    return words.withColumn("_word_ids", ids_of.asNondeterministic()("_words"))
 
 
 def _lookup_by_join(words: DataFrame, vocabulary: DataFrame, id_col: str) -> DataFrame:
     exploded = words.select(id_col, F.posexplode("_words").alias("_at", "word"))
-    found = vocab_lookup(exploded, vocabulary)
+    found = vocab_lookup(exploded, vocabulary, small=False)
     ordered = F.array_sort(F.collect_list(F.struct("_at", "token_id")))
     per_row = found.groupBy(id_col).agg(F.transform(ordered, lambda x: x["token_id"]).alias("_word_ids"))
     none = F.array().cast("array<int>")

@@ -3,6 +3,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from plan import simple
 from shoal.operators import catalog, lookup
 from shoal.schemas import COLLECTION
 
@@ -109,14 +110,16 @@ def test_describe_collections(spark, registry):
     assert described.where("records = 0").count() == 3
 
 
-@pytest.mark.parametrize("bound", [lookup.BROADCAST_ROWS, 10])
-def test_lookup_of_a_hot_key(spark, monkeypatch, bound):
+@pytest.mark.parametrize("bound, way", [(lookup.BROADCAST_ROWS, "table"), (2500, "keys"), (10, "salts")])
+def test_lookup_of_a_hot_key(spark, monkeypatch, bound, way):
     monkeypatch.setattr(lookup, "BROADCAST_ROWS", bound)
     rows = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"), "id")
     table = spark.range(3000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
     got = lookup.lookup_join(rows, table, ["k"])
     expected = {(r.id, 0 if r.id % 3 == 0 else r.id * 2) for r in rows.collect()}
     assert {(r.id, r.v) for r in got.collect()} == expected
+    assert ("_salt" in simple(got)) == (way == "salts")
+    assert ("LeftSemi" in simple(got)) == (way == "keys")
 
 
 def test_broadcast_bound_counts_text(spark):

@@ -87,6 +87,11 @@ def test_only_id_and_text_reach_the_workers(texts):
     assert "ArrowEvalPython [vectors_of(id" in plan and "heavy" not in plan.split("vectors_of(")[1].split(")")[0]
 
 
+def test_filter_on_vectors_does_not_embed_twice(texts):
+    rows = embed_documents(texts, Constant()).where(F.size("embedding") == 2).select("id", F.explode("embedding"))
+    assert simple(rows).count("ArrowEvalPython") == 1
+
+
 def test_onnx_model(spark, tmp_path):
     from tokenizers import Tokenizer, models, pre_tokenizers, processors
 
