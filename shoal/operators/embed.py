@@ -34,6 +34,9 @@ class Embedder:
     def embed(self, texts: list[str]) -> np.ndarray:
         raise NotImplementedError
 
+    def close(self) -> None:
+        """Release what a task holds; what is shared by a worker's tasks stays open."""
+
 
 class HashingEmbedder(Embedder):
     """Word-count hashing, the same vectors as `hashing_embedding`. Not a model."""
@@ -154,13 +157,16 @@ def embed_documents(
     @F.arrow_udf("array<float>")
     def vectors_of(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         embedder.open()
-        for ids, texts in batches:
-            valid = np.asarray(texts.is_valid())
-            kept = texts.drop_null().to_pylist()
-            vectors = np.zeros((0, embedder.dim))
-            if kept:
-                vectors = embed_batch(embedder, ids.filter(texts.is_valid()).to_pylist(), kept)
-            yield _vectors(vectors, valid, embedder.dim)
+        try:
+            for ids, texts in batches:
+                valid = np.asarray(texts.is_valid())
+                kept = texts.drop_null().to_pylist()
+                vectors = np.zeros((0, embedder.dim))
+                if kept:
+                    vectors = embed_batch(embedder, ids.filter(texts.is_valid()).to_pylist(), kept)
+                yield _vectors(vectors, valid, embedder.dim)
+        finally:
+            embedder.close()
 
     # Non-deterministic to the optimizer, or a filter on the vectors would embed twice.
     return df.withColumn(out_col, vectors_of.asNondeterministic()(F.col(id_col), F.col(text_col)))

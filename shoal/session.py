@@ -59,6 +59,9 @@ def ship_package(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
+_local_dirs: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, named by ``spark.checkpoint.dir``.
 
@@ -69,9 +72,11 @@ def shared_dir(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
-    fallback = tempfile.mkdtemp(prefix="shoal-")
-    spark.conf.set("spark.checkpoint.dir", fallback)
-    return fallback
+    # Core settings cannot be set on a running session, so remember it here.
+    application = spark.sparkContext.applicationId
+    if application not in _local_dirs:
+        _local_dirs[application] = tempfile.mkdtemp(prefix="shoal-")
+    return _local_dirs[application]
 
 
 _scratch: list[str] = []
@@ -102,16 +107,20 @@ def stage(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+# A scan of fewer tasks than this is about a gigabyte at most.
+SPREAD_TASKS = 8
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """Deal the rows of a small scan out to all cores.
 
     A small Parquet file is one row group and so one task, which is slow for
-    steps that cost far more than moving the row. A scan that already has a
-    task per core is left alone. For plain scans only: counting the tasks of a
+    steps that cost far more than moving the row. Scans of SPREAD_TASKS tasks or
+    more stay where they are. For plain scans only: counting the tasks of a
     plan with shuffles would run them.
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < min(cores, SPREAD_TASKS) else scan
 
 
 def remove_path(spark: SparkSession, path: str) -> None:

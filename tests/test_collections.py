@@ -25,7 +25,7 @@ SCOPE = ("default_tenant", "default_database")
 @pytest.fixture
 def registry(spark):
     asked = spark.createDataFrame([(*SCOPE, "animals"), (*SCOPE, "empty")], "tenant string, database string, name string")
-    return create_collections(asked, spark.createDataFrame([], COLLECTION))
+    return create_collections(asked, spark.createDataFrame([], COLLECTION)).persist()
 
 
 def write_lines(path, *records):
