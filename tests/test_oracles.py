@@ -8,6 +8,7 @@ import pytest
 
 import __spark_entry__ as entry
 from oracle_check import differences
+from plan import simple
 
 TABLES = "/root/testdata/sf0.001"
 
@@ -25,3 +26,10 @@ def test_every_query_has_sql():
 @pytest.mark.skipif(not os.path.isdir(TABLES), reason="test tables are not here")
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+@pytest.mark.skipif(not os.path.isdir(TABLES), reason="test tables are not here")
+@pytest.mark.parametrize("name", ["import_records", "upsert_records", "resolve_or_uuid", "knn_l2", "blocked_knn", "text_query"])
+def test_no_query_forms_all_pairs(spark, name):
+    plan = simple(entry.queries()[name](spark, TABLES))
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
