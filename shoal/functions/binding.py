@@ -23,7 +23,8 @@ def with_computed(df: DataFrame, **columns: Column) -> DataFrame:
     Spark pushes a filter on a computed column below the projection, and then
     computes the column for the filter and again for the result. Passing the
     columns through a generator (one element, so one row) stops that; filters
-    on them stay above it.
+    on them stay above it. A generator is never pruned, so do not add a column
+    this way that may go unread.
     """
     packed = F.struct(*[column.alias(name) for name, column in columns.items()])
     carried = df.select("*", F.explode_outer(F.array(packed)).alias("_computed"))
