@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shoal.llm.common import table
+from shoal.llm.common import remainder, table
 from shoal.llm.entropy_secrets import secret_digest
 from shoal.llm.hilbert import hilbert_shards
 from shoal.llm.pareto_mix import mix
+from shoal.llm.piece_lang import fit, identify, public_pieces
 from shoal.llm.rank_vbyte import tokenize
+from shoal.llm.simhash_bk import near_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -48,3 +50,21 @@ def op8_hilbert_shards(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op10_rank_vbyte(spark: SparkSession, sf: str) -> DataFrame:
     return tokenize(table(spark, sf, "documents"), vocabulary_file("word_bpe_49k.json"))
+
+
+@query
+def op2_simhash_bk(spark: SparkSession, sf: str) -> DataFrame:
+    return near_duplicates(table(spark, sf, "documents"))
+
+
+def language_model(docs: DataFrame):
+    """Fit on the labelled documents whose crc32(doc_id) modulo 3 is not 1."""
+    pieces, single = public_pieces(vocabulary_file("piece_bpe_32k.model"))
+    return fit(docs.where((remainder(F.col("doc_id"), 3) != 1) & F.col("lang").isNotNull()), pieces, single)
+
+
+@query
+def op5_piece_lang(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    rows = docs.select("doc_id", (remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "text")
+    return identify(rows, language_model(docs)).drop("text")
