@@ -64,14 +64,20 @@ def _remember(known: dict, new: dict) -> dict:
     return known
 
 
+def id_type(path: str) -> str:
+    """Narrowest type that holds every id of the vocabulary."""
+    return "<u2" if _tokenizer(path)[0].get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
+
+
 def token_bytes(texts: list[bytes | None], path: str) -> list[bytes]:
-    """Ids of each text as little-endian uint32, the end id last.
+    """Ids of each text as numbers of `id_type`, the end id last.
 
     No token spans white space, so a text's ids are those of its words. Words
     and the pieces of words seen before are looked up.
     """
     tokenizer, known_words, known_pieces = _tokenizer(path)
-    end = np.array([END], "<u4").tobytes()
+    kind = id_type(path)
+    end = np.array([END], kind).tobytes()
     texts = [(t or b"").split() for t in texts]
     cut = {w: pieces_of(w) for w in set().union(*texts) if w not in known_words}
     new = list({p for ps in cut.values() for p in ps if p not in known_pieces})
@@ -79,7 +85,7 @@ def token_bytes(texts: list[bytes | None], path: str) -> list[bytes]:
     for at in range(0, len(new), 4096):
         some = new[at : at + 4096]
         for piece, e in zip(some, tokenizer.encode_batch_fast([p.decode() for p in some], add_special_tokens=False)):
-            coded[piece] = np.array(e.ids, "<u4").tobytes()
+            coded[piece] = np.array(e.ids, kind).tobytes()
     other = _remember(known_pieces, coded)
     words = {w: b"".join([known_pieces[p] if p in known_pieces else other[p] for p in ps]) for w, ps in cut.items()}
     if _remember(known_words, words) is known_words:
@@ -102,14 +108,14 @@ def encode_texts(docs: DataFrame, path: str, ident: str = "doc_id", text: str =
     return rows.mapInArrow(encode, "ident long, ids binary")
 
 
-def frequency_ranks(coded: DataFrame) -> np.ndarray:
+def frequency_ranks(coded: DataFrame, kind: str) -> np.ndarray:
     """Tokens by falling frequency, ties by id. The result is bounded by the vocabulary."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(0, np.int64)
         for batch in batches:
             for ids in batch.column("ids").to_pylist():
-                n = np.bincount(np.frombuffer(ids, "<u4"))
+                n = np.bincount(np.frombuffer(ids, kind))
                 if len(n) > len(seen):
                     seen = np.concatenate([seen, np.zeros(len(n) - len(seen), np.int64)])
                 seen[: len(n)] += n
@@ -145,10 +151,10 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     return word & KEEP[size - 1]
 
 
-def write_tokens(coded: DataFrame, path: str) -> None:
-    """Write ids to `path` in the file format. `coded` is read twice."""
+def write_tokens(coded: DataFrame, path: str, kind: str = "<u4") -> None:
+    """Write ids, binary of type `kind`, to `path` in the file format. `coded` is read twice."""
     spark = with_workers(coded)
-    tokens = frequency_ranks(coded)
+    tokens = frequency_ranks(coded, kind)
     rank_of = np.zeros(int(tokens.max()) + 1 if len(tokens) else 1, np.uint32)
     rank_of[tokens] = np.arange(len(tokens), dtype=np.uint32)
     ranks = spark.createDataFrame(pa.table({"rank": np.arange(len(tokens)), "token": tokens}))
@@ -169,7 +175,7 @@ def write_tokens(coded: DataFrame, path: str) -> None:
         for batch in batches:
             for ident, ids in zip(batch.column("ident").to_pylist(), batch.column("ids").to_pylist()):
                 idents.append(ident)
-                held.append(np.frombuffer(ids, "<u4"))
+                held.append(np.frombuffer(ids, kind))
                 lengths.append(len(held[-1]))
                 if sum(lengths) >= BLOCK_TOKENS or len(lengths) >= BLOCK_TOKENS // 16:
                     yield flush()
@@ -180,9 +186,9 @@ def write_tokens(coded: DataFrame, path: str) -> None:
 
     ordered = coded.withColumn("crc", F.crc32("ids"))
     ordered = ordered.repartitionByRange("ident", "crc").sortWithinPartitions("ident", "crc", "ids").drop("crc")
-    kind = "part int, block int, first_token long, idents array<long>, lengths array<int>, control binary, data binary"
+    fields = "part int, block int, first_token long, idents array<long>, lengths array<int>, control binary, data binary"
     # already packed: a second compression costs time and saves little
-    ordered.mapInArrow(blocks, kind).write.parquet(f"{path}/blocks.parquet", compression="none")
+    ordered.mapInArrow(blocks, fields).write.parquet(f"{path}/blocks.parquet", compression="none")
 
 
 BLOCKS = pa.schema(
@@ -244,6 +250,6 @@ def tokenize(docs: DataFrame, vocabulary: str, ident: str = "doc_id", text: str
     raw = scratch_path(spark, "ids")
     encode_texts(docs, vocabulary, ident, text).write.parquet(raw, compression="zstd")
     path = scratch_path(spark, "tokens")
-    write_tokens(spark.read.schema("ident long, ids binary").parquet(raw), path)
+    write_tokens(spark.read.schema("ident long, ids binary").parquet(raw), path, id_type(vocabulary))
     remove_path(spark, raw)  # written again above, and read by nothing else
     return read_tokens(spark, path).withColumnRenamed("ident", ident)
