@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from shoal.llm.common import remainder, table
 from shoal.llm.entropy_secrets import secret_digest
 from shoal.llm.hilbert import hilbert_shards
+from shoal.llm.latent_leaks import find_leaks
 from shoal.llm.pareto_mix import mix
 from shoal.llm.piece_lang import fit, identify, public_pieces
 from shoal.llm.rank_vbyte import tokenize
@@ -68,3 +69,8 @@ def op5_piece_lang(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     rows = docs.select("doc_id", (remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "text")
     return identify(rows, language_model(docs)).drop("text")
+
+
+@query
+def op4_latent_leaks(spark: SparkSession, sf: str) -> DataFrame:
+    return find_leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
