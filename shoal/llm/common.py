@@ -23,6 +23,14 @@ def with_workers(df: DataFrame) -> SparkSession:
     return df.sparkSession
 
 
+def fresh(name: str, columns: list[str]) -> str:
+    """`name`, made longer until no column is called so (names differ by more than case)."""
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def remainder(ident: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo `modulus`; a null id counts as the empty text."""
     return F.crc32(F.coalesce(ident.cast("string"), F.lit("")).cast("binary")) % modulus

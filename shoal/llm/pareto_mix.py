@@ -73,9 +73,12 @@ def mix(
     ident: str = "doc_id",
     text: str = "text",
     source: str = "source",
+    row: str | None = None,
 ) -> DataFrame:
     """What the mix takes of each document: ident, size, source_size, target, copies, taken.
 
+    `row` names a column to hand on as well, for instance a row key.
+
     Sources by code point get the weights in turn, no source (null) last. A null
     text has size 0 and is taken with 0 words. Rows of equal id are ranked by
     size; equal rows are interchangeable. An empty table gives no rows. Other
@@ -83,7 +86,10 @@ def mix(
     slices of its ranking; only the slice in which the cut falls is sorted.
     """
     key = F.when(F.col(source).isNull(), "n").otherwise(F.concat(F.lit("s"), F.col(source).cast("string")))
-    sized = docs.select(F.col(ident).alias("ident"), key.alias("key"), word_count(F.col(text)).alias("size"))
+    sized = docs.select(
+        F.col(ident).alias("ident"), (F.col(row) if row else F.lit(None).cast("long")).alias("row"),
+        key.alias("key"), word_count(F.col(text)).alias("size"),
+    )
     sized = stage(sized.withColumn("u", uniform(F.col("ident"), seed)), "sized")
     targets = source_targets(sized, weights, share, cap)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
@@ -106,12 +112,12 @@ def mix(
     placed = lookup_join(placed, stage(cuts, "cuts"), ["key"])
     lam = F.when(F.col("rest") > 0, F.col("rest") / F.col("source_size"))
     odds = (F.col("u") + 0.5) / (F.lit(float(UNIT)) - F.col("u") - 0.5) / F.coalesce(lam / (1 - lam), F.lit(1.0))
-    columns = ["ident", "size", "source_size", "target", "whole"]
+    columns = ["ident", "row", "size", "source_size", "target", "whole"]
     outside = placed.where(F.col("cut").isNull() | (F.col("slice") != F.col("cut.slice"))).select(
         *columns, F.coalesce((F.col("slice") < F.col("cut.slice")).cast("int"), F.lit(0)).alias("more")
     )
     inside = placed.where(F.col("slice") == F.col("cut.slice")).withColumn("odds", odds)
-    order = Window.partitionBy("key").orderBy("odds", "u", "ident", "size").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("key").orderBy("odds", "u", "ident", "size", "row").rowsBetween(Window.unboundedPreceding, -1)
     before = F.col("cut.before") + F.coalesce(F.sum("size").over(order), F.lit(0))
     inside = inside.withColumn("before", before).select(
         *columns, (F.col("before") + F.col("size") / 2 <= F.col("rest")).cast("int").alias("more")
@@ -119,5 +125,5 @@ def mix(
     copies = F.col("whole") + F.col("more")
     return outside.unionAll(inside).select(
         F.col("ident").alias(ident), "size", "source_size", "target",
-        copies.cast("int").alias("copies"), (F.col("size") * copies).alias("taken"),
+        copies.cast("int").alias("copies"), (F.col("size") * copies).alias("taken"), *([F.col("row").alias(row)] if row else []),
     )

@@ -14,9 +14,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from shoal.llm.common import components, groups, with_workers
+from shoal.llm.common import components, fresh, groups, with_workers
 from shoal.session import stage
 
 RADIUS = 3
@@ -193,3 +193,32 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, ident: str = "doc_id"
     return prints.join(by_print, "fingerprint").select(
         F.col("ident").alias(ident), digits.alias("fingerprint"), "component_id"
     )
+
+
+def one_of_each(docs: DataFrame, radius: int = RADIUS, ident: str = "doc_id", text: str = "text") -> DataFrame:
+    """`docs` with one row of each class of near-duplicates: the smallest id, all columns as they are.
+
+    Rows of one class and equal id count as one document, and any one of them
+    stays. A null id is kept only if its class has no other id.
+    """
+    with_workers(docs)
+    columns = docs.columns
+    mark = fresh("fingerprint", columns)
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(columns.index(text)).cast(pa.binary()).to_pylist()
+            prints = pa.array(np.array([fingerprint(t) for t in texts], "<u8").view("<i8"))
+            yield pa.RecordBatch.from_arrays([*batch.columns, prints], names=[*columns, mark])
+
+    marked = stage(docs.mapInArrow(hashed, T.StructType([*docs.schema.fields, T.StructField(mark, T.LongType())])), "marked")
+    prints = marked.select(F.col(mark).alias("fingerprint"), F.col(ident).alias("ident"))
+    order = F.struct(F.col("ident").isNull().alias("none"), "ident", "fingerprint")
+    least = stage(prints.groupBy("fingerprint").agg(F.min(order).alias("least")), "least")
+    classes = fingerprint_classes(least, radius)
+    rooted = least.join(classes, "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
+    kept = rooted.groupBy("root").agg(F.min("least").alias("least"))
+    kept = kept.select(F.col("least.ident").alias("_kept_id"), F.col("least.fingerprint").alias("_kept_print"))
+    # ids are unique but for repeated rows, so the second step finds little to do
+    same = marked[mark].eqNullSafe(kept["_kept_print"]) & marked[ident].eqNullSafe(kept["_kept_id"])
+    return marked.join(kept, same, "left_semi").dropDuplicates([ident, mark]).drop(mark)
