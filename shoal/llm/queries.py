@@ -10,6 +10,7 @@ from shoal.llm.common import remainder, table
 from shoal.llm.entropy_secrets import secret_digest
 from shoal.llm.hilbert import hilbert_shards
 from shoal.llm.latent_leaks import find_leaks
+from shoal.llm.nn_descent import near_vectors
 from shoal.llm.pareto_mix import mix
 from shoal.llm.piece_lang import fit, identify, public_pieces
 from shoal.llm.rank_vbyte import tokenize
@@ -74,3 +75,8 @@ def op5_piece_lang(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op4_latent_leaks(spark: SparkSession, sf: str) -> DataFrame:
     return find_leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query
+def op1_nn_descent(spark: SparkSession, sf: str) -> DataFrame:
+    return near_vectors(table(spark, sf, "embeddings"))
