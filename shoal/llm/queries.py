@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shoal.llm.common import remainder, table
+from shoal.llm.context_mix import score_texts
 from shoal.llm.entropy_secrets import secret_digest
 from shoal.llm.hilbert import hilbert_shards
 from shoal.llm.latent_leaks import find_leaks
@@ -80,3 +81,8 @@ def op4_latent_leaks(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op1_nn_descent(spark: SparkSession, sf: str) -> DataFrame:
     return near_vectors(table(spark, sf, "embeddings"))
+
+
+@query
+def op3_context_mix(spark: SparkSession, sf: str) -> DataFrame:
+    return score_texts(table(spark, sf, "documents"), remainder(F.col("doc_id"), 7) == 2)
