@@ -11,6 +11,7 @@ from shoal.llm.context_mix import score_texts
 from shoal.llm.entropy_secrets import secret_digest
 from shoal.llm.hilbert import hilbert_shards
 from shoal.llm.latent_leaks import find_leaks
+from shoal.llm.license_text import scan_licenses
 from shoal.llm.nn_descent import near_vectors
 from shoal.llm.pareto_mix import mix
 from shoal.llm.piece_lang import fit, identify, public_pieces
@@ -86,3 +87,8 @@ def op1_nn_descent(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op3_context_mix(spark: SparkSession, sf: str) -> DataFrame:
     return score_texts(table(spark, sf, "documents"), remainder(F.col("doc_id"), 7) == 2)
+
+
+@query
+def op9_license_text(spark: SparkSession, sf: str) -> DataFrame:
+    return scan_licenses(table(spark, sf, "documents"))
