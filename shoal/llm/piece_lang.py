@@ -29,6 +29,8 @@ SMOOTH = 0.05
 # Words of a text beyond this many do not sharpen the score further.
 SHARP_WORDS = 20
 REMEMBERED = 600_000
+# Words up to this length are scored side by side.
+SIDE_BY_SIDE = 48
 LETTERS = re.compile(r"[^\W\d_]+")
 SPACE = "▁"
 UNDECIDED = "und"
@@ -98,6 +100,69 @@ def forward(word: str, model_pieces: dict, single: list[int], longest: int, prob
     return [math.log(a or 1e-300) + s for a, s in zip(alpha[n], scale)]
 
 
+class Pieces:
+    """The vocabulary by a 64-bit rolling hash of its pieces, for many words at a time."""
+
+    BASE = np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, model: Model) -> None:
+        names = list(model.pieces)
+        with np.errstate(over="ignore"):
+            keys = []
+            for name in names:
+                h = np.uint64(0)
+                for c in name:
+                    h = h * self.BASE + np.uint64(ord(c))
+                keys.append(h)
+        keys = np.array(keys, np.uint64)
+        order = np.argsort(keys)
+        self.keys, self.ids = keys[order], np.array([model.pieces[n] for n in names], np.int64)[order]
+        self.longest = max(map(len, names), default=1)
+        self.model, self.rows = model, model.probs.tolist()
+
+    def scores(self, words: list[str]) -> np.ndarray:
+        """What `forward` gives, one row per word; words of one length are worked on together."""
+        out = np.zeros((len(words), len(self.model.languages)))
+        by: dict[int, list[int]] = {}
+        for i, word in enumerate(words):
+            by.setdefault(len(word), []).append(i)
+        for length, at in by.items():
+            if length > SIDE_BY_SIDE:
+                for i in at:
+                    out[i] = forward(words[i], self.model.pieces, self.model.byte_pieces, self.longest, self.rows)
+            for begin in range(0, len(at), 8192) if length <= SIDE_BY_SIDE else ():
+                some = at[begin : begin + 8192]
+                out[some] = self._together([words[i] for i in some], length)
+        return out
+
+    def _together(self, words: list[str], length: int) -> np.ndarray:
+        m, n, probs = len(words), length + 1, self.model.probs
+        points = np.full((n, m), ord(SPACE), np.uint64)
+        points[1:] = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").reshape(m, length).T
+        chars, place = np.unique(points[1:], return_inverse=True)
+        place = place.reshape(length, m)
+        single = np.array([np.prod([probs[self.model.byte_pieces[b]] for b in chr(int(c)).encode()], axis=0) for c in chars])
+        alpha = np.zeros((n + 1, m, probs.shape[1]))
+        alpha[0] = 1.0
+        scale = np.zeros((m, probs.shape[1]))
+        for start in range(n):
+            if start % 16 == 15:
+                ahead = alpha[start : start + self.longest + 1]
+                top = np.where(ahead.max(axis=0) > 0, ahead.max(axis=0), 1.0)
+                scale += np.log(top)
+                ahead /= top
+            row, key = alpha[start], np.zeros(m, np.uint64)
+            for end in range(start + 1, min(n, start + self.longest) + 1):
+                key = key * self.BASE + points[end - 1]
+                at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+                hit = np.flatnonzero(self.keys[at] == key)
+                if len(hit):
+                    alpha[end, hit] += row[hit] * probs[self.ids[at[hit]]]
+            if start:
+                alpha[start + 1] += row * single[place[start - 1]]
+        return np.log(np.maximum(alpha[n], 1e-300)) + scale
+
+
 def expected_pieces(word: str, pieces: dict, single: list[int], longest: int, probs: list[float], count: float) -> list[tuple[int, float]]:
     """Expected uses of pieces in `count` occurrences of a short word in one language (forward-backward)."""
     word = SPACE + word
@@ -186,7 +251,20 @@ def fit(labelled: DataFrame, pieces: dict[str, int], single: list[int], lang: st
     return Model(key, languages, pieces, single, probs)
 
 
-_seen: dict[str, tuple] = {}
+_seen: dict[str, list] = {}
+
+
+def _rows(cache: list, words: set[str]) -> tuple[np.ndarray, dict[str, int]]:
+    """Scores of words by place, and the place of each; what does not fit is forgotten first."""
+    pieces, known, rows = cache
+    new = [w for w in words if w not in known]
+    if len(known) + len(new) > REMEMBERED:
+        known, rows, new = {}, rows[:0], list(words)
+    if new:
+        rows = np.concatenate([rows, pieces.scores(new)])
+        known.update(zip(new, range(len(known), len(known) + len(new))))
+        cache[1:] = [known, rows]
+    return rows, known
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text", prefix: str = "") -> DataFrame:
@@ -211,28 +289,20 @@ def identify(docs: DataFrame, model: Model, text: str = "text", prefix: str = ""
         m = shared.value
         if m.key not in _seen:
             _seen.clear()
-            _seen[m.key] = ({}, m.probs.tolist(), max(map(len, m.pieces), default=1))
-        known, probs, longest = _seen[m.key]
+            _seen[m.key] = [Pieces(m), {}, np.zeros((0, len(m.languages)))]
+        cache = _seen[m.key]
         for whole in batches:
             for begin in range(0, whole.num_rows, 1024):
                 batch = whole.slice(begin, 1024)
+                texts = [words_of(body) if m.languages else [] for body in batch.column(columns.index(text)).to_pylist()]
+                rows, known = _rows(cache, set().union(*texts))
                 labels, scores = [], []
-                for body in batch.column(columns.index(text)).to_pylist():
-                    words = words_of(body)
-                    total = np.zeros(len(m.languages))
-                    if not words or not m.languages:
+                for words in texts:
+                    if not words:
                         labels.append(UNDECIDED)
                         scores.append(0.0)
                         continue
-                    rows = []
-                    for word in words:
-                        row = known.get(word)
-                        if row is None:
-                            row = forward(word, m.pieces, m.byte_pieces, longest, probs)
-                            if len(known) < REMEMBERED and len(word) <= FIT_LENGTH:
-                                known[word] = row
-                        rows.append(row)
-                    total = np.array(rows).sum(axis=0)
+                    total = rows[np.fromiter(map(known.__getitem__, words), np.int64, len(words))].sum(axis=0)
                     best = int(np.argmax(total))
                     sharp = (total - total[best]) * min(1.0, SHARP_WORDS / len(words))
                     labels.append(m.languages[best])

@@ -17,7 +17,7 @@ from shoal.llm.common import remainder
 from shoal.llm.context_mix import score_texts
 from shoal.llm.latent_leaks import common_length, find_leaks, judge, without_leaks, words_of
 from shoal.llm.license_text import scan_licenses
-from shoal.llm.piece_lang import expected_pieces, fit, forward, identify, public_pieces
+from shoal.llm.piece_lang import Model, Pieces, expected_pieces, fit, forward, identify, public_pieces
 
 TABLES = "/root/testdata/sf0.001"
 needs_tables = pytest.mark.skipif(not os.path.isdir(TABLES), reason="test tables are not here")
@@ -76,6 +76,10 @@ def test_forward_sums_all_segmentations():
     for word in ("a", "abab", "bé", "abaabaabaabaabaabab"):
         got = forward(word, pieces, single, 3, [[p, 2 * p] for p in probs])
         assert got[0] == pytest.approx(math.log(segmentations("▁" + word, pieces, single, probs)))
+    model = Model("k", ["x", "y"], pieces, single, np.stack([probs, 2 * probs], axis=1))
+    words = ["a", "abab", "bé", "b" * 60, "ab" * 22, "é漢𝒳a"]
+    want = [forward(w, pieces, single, 3, model.probs.tolist()) for w in words]
+    assert np.allclose(Pieces(model).scores(words), want)
     used = expected_pieces("abab", pieces, single, 3, probs.tolist(), 2.0)
     letters = {260: 1, 257: 1, 258: 1, 259: 2, 261: 2, 262: 3, 97: 1, 98: 1}
     assert sum(n * letters.get(i, 0) for i, n in used) == pytest.approx(2.0 * 4)
