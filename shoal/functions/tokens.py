@@ -34,9 +34,8 @@ def input_ids(word_ids: Column, max_length: int = MAX_LENGTH) -> Column:
 def word_mask(words: Column, max_length: int = MAX_LENGTH) -> Column:
     """One for every marker or word, zero for padding, by word count."""
     real = F.least(F.size(words) + F.lit(2), F.lit(max_length))
-    return F.concat(
-        F.array_repeat(F.lit(1), real), F.array_repeat(F.lit(0), F.lit(max_length) - real)
-    )
+    mask = F.concat(F.array_repeat(F.lit(1), real), F.array_repeat(F.lit(0), F.lit(max_length) - real))
+    return F.when(words.isNotNull(), mask)
 
 
 def attention_mask(ids: Column) -> Column:

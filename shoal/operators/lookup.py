@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from shoal.session import stage
+
 # A lookup table is broadcast only if it is proven to stay below both bounds.
 BROADCAST_ROWS = 100_000
 BROADCAST_BYTES = 32 * 1024 * 1024
@@ -13,16 +15,25 @@ SALTS = 16
 
 
 def fits_broadcast(df: DataFrame, rows: int | None = None, size: int | None = None) -> bool:
-    """Count the rows and text bytes of `df`, reading no further than the bound."""
+    """Add up the rows and bytes of `df`, reading about as far as the bound; only the sums leave the tasks."""
     rows = BROADCAST_ROWS if rows is None else rows
     size = BROADCAST_BYTES if size is None else size
-    text = sum(
-        (F.coalesce(F.octet_length(c), F.lit(0)) for c, t in df.dtypes if t == "string"),
-        F.lit(16 * len(df.columns)),
-    )
-    # A limit that is collected reads partitions only until it is filled.
-    seen = df.select(text.alias("bytes")).limit(rows + 1).collect()
-    return len(seen) <= rows and sum(r["bytes"] for r in seen) <= size
+    width = sum((_bytes(c, t) for c, t in df.dtypes), F.lit(16 * len(df.columns)))
+    seen = df.select(width.alias("bytes")).limit(rows + 1).agg(F.count("*"), F.sum("bytes")).first()
+    return seen[0] <= rows and (seen[1] or 0) <= size
+
+
+def _bytes(column: str, kind: str):
+    """Bytes of a value beyond its fixed part."""
+    value = F.col(column)
+    if kind in ("string", "binary"):
+        extra = F.octet_length(value)
+    elif kind == "variant" or kind.startswith(("array", "map", "struct")):
+        # as JSON text, which is no shorter than what a broadcast holds by much
+        extra = F.octet_length(F.to_json(F.struct(value)))
+    else:
+        return F.lit(0)
+    return F.coalesce(extra, F.lit(0)).cast("long")
 
 
 def lookup_join(
@@ -41,7 +52,11 @@ def lookup_join(
         return rows.join(F.broadcast(table), on, how)
     keys = rows.select(*on).distinct()
     if fits_broadcast(keys):
-        return rows.join(F.broadcast(table.join(F.broadcast(keys), on, "left_semi")), on, how)
+        # what the keys pick is written down, so that its own size decides
+        picked = stage(table.join(F.broadcast(keys), on, "left_semi"), "picked")
+        if fits_broadcast(picked):
+            return rows.join(F.broadcast(picked), on, how)
+        table = picked
     hashable = [c for c, t in rows.dtypes if "map<" not in t and "variant" not in t]
     salt = F.pmod(F.xxhash64(*hashable), F.lit(SALTS).cast("long"))
     every_salt = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))

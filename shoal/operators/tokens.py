@@ -18,7 +18,7 @@ from shoal.functions.tokens import (
     word_mask,
 )
 from shoal.operators.lookup import BROADCAST_BYTES, BROADCAST_ROWS, lookup_join
-from shoal.session import ship_package
+from shoal.session import ship_package, stage
 
 
 def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
@@ -60,7 +60,7 @@ def encode_tokens(
     if head.num_rows <= bound and head.nbytes <= BROADCAST_BYTES:
         with_ids = _lookup_in_batches(words, head)
     else:
-        with_ids = _lookup_by_join(words, vocabulary, id_col)
+        with_ids = _lookup_by_join(words, vocabulary)
     return (
         with_ids.withColumn("input_ids", input_ids(F.col("_word_ids"), max_length))
         .withColumn("attention_mask", word_mask(F.col("_words"), max_length))
@@ -88,10 +88,12 @@ def _lookup_in_batches(words: DataFrame, table: pa.Table) -> DataFrame:
     return words.withColumn("_word_ids", ids_of.asNondeterministic()("_words"))
 
 
-def _lookup_by_join(words: DataFrame, vocabulary: DataFrame, id_col: str) -> DataFrame:
-    exploded = words.select(id_col, F.posexplode("_words").alias("_at", "word"))
+def _lookup_by_join(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    # ids may repeat or be missing, so every row gets a key, fixed by writing it down
+    words = stage(words.withColumn("_row", F.monotonically_increasing_id()), "words")
+    exploded = words.select("_row", F.posexplode("_words").alias("_at", "word"))
     found = vocab_lookup(exploded, vocabulary, small=False)
     ordered = F.array_sort(F.collect_list(F.struct("_at", "token_id")))
-    per_row = found.groupBy(id_col).agg(F.transform(ordered, lambda x: x["token_id"]).alias("_word_ids"))
-    none = F.array().cast("array<int>")
-    return words.join(per_row, id_col, "left").withColumn("_word_ids", F.coalesce("_word_ids", none))
+    per_row = found.groupBy("_row").agg(F.transform(ordered, lambda x: x["token_id"]).alias("_word_ids"))
+    none = F.when(F.col("_words").isNotNull(), F.array().cast("array<int>"))
+    return words.join(per_row, "_row", "left").withColumn("_word_ids", F.coalesce("_word_ids", none)).drop("_row")

@@ -44,6 +44,9 @@ def unmatched(rows: DataFrame, others: DataFrame, keys: Sequence[str] = RECORD_K
         found = F.broadcast(found)
     elif fits_broadcast(rows.select(*keys)):
         found = found.join(F.broadcast(rows.select(*keys)), keys, "left_semi")
+    else:
+        # a key that others repeat must not travel more than once per task
+        found = found.distinct()
     return rows.join(found, keys, "left_anti").select(*rows.columns)
 
 

@@ -16,7 +16,7 @@ from shoal.operators.upsert import first_wins, unmatched, with_generated_ids
 from shoal.schemas import DEFAULT_DATABASE, DEFAULT_TENANT
 from shoal.sources.jsonl import read_jsonl
 from shoal.sources.sinks import write_rejected
-from shoal.sources.store import current_records, epoch_size, list_records, next_epoch, write_epoch
+from shoal.sources.store import current_records, list_records, write_records
 
 
 def collection_id(
@@ -37,7 +37,7 @@ def collection_id(
 
 
 class Imported(NamedTuple):
-    epoch: int
+    commit: int
     records: int
 
 
@@ -63,11 +63,10 @@ def import_jsonl(
     target = collection_id(registry, collection, tenant, database)
     lines = read_jsonl(spark, source)
     embedded = embed_documents(import_records(lines, **options), embedder)
-    epoch = next_epoch(spark, log_path)
-    write_epoch(embedded.withColumn("collection_id", F.lit(target)), log_path, epoch)
+    done = write_records(embedded.withColumn("collection_id", F.lit(target)), log_path)
     if rejects_path:
-        write_rejected(rejected_records(lines, options.get("content_key", CONTENT_KEY)), rejects_path, epoch)
-    return Imported(epoch, epoch_size(spark, log_path, epoch))
+        write_rejected(rejected_records(lines, options.get("content_key", CONTENT_KEY)), rejects_path, done.number)
+    return Imported(done.number, done.records)
 
 
 def add_documents(
@@ -79,6 +78,20 @@ def add_documents(
 ) -> DataFrame:
     """The records after adding literal documents or a table of them.
 
+    See `new_documents`; `add_to_log` stores them instead.
+    """
+    return current.unionByName(new_documents(current, documents, target, embedder, ids).select(*current.columns))
+
+
+def new_documents(
+    current: DataFrame,
+    documents: DataFrame | Sequence[str],
+    target: str,
+    embedder: Embedder | None,
+    ids: Sequence[str] | None = None,
+) -> DataFrame:
+    """The embedded records that adding documents brings.
+
     Ids that are given are used; others are made from the clock, read once.
     Records that already exist stay as they are, and so does the metadata of new ones: none.
     """
@@ -99,8 +112,17 @@ def add_documents(
         named = named.withColumn("position", F.lit(0).cast("long"))
     rows = named.withColumns({"collection_id": F.lit(target), "metadata": F.lit(None).cast("variant")})
     # Only what is new gets embedded.
-    added = embed_documents(unmatched(first_wins(rows), current), embedder)
-    return current.unionByName(added.select(*current.columns))
+    return embed_documents(unmatched(first_wins(rows), current), embedder)
+
+
+def add_to_log(
+    spark: SparkSession, log_path: str, documents: DataFrame | Sequence[str], target: str, embedder: Embedder | None,
+    ids: Sequence[str] | None = None,
+) -> Imported:
+    """Add documents to a stored collection; only the rows that are new are written."""
+    current = current_records(spark, log_path, target)
+    done = write_records(new_documents(current, documents, target, embedder, ids), log_path)
+    return Imported(done.number, done.records)
 
 
 def query_collection(

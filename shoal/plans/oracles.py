@@ -157,6 +157,14 @@ ORACLES: dict[str, str] = {
     "import_records": ACCEPTED,
     "import_limit": f"SELECT feed, key1, key2, id FROM ({ACCEPTED}) ORDER BY feed, key1, key2 LIMIT 250",
     "stream_import": f"SELECT 'docs' AS collection_id, id, document, metadata FROM ({ACCEPTED}) WHERE feed = 'documents'",
+    "mixed_import": """
+      SELECT 'docs' AS collection_id, CAST(doc_id AS VARCHAR) AS id, text AS document FROM documents
+      UNION ALL SELECT 'turns', CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR), text FROM conversations
+    """,
+    "added_records_stored": """
+      SELECT source AS collection_id, 'd' || CAST(doc_id AS VARCHAR) AS id, text AS document FROM documents
+      UNION ALL SELECT 'src1', 'b' || CAST(item_id AS VARCHAR), text FROM benchmark
+    """,
     "record_position": f"""
       SELECT feed, key1, key2, row_number() OVER (ORDER BY feed, key1, key2) AS position FROM ({ACCEPTED})
     """,

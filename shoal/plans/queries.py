@@ -19,7 +19,7 @@ from shoal.operators import catalog, ingest, ordering, search, tokens, upsert
 from shoal.operators.embed import HashingEmbedder, embed_documents, hashing_embed
 from shoal.session import allow_duplicate_keys, scratch_path, spread
 from shoal.sources.jsonl import read_jsonl
-from shoal.sources.store import current_records, list_records as records_of, write_epoch
+from shoal.sources.store import compact, current_records, list_records as records_of, write_records
 from shoal.streaming.importer import stream_import as start_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -379,9 +379,44 @@ def list_records(spark, sf):
 def stored_records(spark, sf):
     log = scratch_path(spark, "log")
     records = document_records(spark, sf)
-    write_epoch(records, log, 0)
-    write_epoch(records.join(table(spark, sf, "labels").select(F.col("doc_id").alias("position")), "position", "left_semi")
-                .withColumn("document", F.concat(F.lit("v2 "), F.col("document"))), log, 1)
+    write_records(records, log)
+    write_records(records.join(table(spark, sf, "labels").select(F.col("doc_id").alias("position")), "position", "left_semi")
+                  .withColumn("document", F.concat(F.lit("v2 "), F.col("document"))), log)
+    return current_records(spark, log).select("collection_id", "id", "document")
+
+
+@query
+def mixed_import(spark, sf):
+    """A batch, two streams into two collections, a compaction and another stream into one log."""
+    log = scratch_path(spark, "log")
+
+    def stream(lines: DataFrame, collection: str) -> None:
+        source, checkpoint = scratch_path(spark, "stream-in"), scratch_path(spark, "stream-state")
+        lines.select("value").write.text(source)
+        start_stream(spark, source, log, checkpoint, collection).awaitTermination()
+
+    documents, turns = document_lines(spark, sf), table(spark, sf, "conversations").withColumn("id", F.concat_ws("-", "conv_id", "turn"))
+    turns = turns.select("role", F.to_json(F.struct("id", "text")).alias("value"))
+    write_records(ingest.import_records(documents.where("key1 % 2 = 0")).withColumn("collection_id", F.lit("docs")), log)
+    stream(documents.where("key1 % 2 = 1"), "docs")
+    stream(turns.where("role = 'user'"), "turns")
+    compact(spark, log)
+    stream(turns.where("role != 'user'"), "turns")
+    return current_records(spark, log).select("collection_id", "id", "document")
+
+
+@query
+def added_records_stored(spark, sf):
+    """An add that is stored twice: what is there stays, only new rows are written."""
+    log = scratch_path(spark, "log")
+    records = document_records(spark, sf)
+    write_records(records, log)
+    batch = table(spark, sf, "benchmark").select(
+        F.lit("src1").alias("collection_id"), F.concat(F.lit("b"), F.col("item_id")).alias("id"), F.col("text").alias("document")
+    )
+    again = records.select("collection_id", "id", F.lit("changed").alias("document")).unionByName(batch)
+    for _ in range(2):
+        write_records(upsert.unmatched(again, current_records(spark, log)), log)
     return current_records(spark, log).select("collection_id", "id", "document")
 
 

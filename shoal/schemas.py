@@ -32,11 +32,11 @@ RECORD = T.StructType([
 ])
 
 # A log row is a record plus what orders it among all writes.
-LOG_ORDER = ("epoch", "file_path", "file_block_start", "line_seq")
+LOG_ORDER = ("commit", "file_path", "file_block_start", "line_seq")
 LOG_RECORD = T.StructType([
     *RECORD.fields,
     T.StructField("file_path", T.StringType()),
     T.StructField("file_block_start", T.LongType()),
     T.StructField("line_seq", T.LongType()),
-    T.StructField("epoch", T.LongType()),
+    T.StructField("commit", T.LongType()),
 ])

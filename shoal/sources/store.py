@@ -1,24 +1,49 @@
 """Record tables on a shared file system.
 
-Parquet cannot replace single rows, so a table is a folder of epochs, each
-partitioned by collection:
-
-``delta/epoch=<n>``  the rows of one write, in order of n;
-``base/epoch=<n>``   one row per id, covering every delta up to n.
-
-The current state is the newest base, less the ids the later deltas hold, plus
-the last row per id of those deltas. As long as the deltas are small the base
-is scanned in place, without a shuffle. Only folders whose write was finished
-are read.
+Parquet cannot replace single rows, so a table is a log of writes:
+
+``data/write=<uuid>``  the rows of one write, one row per id, by collection;
+``log/<n>.json``       one commit: what was written, by whom, and its place n.
+
+A commit claims the next free number by creating its file, which only one
+writer can do, so writers never overwrite each other. A write is named by
+(writer, batch); if a batch is run again, the first commit of it counts. A base
+lists the commits that it covers, and only those are ever left out or deleted.
+The current state is the newest base, less the ids that later commits hold,
+plus the last row per id of those. The first write of a table is a base, so a
+table that was imported once is scanned in place.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+import json
+import uuid
+from typing import NamedTuple
+
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 
 from shoal.operators.upsert import last_wins, unmatched
 from shoal.schemas import LOG_ORDER, LOG_RECORD, RECORD
-from shoal.session import remove_path
+from shoal.session import file_system, read_text, remove_path
+
+# Commits since the last base from which an import should be followed by `compact`.
+COMPACT_AFTER = 20
+
+
+class Commit(NamedTuple):
+    number: int
+    kind: str
+    writer: str
+    batch: int
+    folder: str
+    records: int
+    covers: tuple[int, ...]
+
+
+class State(NamedTuple):
+    base: Commit | None
+    deltas: list[Commit]
 
 
 def _conform(df: DataFrame, schema: T.StructType) -> DataFrame:
@@ -32,92 +57,138 @@ def _conform(df: DataFrame, schema: T.StructType) -> DataFrame:
 def _write(rows: DataFrame, path: str) -> None:
     # Rebalancing splits a collection that holds most rows over several files
     # and packs small collections together.
-    rows.hint("rebalance", "collection_id").write.mode("overwrite").partitionBy("collection_id").parquet(path)
-
-
-def write_epoch(records: DataFrame, path: str, epoch: int) -> None:
-    """Write one delta; writing the same epoch again replaces it."""
-    fields = [f for f in LOG_RECORD.fields if f.name != "epoch"]
-    _write(_conform(records, T.StructType(fields)), f"{path}/delta/epoch={epoch}")
-
-
-def epoch_size(spark: SparkSession, path: str, epoch: int) -> int:
-    """Rows of one delta, counted from the file footers."""
-    return _read(spark, path, "delta", [epoch], LOG_RECORD).count()
+    rows.hint("rebalance", "collection_id").write.partitionBy("collection_id").parquet(path)
 
 
-def _finished(spark: SparkSession, folder: str) -> list[int]:
-    """Epochs below a folder whose write was finished."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(folder)
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+def commits(spark: SparkSession, path: str) -> list[Commit]:
+    """All commits in order; of a batch that was committed twice, the first."""
+    fs, target = file_system(spark, f"{path}/log")
     if not fs.exists(target):
         return []
-    found = []
-    for status in fs.listStatus(target):
-        name = status.getPath().getName()
-        if name.startswith("epoch=") and fs.exists(jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")):
-            found.append(int(name.removeprefix("epoch=")))
-    return sorted(found)
-
-
-def epochs(spark: SparkSession, path: str) -> tuple[int | None, list[int]]:
-    """The newest base and the deltas after it."""
-    base = max(_finished(spark, f"{path}/base"), default=None)
-    deltas = _finished(spark, f"{path}/delta")
-    return base, [e for e in deltas if base is None or e > base]
-
-
-def next_epoch(spark: SparkSession, path: str) -> int:
-    base, deltas = epochs(spark, path)
-    return max([*deltas, -1 if base is None else base]) + 1
-
-
-def _read(spark: SparkSession, path: str, kind: str, numbers: list[int], schema: T.StructType) -> DataFrame:
+    numbers = sorted(
+        int(name.removesuffix(".json"))
+        for name in (status.getPath().getName() for status in fs.listStatus(target))
+        if name.endswith(".json") and name[0].isdigit()
+    )
+    found, seen = [], set()
+    for number in numbers:
+        try:
+            entry = json.loads(read_text(spark, f"{path}/log/{number:012d}.json"))
+        except ValueError:  # claimed, and being written at this moment
+            continue
+        key = (entry["writer"], entry["batch"])
+        if key not in seen:
+            seen.add(key)
+            found.append(Commit(number, **{**entry, "covers": tuple(entry["covers"])}))
+    return found
+
+
+def state(spark: SparkSession, path: str) -> State:
+    """The newest base and the commits that it does not cover."""
+    found = commits(spark, path)
+    base = max((c for c in found if c.kind == "base"), default=None)
+    covered = set() if base is None else {base.number, *base.covers}
+    return State(base, [c for c in found if c.kind == "delta" and c.number not in covered])
+
+
+def _commit(spark: SparkSession, path: str, entry: dict, covers: list[int] | None) -> int:
+    """Claim the next free number for `entry`; `covers` makes it a base."""
+    known = commits(spark, path)
+    number = known[-1].number + 1 if known else 0
+    jvm = spark.sparkContext._jvm
+    fs, _ = file_system(spark, path)
+    while True:
+        # whoever claims number 0 wrote all there is
+        kind = "base" if covers is not None or number == 0 else "delta"
+        body = json.dumps({**entry, "kind": kind, "covers": covers or []})
+        try:
+            out = fs.create(jvm.org.apache.hadoop.fs.Path(f"{path}/log/{number:012d}.json"), False)
+        except Py4JJavaError as error:
+            if "AlreadyExists" not in str(error.java_exception.getClass().getName()) and "already exists" not in str(error):
+                raise
+            number += 1
+            continue
+        out.write(bytearray(body.encode()))
+        out.close()
+        return number
+
+
+def write_records(records: DataFrame, path: str, writer: str | None = None, batch: int = 0) -> Commit:
+    """Append one write to a table; a later row replaces an earlier one of its id.
+
+    `records` of the commit counts the rows given, repeated ids included.
+    A batch that (writer, batch) has committed already is not written again.
+    Without `writer` the write is one of its own.
+    """
+    spark = records.sparkSession
+    writer = writer or uuid.uuid4().hex
+    done = [c for c in commits(spark, path) if (c.writer, c.batch) == (writer, batch)]
+    if done:
+        return done[0]
+    folder = uuid.uuid4().hex
+    order = [c for c in LOG_ORDER if c != "commit"]
+    given = Observation()
+    rows = _conform(records, T.StructType([f for f in LOG_RECORD.fields if f.name != "commit"]))
+    rows = last_wins(rows.observe(given, F.count(F.lit(1)).alias("n")), order=order)
+    _write(rows.select(*RECORD.names), f"{path}/data/write={folder}")
+    entry = {"writer": writer, "batch": batch, "folder": folder, "records": given.get["n"]}
+    number = _commit(spark, path, entry, None)
+    return next(c for c in commits(spark, path) if (c.writer, c.batch) == (writer, batch) and c.number <= number)
+
+
+def _folders(spark: SparkSession, path: str, numbers: dict[str, int]) -> DataFrame:
+    """Rows of some writes with the number of their commit."""
+    schema = T.StructType([*RECORD.fields, T.StructField("commit", T.LongType())])
     if not numbers:
         return spark.createDataFrame([], schema)
-    reader = spark.read.schema(schema).option("basePath", f"{path}/{kind}")
-    return reader.parquet(*[f"{path}/{kind}/epoch={n}" for n in numbers]).select(*schema.names)
-
-
-def read_deltas(spark: SparkSession, path: str) -> DataFrame:
-    """Every row written since the newest base, with the columns that order it."""
-    return _read(spark, path, "delta", epochs(spark, path)[1], LOG_RECORD)
+    fields = T.StructType([*RECORD.fields, T.StructField("write", T.StringType())])
+    reader = spark.read.schema(fields).option("basePath", f"{path}/data")
+    rows = reader.parquet(*[f"{path}/data/write={w}" for w in numbers])
+    number = F.lit(next(iter(numbers.values())))
+    if len(numbers) > 1:
+        number = F.create_map(*[F.lit(x) for pair in numbers.items() for x in pair])[F.col("write")]
+    return rows.select(*RECORD.names, number.cast("long").alias("commit"))
 
 
 def current_records(spark: SparkSession, path: str, collection_id: str | None = None) -> DataFrame:
     """The last row per id; one collection's folders only, if one is named."""
-    base_epoch, delta_epochs = epochs(spark, path)
-    base = _read(spark, path, "base", [] if base_epoch is None else [base_epoch], RECORD)
-    deltas = _read(spark, path, "delta", delta_epochs, LOG_RECORD)
+    newest, deltas = state(spark, path)
+    base = _folders(spark, path, {newest.folder: newest.number} if newest else {}).drop("commit")
+    later = _folders(spark, path, {c.folder: c.number for c in deltas})
     if collection_id is not None:
-        base, deltas = (df.where(F.col("collection_id") == collection_id) for df in (base, deltas))
-    latest = last_wins(deltas, order=LOG_ORDER).select(*RECORD.names)
-    if base_epoch is None:
+        base, later = (df.where(F.col("collection_id") == collection_id) for df in (base, later))
+    # one write holds each id once
+    latest = last_wins(later, order=("commit",)) if len(deltas) > 1 else later
+    latest = latest.select(*RECORD.names)
+    if newest is None:
         return latest
-    if not delta_epochs:
+    if not deltas:
         return base
-    return unmatched(base, deltas).unionByName(latest)
+    return unmatched(base, latest).unionByName(latest)
 
 
-def list_records(records: DataFrame, collection_id: str) -> DataFrame:
-    """Ids, documents and metadata of one collection; vectors are not read."""
-    return records.where(F.col("collection_id") == collection_id).select("id", "document", "metadata")
+def list_records(records: DataFrame, collection_id: str, include: tuple[str, ...] = ("document", "metadata")) -> DataFrame:
+    """Ids and the asked-for columns of one collection; vectors are read only if asked for."""
+    return records.where(F.col("collection_id") == collection_id).select("id", *include)
 
 
-def compact(spark: SparkSession, path: str) -> int | None:
-    """Fold base and deltas into a new base and drop what it covers; returns its epoch.
+def compact(spark: SparkSession, path: str) -> Commit | None:
+    """Fold the newest base and the commits after it into a new base.
 
-    Readers take the newest finished base, so a stop at any point leaves the
-    current state as it was.
+    The base lists what it covers. A write that is committed meanwhile is not
+    among it and stays. Covered data is deleted after the commit; a stop at any
+    point leaves the current state as it was. Commit files stay, so that a batch
+    that is run again later is still known.
     """
-    base, deltas = epochs(spark, path)
+    base, deltas = state(spark, path)
     if not deltas:
         return base
-    covered = deltas[-1]
-    _write(current_records(spark, path), f"{path}/base/epoch={covered}")
-    for kind in ("base", "delta"):
-        for epoch in _finished(spark, f"{path}/{kind}"):
-            if epoch < covered or (kind == "delta" and epoch == covered):
-                remove_path(spark, f"{path}/{kind}/epoch={epoch}")
-    return covered
+    folder = uuid.uuid4().hex
+    _write(current_records(spark, path), f"{path}/data/write={folder}")
+    gone = [base, *deltas] if base else deltas
+    covers = sorted({c.number for c in gone} | set(base.covers if base else ()))
+    n = _folders(spark, path, {folder: 0}).count()
+    number = _commit(spark, path, {"writer": folder, "batch": 0, "folder": folder, "records": n}, covers)
+    for commit in gone:
+        remove_path(spark, f"{path}/data/write={commit.folder}")
+    return next(c for c in commits(spark, path) if c.number == number)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -9,10 +10,10 @@ from pyspark.sql.streaming import StreamingQuery
 
 from shoal.operators.embed import Embedder, embed_documents
 from shoal.operators.ingest import CONTENT_KEY, ID_KEY, import_records, rejected_records
-from shoal.session import allow_duplicate_keys
+from shoal.session import allow_duplicate_keys, read_text
 from shoal.sources.jsonl import stream_jsonl
 from shoal.sources.sinks import write_rejected
-from shoal.sources.store import write_epoch
+from shoal.sources.store import write_records
 
 
 def stream_import(
@@ -34,8 +35,9 @@ def stream_import(
 ) -> StreamingQuery:
     """Start importing the files of a folder, those there now and those to come.
 
-    Each micro-batch becomes the log epoch of its batch number. A batch that is
-    run again after a failure replaces its epoch, so nothing is doubled. Without
+    Each micro-batch becomes one commit of the log, named by the query's id, which
+    its checkpoint keeps, and the batch number. A batch that is run again after
+    a failure is committed once, and no other writer can take its place. Without
     `processing_time` the query stops once the files present are imported. With
     `rejects_path` the lines that give no record are written there.
     """
@@ -53,7 +55,8 @@ def stream_import(
         ).withColumn("collection_id", F.lit(collection_id))
         if embedder is not None:
             records = embed_documents(records, embedder)
-        write_epoch(records, log_path, epoch)
+        writer = json.loads(read_text(spark, f"{checkpoint}/metadata"))["id"]
+        write_records(records, log_path, writer, epoch)
         if rejects_path:
             write_rejected(rejected_records(lines, content_key), rejects_path, epoch)
 

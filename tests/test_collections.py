@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import shutil
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
@@ -63,7 +64,7 @@ def test_import_query_list(spark, registry, tmp_path):
     assert [(r.value, r.reason) for r in spark.read.json(rejects).collect()] == [("bad{", "malformed")]
     assert contents(jobs.list_collection(spark, registry, "animals", log)) == EXPECTED
     # The same import again changes nothing.
-    assert jobs.import_jsonl(spark, registry, "animals", source, log, EMBEDDER, all_metadata=True).epoch == 1
+    assert jobs.import_jsonl(spark, registry, "animals", source, log, EMBEDDER, all_metadata=True).commit == 1
     assert contents(jobs.list_collection(spark, registry, "animals", log)) == EXPECTED
 
     records = store.current_records(spark, log)
@@ -78,28 +79,27 @@ def test_import_query_list(spark, registry, tmp_path):
     sinks.write_query_json(answer.drop("metadata"), out)
     assert spark.read.json(out).count() == 6
 
-    assert store.epochs(spark, log) == (None, [0, 1])
-    assert store.compact(spark, log) == 1 and store.epochs(spark, log) == (1, [])
+    found = store.state(spark, log)
+    assert found.base.number == 0 and [c.number for c in found.deltas] == [1]
+    assert store.compact(spark, log).covers == (0, 1) and store.state(spark, log).deltas == []
     assert contents(jobs.list_collection(spark, registry, "animals", log)) == EXPECTED
     write_lines(tmp_path / "more" / "a.jsonl", {"id": "2", "text": "the dog barks"}, {"id": "4", "text": "cat"})
-    assert jobs.import_jsonl(spark, registry, "animals", str(tmp_path / "more"), log, EMBEDDER) == (2, 2)
+    assert jobs.import_jsonl(spark, registry, "animals", str(tmp_path / "more"), log, EMBEDDER) == (3, 2)
     after = EXPECTED | {"2": ("the dog barks", "{}"), "4": ("cat", "{}")}
     assert contents(jobs.list_collection(spark, registry, "animals", log)) == after
     plan = simple(store.current_records(spark, log))
     assert "BroadcastHashJoin" in plan and "LeftAnti" in plan
-    assert store.compact(spark, log) == 2 and store.compact(spark, log) == 2
+    assert store.compact(spark, log).covers == (0, 1, 2, 3) and store.compact(spark, log).number == 4
     assert contents(jobs.list_collection(spark, registry, "animals", log)) == after
 
 
 def test_unfinished_writes_are_not_read(spark, tmp_path):
     log = str(tmp_path / "log")
     rows = spark.createDataFrame([("c", "a", "x")], "collection_id string, id string, document string")
-    store.write_epoch(rows, log, 0)
-    for kind in ("delta", "base"):
-        store.write_epoch(rows.withColumn("document", F.lit("half")), str(tmp_path / "other"), 5)
-        half = tmp_path / "log" / kind / "epoch=5"
-        shutil.copytree(tmp_path / "other" / "delta" / "epoch=5", half)
-        (half / "_SUCCESS").unlink()
+    store.write_records(rows, log)
+    other = store.write_records(rows.withColumn("document", F.lit("half")), str(tmp_path / "other"))
+    shutil.copytree(tmp_path / "other" / "data" / f"write={other.folder}", tmp_path / "log" / "data" / f"write={other.folder}")
+    (tmp_path / "log" / "log" / "000000000001.json").write_text("")  # claimed, not yet written
     assert [r.document for r in store.current_records(spark, log).collect()] == ["x"]
 
 
@@ -110,7 +110,7 @@ def test_listing_prunes_collections_and_columns(spark, tmp_path):
         F.col("id").cast("string").alias("id"),
         F.lit("text").alias("document"),
     )
-    store.write_epoch(rows, log, 0)
+    store.write_records(rows, log)
     listed = store.list_records(store.current_records(spark, log, "c1"), "c1")
     plan = physical(listed)
     assert "collection_id" in plan.split("PartitionFilters")[1].split("]")[0]
@@ -118,12 +118,65 @@ def test_listing_prunes_collections_and_columns(spark, tmp_path):
     assert listed.count() == 33
 
 
-def test_writing_an_epoch_again_replaces_it(spark, tmp_path):
+def test_a_batch_counts_once(spark, tmp_path):
     log = str(tmp_path / "log")
     rows = spark.createDataFrame([("c", "a", "x")], "collection_id string, id string, document string")
-    store.write_epoch(rows, log, 0)
-    store.write_epoch(rows, log, 0)
-    assert store.read_deltas(spark, log).count() == 1 and store.next_epoch(spark, log) == 1
+    first = store.write_records(rows, log, "stream", 4)
+    assert store.write_records(rows.withColumn("document", F.lit("again")), log, "stream", 4) == first
+    store.compact(spark, log)
+    assert store.write_records(rows.withColumn("document", F.lit("again")), log, "stream", 4) == first
+    assert [r.document for r in store.current_records(spark, log).collect()] == ["x"]
+
+
+def test_two_writers_at_once_both_count(spark, tmp_path):
+    log = str(tmp_path / "log")
+    schema = "collection_id string, id string, document string"
+
+    def write(i):
+        rows = spark.createDataFrame([("c", f"own{i}", "x"), ("c", "shared", str(i))], schema)
+        return store.write_records(rows, log).number
+
+    with ThreadPoolExecutor(4) as pool:
+        numbers = list(pool.map(write, range(4)))
+    assert sorted(numbers) == [0, 1, 2, 3]
+    now = {r.id: r.document for r in store.current_records(spark, log).collect()}
+    assert set(now) == {"shared", *(f"own{i}" for i in range(4))} and now["shared"] == str(numbers.index(3))
+
+
+def test_a_write_during_compaction_stays(spark, tmp_path, monkeypatch):
+    log = str(tmp_path / "log")
+    schema = "collection_id string, id string, document string"
+    for i in range(2):
+        store.write_records(spark.createDataFrame([("c", f"r{i}", "x")], schema), log)
+    write = store._write
+
+    def interrupted(rows, path):
+        write(rows, path)
+        monkeypatch.setattr(store, "_write", write)
+        store.write_records(spark.createDataFrame([("c", "late", "x")], schema), log)
+
+    monkeypatch.setattr(store, "_write", interrupted)
+    store.compact(spark, log)
+    assert {r.id for r in store.current_records(spark, log).collect()} == {"r0", "r1", "late"}
+    store.compact(spark, log)
+    assert {r.id for r in store.current_records(spark, log).collect()} == {"r0", "r1", "late"}
+
+
+def test_a_fresh_import_is_scanned_in_place(spark, tmp_path):
+    log = str(tmp_path / "log")
+    rows = spark.createDataFrame([("c", "a", "old", 0), ("c", "a", "new", 1)], "collection_id string, id string, document string, line_seq long")
+    store.write_records(rows, log)
+    plan = simple(store.current_records(spark, log))
+    assert "Exchange" not in plan and "Window" not in plan
+    assert [r.document for r in store.current_records(spark, log).collect()] == ["new"]
+
+
+def test_add_to_log_writes_only_new_rows(spark, tmp_path):
+    log = str(tmp_path / "log")
+    assert jobs.add_to_log(spark, log, ["a", "b"], "c", EMBEDDER, ids=["1", "2"]).records == 2
+    assert jobs.add_to_log(spark, log, ["other", "d"], "c", EMBEDDER, ids=["2", "3"]).records == 1
+    now = {r.id: r.document for r in store.current_records(spark, log, "c").collect()}
+    assert now == {"1": "a", "2": "b", "3": "d"}
 
 
 def test_stream_equals_batch(spark, tmp_path):
@@ -142,15 +195,15 @@ def test_stream_equals_batch(spark, tmp_path):
     run()
     batch = str(tmp_path / "batch")
     imported = import_records(read_jsonl(spark, str(source)), all_metadata=True)
-    store.write_epoch(imported.withColumn("collection_id", F.lit("animals")), batch, 0)
+    store.write_records(imported.withColumn("collection_id", F.lit("animals")), batch)
     streamed = contents(store.current_records(spark, log, "animals"))
     assert streamed == contents(store.current_records(spark, batch, "animals")) and len(streamed) == 5
-    assert len(store.epochs(spark, log)[1]) == 2
+    assert len(store.commits(spark, log)) == 2
     run()
-    assert len(store.epochs(spark, log)[1]) == 2
+    assert len(store.commits(spark, log)) == 2
     write_lines(source / "c.jsonl", {"id": "2", "text": "a dog woke up"})
     run()
-    assert len(store.epochs(spark, log)[1]) == 3
+    assert len(store.commits(spark, log)) == 3
     assert spark.read.json(str(tmp_path / "rejects")).count() == 1
     now = store.current_records(spark, log, "animals")
     assert contents(now)["2"] == ("a dog woke up", "{}")
