@@ -294,12 +294,19 @@ def query_response(
     return joined.select("query_id", "rank", "id", *wanted, "distance")
 
 
-def query_response_nested(response: DataFrame) -> DataFrame:
-    """One row per query with parallel arrays in rank order (k elements at most)."""
+def query_response_nested(response: DataFrame, queries: DataFrame | None = None) -> DataFrame:
+    """One row per query with parallel arrays in rank order (k elements at most).
+
+    With `queries` each of them has a row; one without hits, because nothing is
+    stored or its vector is missing or not a number, has empty arrays.
+    """
     fields = [c for c in response.columns if c not in ("query_id", "rank")]
     rows = F.collect_list(F.struct("rank", F.struct(*fields).alias("hit")))
     ordered = response.groupBy("query_id").agg(_by_rank(rows).alias("_hits"))
     names = {"id": "ids", "document": "documents", "metadata": "metadatas", "distance": "distances"}
+    if queries is not None:
+        ordered = queries.select("query_id").distinct().join(ordered, "query_id", "left")
+        ordered = ordered.withColumn("_hits", F.coalesce("_hits", F.array().cast(ordered.schema["_hits"].dataType)))
     return ordered.select(
         "query_id",
         *[_field("_hits", f).alias(names.get(f, f)) for f in fields],
@@ -314,6 +321,17 @@ def _by_rank(rows):
     return F.array_sort(rows, lambda a, b: (a["rank"] - b["rank"]).cast("int"))
 
 
+def listing_lines(listed: DataFrame) -> DataFrame:
+    """One display text per listed record: its id, then content and metadata where asked for and there."""
+    parts = [F.concat(F.lit("- "), F.col("id"))]
+    if "document" in listed.columns:
+        parts.append(F.concat(F.lit("    Content: "), F.col("document")))
+    if "metadata" in listed.columns:
+        text = F.col("metadata").cast("string")
+        parts.append(F.concat(F.lit("    Metadata: "), F.when(text != "{}", text)))
+    return listed.select("id", F.concat_ws("\n", *parts).alias("value"))
+
+
 def query_lines(response: DataFrame) -> DataFrame:
     """Two display lines per hit: rank, distance and id, then the content."""
     head = F.format_string("  [%d] (Dist: %s) ID: %s", "rank", format_distance(F.col("distance")), "id")
@@ -337,7 +355,9 @@ def search_records(
 ) -> DataFrame:
     """Answer vector queries (`query_id`, `embedding`) over one collection, in long form."""
     k = result_count(n_results)
-    bound = BROADCAST_QUERIES * k if few_queries(queries) else None
+    # above the bound query_response stages the hits, so that the search runs once
+    bound = queries.count() * k if few_queries(queries) else None
+    bound = bound if bound is None or bound <= BROADCAST_HITS else None
     return query_response(knn(records, queries, k, metric), records, bound, include)
 
 

@@ -73,7 +73,7 @@ def _words(text: str) -> str:
 VOCABULARY = f"""
   SELECT token, CAST(CAST('0x' || substr(sha256(token), 1, 6) AS BIGINT) % 29000 + 1000 AS INTEGER) AS token_id
   FROM (SELECT unnest({_words('text')}) AS token FROM documents)
-  GROUP BY token HAVING count(*) >= 2
+  GROUP BY token
 """
 
 
@@ -279,6 +279,20 @@ ORACLES: dict[str, str] = {
       LEFT JOIN t ON t.item_id = w.item_id AND t.pos = p.pos
       LEFT JOIN ({VOCABULARY}) v ON t.word = v.token
     """,
+    "encode_tokens_joined": f"""
+      WITH w AS (SELECT conv_id, turn, {_words('text')} AS words FROM conversations),
+      p AS (SELECT conv_id, turn, words, unnest(range(least(len(words) + 2, 512))) AS pos FROM w)
+      SELECT p.conv_id, p.turn, CAST(p.pos AS INTEGER) AS pos,
+             CAST(CASE WHEN p.pos = 0 THEN 101 WHEN p.pos <= len(p.words) THEN coalesce(v.token_id, 100) ELSE 102 END AS INTEGER) AS token_id
+      FROM p LEFT JOIN ({VOCABULARY}) v ON p.words[p.pos] = v.token
+    """,
+    "listing_lines": """
+      SELECT 'd' || CAST(doc_id AS VARCHAR) AS id,
+             sha256('- d' || CAST(doc_id AS VARCHAR)
+                    || CASE WHEN contains(text, 'the') THEN chr(10) || '    Content: ' || text ELSE '' END
+                    || chr(10) || '    Metadata: {"lang":"' || lang || '","n_chars":' || CAST(n_chars AS VARCHAR) || '}') AS digest
+      FROM documents WHERE source = 'src3'
+    """,
     "hashing_embed_documents": f"SELECT id, pos, round(CAST(value AS DOUBLE), 6) AS value FROM ({_hashed('documents', 'doc_id')})",
     "embed_documents_in_workers": f"SELECT id, pos, round(CAST(value AS DOUBLE), 6) AS value FROM ({_hashed('documents', 'doc_id')})",
     "first_token_pooling": """
@@ -298,7 +312,9 @@ ORACLES: dict[str, str] = {
     """,
     "query_response_nested": f"""
       SELECT h.query_id, string_agg(CAST(h.id AS VARCHAR), ',' ORDER BY h.rank) AS ids,
-             sha256(string_agg(d.text, ',' ORDER BY h.rank)) AS documents, CAST(count(*) AS INTEGER) AS n
+             sha256(string_agg(d.text, ',' ORDER BY h.rank)) AS documents,
+             sha256(string_agg('{{"lang":"' || d.lang || '","source":"' || d.source || '"}}', ',' ORDER BY h.rank)) AS metadatas,
+             round(sum(h.dist ORDER BY h.rank), 6) AS distances, CAST(count(*) AS INTEGER) AS n
       FROM ({BENCHMARK_HITS}) h JOIN documents d ON h.id = d.doc_id GROUP BY h.query_id
     """,
     "vector_distances": f"""

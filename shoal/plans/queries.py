@@ -137,13 +137,10 @@ def benchmark_queries(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def vocabulary(spark: SparkSession, sf: str) -> DataFrame:
-    """Words that occur at least twice in the documents, with an id made from their hash."""
+    """All words of the documents, with an id made from their hash; other tables' words may be unknown."""
     words = spread(table(spark, sf, "documents")).select(F.explode(tokenize_words(F.col("text"))).alias("token"))
     number = F.conv(F.substring(F.sha2("token", 256), 1, 6), 16, 10).cast("long")
-    return (
-        words.groupBy("token").count().where(F.col("count") >= 2)
-        .select("token", (number % 29000 + 1000).cast("int").alias("token_id"))
-    )
+    return words.distinct().select("token", (number % 29000 + 1000).cast("int").alias("token_id"))
 
 
 def exploded(df: DataFrame, array_col: str, *keys: str) -> DataFrame:
@@ -563,16 +560,38 @@ def text_query(spark, sf):
 
 @query
 def query_response_nested(spark, sf):
-    response = search.search_records(hashed_documents(spark, sf), benchmark_queries(spark, sf), RESULTS)
-    nested = search.query_response_nested(response.drop("metadata"))
+    asked = benchmark_queries(spark, sf)
+    response = search.search_records(hashed_documents(spark, sf), asked, RESULTS)
+    nested = search.query_response_nested(response, asked)
+    metadata = F.transform("metadatas", lambda m: m.cast("string"))
     return nested.select(
         "query_id",
         F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"),
         F.sha2(F.array_join("documents", ","), 256).alias("documents"),
+        F.sha2(F.array_join(metadata, ","), 256).alias("metadatas"),
+        F.round(F.aggregate("distances", F.lit(0.0), lambda a, d: a + d), 6).alias("distances"),
         F.size("distances").alias("n"),
     )
 
 
+@query
+def listing_lines(spark, sf):
+    listed = records_of(document_records(spark, sf), "src3")
+    optional = F.when(F.col("document").contains("the"), F.col("document")).alias("document")
+    return search.listing_lines(listed.select("id", optional, "metadata")).select("id", F.sha2("value", 256).alias("digest"))
+
+
+@query
+def encode_tokens_joined(spark, sf):
+    """The path for vocabularies beyond the broadcast bound; conversation ids repeat."""
+    turns = table(spark, sf, "conversations").select(F.col("conv_id").alias("id"), "turn", F.col("text").alias("document"))
+    encoded = tokens.encode_tokens(turns, vocabulary(spark, sf), max_vocabulary=0)
+    zipped = F.arrays_zip("input_ids", "attention_mask", "token_type_ids")
+    return encoded.select(
+        F.col("id").alias("conv_id"), "turn", F.posexplode(zipped).alias("pos", "z")
+    ).where("z.attention_mask = 1").select("conv_id", "turn", "pos", F.col("z.input_ids").alias("token_id"))
+
+
 @query
 def vector_distances(spark, sf):
     """Each vector and the next one, by every metric, as column expressions."""

@@ -131,7 +131,11 @@ def write_records(records: DataFrame, path: str, writer: str | None = None, batc
     rows = _conform(records, T.StructType([f for f in LOG_RECORD.fields if f.name != "commit"]))
     rows = last_wins(rows.observe(given, F.count(F.lit(1)).alias("n")), order=order)
     _write(rows.select(*RECORD.names), f"{path}/data/write={folder}")
-    entry = {"writer": writer, "batch": batch, "folder": folder, "records": given.get["n"]}
+    try:
+        n = given.get["n"]
+    except Py4JJavaError:  # a plan that turns out empty has nothing to observe
+        n = _folders(spark, path, {folder: 0}).count()
+    entry = {"writer": writer, "batch": batch, "folder": folder, "records": n}
     number = _commit(spark, path, entry, None)
     return next(c for c in commits(spark, path) if (c.writer, c.batch) == (writer, batch) and c.number <= number)
 

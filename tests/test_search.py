@@ -204,6 +204,22 @@ def test_long_response(response):
     assert "BroadcastHashJoin" in simple(response)
 
 
+def test_every_query_has_a_nested_answer(spark, response):
+    asked = spark.createDataFrame([(0,), (1,), (99,)], "query_id int")
+    every = {r.query_id: r for r in search.query_response_nested(response, asked).collect()}
+    assert [len(every[i].ids) for i in (0, 1, 99)] == [2, 2, 0] and every[99].documents == every[99].distances == []
+    none = search.query_response_nested(response.limit(0), asked).collect()
+    assert len(none) == 3 and all(r.ids == [] for r in none)
+
+
+def test_listing_lines(spark):
+    rows = spark.createDataFrame([("a", "text", '{"k":1}'), ("b", None, "{}"), ("c", "x", None)], "id string, document string, metadata string")
+    rows = rows.withColumn("metadata", F.parse_json("metadata"))
+    lines = {r.id: r.value for r in search.listing_lines(rows).collect()}
+    assert lines == {"a": '- a\n    Content: text\n    Metadata: {"k":1}', "b": "- b", "c": "- c\n    Content: x"}
+    assert {r.value for r in search.listing_lines(rows.select("id")).collect()} == {"- a", "- b", "- c"}
+
+
 def test_nested_response(response):
     rows = search.query_response_nested(response).orderBy("query_id").collect()
     assert [r.ids for r in rows] == [["a", "b"], ["c", "b"]]

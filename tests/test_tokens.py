@@ -42,6 +42,20 @@ def test_both_lookups_agree(encoded):
     assert encoded(*texts) == encoded(*texts, max_vocabulary=0)
 
 
+def test_repeated_and_missing_ids_keep_their_words(spark, vocabulary):
+    rows = [("x", "hello b"), ("x", "b"), (None, "hello"), (None, None), ("y", "")]
+    frame = spark.createDataFrame(rows, "id string, document string")
+
+    def answers(**bound):
+        got = encode_tokens(frame, vocabulary, **bound).collect()
+        return sorted((str(r.id), str(r.document), str(r.input_ids and r.input_ids[:4]), str(r.attention_mask and sum(r.attention_mask))) for r in got)
+
+    small = answers()
+    assert small == answers(max_vocabulary=0)
+    assert ("None", "None", "None", "None") in small and ("None", "hello", "[101, 7592, 102, 0]", "3") in small
+    assert ("x", "b", "[101, 100, 102, 0]", "3") in small
+
+
 def test_salted_lookup(spark, vocabulary, monkeypatch):
     monkeypatch.setattr(lookup, "BROADCAST_ROWS", 0)
     words = spark.range(1000).select("id", F.when(F.col("id") % 3 == 0, "hello").otherwise("zzz").alias("word"))
