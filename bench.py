@@ -1,6 +1,7 @@
 """Time the headline queries; prints one JSON line.
 
-BENCH_SF_DIR and BENCH_CPUS choose the tables and the number of local cores.
+BENCH_SF_DIR and BENCH_CPUS choose the tables and the number of local cores,
+BENCH_SHARED_DIR the folder for staged data.
 Each query runs `BENCH_RUNS` times (2) into a sink that discards the rows; the
 shortest run counts.
 """
@@ -10,6 +11,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -51,6 +53,7 @@ def main() -> None:
         master=f"local[{cpus}]",
         **{
             "spark.sql.shuffle.partitions": cpus,
+            "spark.checkpoint.dir": os.environ.get("BENCH_SHARED_DIR") or tempfile.mkdtemp(prefix="shoal-bench-"),
             "spark.ui.enabled": "false",
             "spark.driver.memory": "16g",
             "spark.ui.showConsoleProgress": "false",

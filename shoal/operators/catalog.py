@@ -84,15 +84,20 @@ def _named(requests: DataFrame) -> DataFrame:
     named = F.when(
         F.coalesce(F.col("name"), F.lit("")) == "", F.raise_error(F.lit("collection name is empty"))
     ).otherwise(F.col("name"))
-    return requests.select(*SCOPE, named.alias("name")).distinct()
+    requests = requests.withColumn("name", named)
+    if "metadata" not in requests.columns:
+        return requests.select(*SCOPE, "name").distinct()
+    # a name that is asked for twice takes the metadata whose text is smallest
+    text = F.min(F.col("metadata").cast("string"))
+    return requests.groupBy(*SCOPE, "name").agg(F.try_parse_json(text).alias("metadata"))
 
 
 def create_collections(requests: DataFrame, registry: DataFrame) -> DataFrame:
-    """The registry after get-or-create of every requested name."""
+    """The registry after get-or-create of every requested name, with the metadata asked for, if any."""
     missing = _named(requests).join(registry.select(*SCOPE, "name"), [*SCOPE, "name"], "left_anti")
     given = {
         "id": collection_uuid(F.col("tenant"), F.col("database"), F.col("name")),
-        **{c: F.col(c) for c in ("name", *SCOPE)},
+        **{c: F.col(c) for c in ("name", *SCOPE, *({"metadata"} & set(missing.columns)))},
     }
     columns = [
         given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name)

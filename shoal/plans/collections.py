@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from shoal.operators.catalog import require_resolved, resolve_collection, resolve_or_input
 from shoal.operators.embed import Embedder, embed_documents, require_embedder
@@ -17,6 +18,7 @@ from shoal.schemas import DEFAULT_DATABASE, DEFAULT_TENANT
 from shoal.sources.jsonl import read_jsonl
 from shoal.sources.sinks import write_rejected
 from shoal.sources.store import current_records, list_records, write_records
+from shoal.streaming.importer import stream_import
 
 
 def collection_id(
@@ -69,6 +71,28 @@ def import_jsonl(
     return Imported(done.number, done.records)
 
 
+def stream_jsonl_into(
+    spark: SparkSession,
+    registry: DataFrame,
+    collection: str,
+    source: str,
+    log_path: str,
+    checkpoint: str,
+    embedder: Embedder | None,
+    *,
+    tenant: str = DEFAULT_TENANT,
+    database: str = DEFAULT_DATABASE,
+    **options,
+) -> StreamingQuery:
+    """Start a continuous import into a collection given by name; an unknown name is an error.
+
+    `options` are those of `stream_import`.
+    """
+    embedder = require_embedder(embedder)
+    target = collection_id(registry, collection, tenant, database)
+    return stream_import(spark, source, log_path, checkpoint, target, embedder=embedder, **options)
+
+
 def add_documents(
     current: DataFrame,
     documents: DataFrame | Sequence[str],

@@ -113,6 +113,11 @@ def _commit(spark: SparkSession, path: str, entry: dict, covers: list[int] | Non
         return number
 
 
+def append_commit(spark: SparkSession, path: str, folder: str, records: int) -> int:
+    """Commit a folder of rows as a write of its own; returns its number."""
+    return _commit(spark, path, {"writer": folder, "batch": 0, "folder": folder, "records": records}, None)
+
+
 def write_records(records: DataFrame, path: str, writer: str | None = None, batch: int = 0) -> Commit:
     """Append one write to a table; a later row replaces an earlier one of its id.
 

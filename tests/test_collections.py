@@ -15,6 +15,7 @@ from shoal.operators.embed import HashingEmbedder
 from shoal.plans import collections as jobs
 from shoal.schemas import COLLECTION, RECORD
 from shoal.sources import sinks, store
+from shoal.sources.registry import load_registry, store_collections
 from shoal.sources.jsonl import read_jsonl
 from shoal.operators.ingest import import_records
 from shoal.streaming.importer import stream_import
@@ -171,6 +172,31 @@ def test_a_fresh_import_is_scanned_in_place(spark, tmp_path):
     assert [r.document for r in store.current_records(spark, log).collect()] == ["new"]
 
 
+def test_registry_outlives_the_call(spark, tmp_path):
+    path = str(tmp_path / "registry")
+    schema = "tenant string, database string, name string, metadata string"
+    asked = spark.createDataFrame([(*SCOPE, "a", '{"k":1}'), (*SCOPE, "b", None)], schema)
+    asked = asked.withColumn("metadata", F.parse_json("metadata"))
+    assert load_registry(spark, path).count() == 0
+    first = {r.name: (r.id, r.m) for r in store_collections(asked, path).select("name", "id", F.col("metadata").cast("string").alias("m")).collect()}
+    assert first["a"][1] == '{"k":1}' and first["b"][1] is None
+    more = store_collections(asked.drop("metadata").unionByName(spark.createDataFrame([(*SCOPE, "c")], "tenant string, database string, name string")), path)
+    again = {r.name: r.id for r in load_registry(spark, path).collect()}
+    assert again == {"a": first["a"][0], "b": first["b"][0], "c": again["c"]} and more.count() == 3
+    assert len(store.commits(spark, path)) == 2
+    store_collections(asked, path)
+    assert len(store.commits(spark, path)) == 2
+
+
+def test_stream_into_a_named_collection(spark, registry, tmp_path):
+    write_lines(tmp_path / "in" / "a.jsonl", {"id": "1", "text": "x"})
+    log, state = str(tmp_path / "log"), str(tmp_path / "state")
+    jobs.stream_jsonl_into(spark, registry, "animals", str(tmp_path / "in"), log, state, EMBEDDER).awaitTermination()
+    assert contents(jobs.list_collection(spark, registry, "animals", log)) == {"1": ("x", "{}")}
+    with pytest.raises(Exception, match="collection 'nope' not found"):
+        jobs.stream_jsonl_into(spark, registry, "nope", str(tmp_path / "in"), log, state, EMBEDDER)
+
+
 def test_add_to_log_writes_only_new_rows(spark, tmp_path):
     log = str(tmp_path / "log")
     assert jobs.add_to_log(spark, log, ["a", "b"], "c", EMBEDDER, ids=["1", "2"]).records == 2
