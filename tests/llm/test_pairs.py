@@ -8,7 +8,7 @@ import xxhash
 
 from shoal.llm.common import components
 from shoal.llm.nn_descent import near_vectors
-from shoal.llm import simhash_bk
+from shoal.llm import nn_descent, simhash_bk
 from shoal.llm.simhash_bk import BKTree, fingerprint, near_duplicates, one_of_each
 
 
@@ -119,6 +119,44 @@ def test_vectors_against_brute_force(spark):
             assert (r["n_links"], r["component_id"], r["kept"]) == (degree.get(r["vec_id"], 0), want[r["vec_id"]], want[r["vec_id"]] == r["vec_id"])
 
 
+def same_as_brute_force(spark, rows):
+    links = brute_vectors(rows)
+    got = near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(4)).collect()
+    want = brute_components({r[0] for r in rows}, links)
+    degree = {r[0]: 0 for r in rows}
+    for a, b in links:
+        degree[a] += 1
+        degree[b] += 1
+    assert {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in got} == {i: (degree[i], want[i], want[i] == i) for i in degree}
+
+
+def bundles(cross, members=12, width=64):
+    """Two bundles of vectors; inside of each all lists are full, between them cosines are near `cross`."""
+    rng = np.random.default_rng(8)
+    a, b = np.linalg.qr(rng.standard_normal((width, 2)))[0].T
+    centres = [a, cross * a + np.sqrt(1 - cross * cross) * b]
+    near = [c + 0.02 / np.sqrt(width) * rng.standard_normal(width) for c in centres for _ in range(members)]
+    return [v.tolist() for v in near]
+
+
+@pytest.mark.parametrize("whole", [1024, 0])
+def test_links_between_full_lists(spark, monkeypatch, whole):
+    """Each bundle fills its own members' lists, so links between the bundles are in no list."""
+    monkeypatch.setattr(nn_descent, "WHOLE", whole, raising=False)
+    rng = np.random.default_rng(9)
+    rows = [(i, v, 1) for i, v in enumerate(bundles(0.985) + bundles(0.5, 300))]
+    rows += [(1000 + i, rng.standard_normal(64).tolist(), 1 + i % 2) for i in range(200)]
+    same_as_brute_force(spark, rows)
+
+
+def test_audit_fails_aloud(spark, monkeypatch):
+    monkeypatch.setattr(nn_descent, "WHOLE", 0)
+    monkeypatch.setattr(nn_descent, "gathered", lambda unit, links, threshold: (spark.createDataFrame([], "id long, n long"), links))
+    rows = spark.createDataFrame([(i, v, 1) for i, v in enumerate(bundles(0.985))], "vec_id long, embedding array<double>, label int")
+    with pytest.raises(RuntimeError, match="too few"):
+        near_vectors(rows)
+
+
 def test_vectors_empty(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert near_vectors(empty).count() == 0
