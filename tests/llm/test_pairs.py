@@ -149,6 +149,19 @@ def test_links_between_full_lists(spark, monkeypatch, whole):
     same_as_brute_force(spark, rows)
 
 
+def test_small_label_beside_a_large_one(spark, monkeypatch):
+    """Leaves as deep as the large label's would part the small label's pairs."""
+    monkeypatch.setattr(nn_descent, "LEAF", 2)
+    rng = np.random.default_rng(10)
+    rows = [(i, rng.standard_normal(32).tolist(), 1) for i in range(3000)]
+    for i in range(3000, 3200, 2):
+        v = rng.standard_normal(32)
+        rows += [(i, v.tolist(), 2), (i + 1, (v + 0.18 * rng.standard_normal(32)).tolist(), 2)]
+    want = {a for pair in brute_vectors(rows[3000:]) for a in pair}
+    got = near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(4)).where("n_links > 0").collect()
+    assert len(want) > 100 and {r["vec_id"] for r in got} == want
+
+
 def test_audit_fails_aloud(spark, monkeypatch):
     monkeypatch.setattr(nn_descent, "WHOLE", 0)
     monkeypatch.setattr(nn_descent, "gathered", lambda unit, links, threshold: (spark.createDataFrame([], "id long, n long"), links))
