@@ -20,17 +20,23 @@ KINDS = ("assign", "access", "hex", "entropy")
 
 WINDOW = 20
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}+"
-# Bits per character from which a window counts: hex digits, and mixed letters and digits.
-HEX_BITS, MIXED_BITS = 3.0, 3.8
-
-# Candidates that are known not to be secrets: UUIDs, published checksums,
-# documentation keys, counting sequences, and paths of plain words.
+# Bits per character from which a window counts: hex digits, digits with letters of both
+# cases, FEW_DIGITS or more digits with letters of one case, and other letters.
+HEX_BITS, MIXED_BITS, LOWER_BITS, UPPER_BITS, LETTER_BITS = 3.0, 3.8, 3.7, 3.6, 3.9
+FEW_DIGITS = 3
+
+# Known not to be secrets: UUIDs, which are blanked in a candidate, and hot spans, widened
+# to the separators around them, that are documentation keys, counting sequences or plain
+# words and numbers; or that end a published checksum.
+UUID = r"(?<![0-9A-Za-z])[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}(?![0-9A-Za-z])"
 ALLOWED = (
-    r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    r"^(sha1|sha256|sha384|sha512|md5)[-=_]",
-    r"EXAMPLE|example|SAMPLE|PLACEHOLDER|XXXXXX|xxxxxx",
-    r"(?i)abcdefghij|0123456789|9876543210",
-    r"^/?([A-Za-z]+[0-9]{0,2}[/_-])+[A-Za-z]*[0-9]{0,2}$",
+    r"(?:EXAMPLE|SAMPLE|PLACEHOLDER)(?:KEY)?$",
+    r"(?i)^(?:0?123456789?0?|9876543210|abcdef(?:ghij(?:klmnopqrstuvwxyz)?)?|\+)+$",
+    r"^[/_=-]*(?:(?:[A-Za-z]{1,19}[0-9]{0,2}|[0-9]{1,8})[/_=-]+)+(?:[A-Za-z]{1,19}[0-9]{0,2}|[0-9]{1,8})?$",
+)
+CHECKSUM = (
+    r"(?:^|[/_=-])(?:sha1-[A-Za-z0-9+/]{1,27}|sha256-[A-Za-z0-9+/]{1,43}|sha384-[A-Za-z0-9+/]{1,64}|sha512-[A-Za-z0-9+/]{1,86})=*$"
+    r"|(?:^|[/_=-])(?:md5|sha1|sha256|sha384|sha512)[-=_][0-9a-fA-F]{1,128}$"
 )
 
 
@@ -89,7 +95,11 @@ def hot_windows(candidate: Column) -> Column:
     def judged(state: Column, i: Column) -> Column:
         bits = F.log2(F.lit(float(WINDOW))) - state["total"] / WINDOW
         hexes = (state["hexes"] == WINDOW) & (state["digit"] > 0) & (state["digit"] < WINDOW) & (bits >= HEX_BITS - 1e-9)
-        mixed = (state["digit"] > 0) & (state["upper"] > 0) & (state["lower"] > 0) & (bits >= MIXED_BITS - 1e-9)
+        one_case = F.when(state["lower"] > 0, LOWER_BITS).otherwise(UPPER_BITS)
+        one_case = F.when(state["digit"] < FEW_DIGITS, LETTER_BITS).otherwise(one_case)
+        two_cases = (state["upper"] > 0) & (state["lower"] > 0)
+        least = F.when(two_cases, F.when(state["digit"] > 0, MIXED_BITS).otherwise(LETTER_BITS)).otherwise(one_case)
+        mixed = (state["upper"] + state["lower"] > 0) & (bits >= least - 1e-9)
         hot, begin = state["hot"], i - WINDOW
         joined = (F.size(hot) > 0) & (F.element_at(F.concat(hot, F.array(F.struct(F.lit(-1).alias("start"), F.lit(-1).alias("end")))), -2)["end"] >= begin)
         last = F.element_at(hot, -1)
@@ -109,15 +119,23 @@ def hot_windows(candidate: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(candidate)), begin, both, lambda s: s["hot"])
 
 
+def known(run: Column, hot: Column) -> Column:
+    """Whether a hot span of a candidate, widened to the separators around it, is on the allow-list."""
+    left = F.regexp_extract(F.substring(run, F.lit(1), hot["start"]), "[^/=_-]*$", 0)
+    right = F.regexp_extract(F.substring(run, hot["end"] + 1, F.length(run)), "^[^/=_-]*", 0)
+    whole = F.concat(left, F.substring(run, hot["start"] + 1, hot["end"] - hot["start"]), right)
+    upto = F.concat(F.substring(run, F.lit(1), hot["end"]), right)
+    return whole.rlike("|".join(f"(?:{p})" for p in ALLOWED)) | upto.rlike(CHECKSUM)
+
+
 def entropy_spans(text: Column) -> Column:
-    """Spans of high entropy in candidate strings that no allow-list pattern covers."""
-    runs = found(text, CANDIDATE)
-    # a window can only count with a digit and a letter in it
-    doubtful = F.filter(runs, lambda r: r["match"].rlike("[0-9]") & r["match"].rlike("[A-Za-z]") & ~r["match"].rlike("|".join(f"(?:{p})" for p in ALLOWED)))
+    """Spans of high entropy in candidate strings that are not on the allow-list."""
+    # a window can only count with a letter in it
+    runs = F.filter(found(text, CANDIDATE), lambda r: r["match"].rlike("[A-Za-z]"))
     spans = F.transform(
-        doubtful,
+        runs,
         lambda r: F.transform(
-            hot_windows(r["match"]),
+            F.filter(hot_windows(F.regexp_replace(r["match"], UUID, " " * 36)), lambda h: ~known(r["match"], h)),
             lambda h: F.struct((r["start"] + h["start"]).alias("start"), F.lit(3).alias("kind"), (r["start"] + h["end"]).alias("end")),
         ),
     )

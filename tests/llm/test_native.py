@@ -134,6 +134,24 @@ def test_windows_against_brute_force(spark):
         assert [tuple(h) for h in r["h"]] == brute_hot(texts[r["i"]])
 
 
+def test_secrets_of_each_class(spark):
+    """Keys of one case, base32 and letters; words of the allow-list next to a key do not hide it."""
+    keys = ["q7w2k9z4x1m8p3v6t5r0", "JBSWY3DPEHPK3PXPQ7R4ZT2M", "QwZxRtYpLkMnBvCsDfGhJa", "Zx9Qp2Lk8Vb3Nm7Ty1Rw5Gh0"]
+    around = ["x {} y", "example_key={}", "/example/{}", "md5={}", "XXXXXX/{}", "0123456789/{}", "{}"]
+    rows = [a.format(k) for k in keys for a in around]
+    plain = [
+        "see /usr/local/share/documentation/chapter12 for-all-of-the-long-hyphenated-words 2024-05-13-report-about-things",
+        "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789 wJalrXUtnFEMIK7MDENGbPxRfiCYEXAMPLEKEY",
+        "123e4567-e89b-12d3-a456-426614174000 sha256-Zx9Qp2Lk8Vb3Nm7Ty1Rw5Gh0",
+    ]
+    docs = spark.createDataFrame(list(enumerate(rows + plain)), "doc_id long, text string")
+    got = {r["doc_id"]: [(s["start"], s["end"]) for s in r["added"] + r["base"]] for r in scan_secrets(docs).collect()}
+    for i, text in enumerate(rows):
+        at = text.index(keys[i // len(around)])
+        assert any(a < at + 20 and at < b for a, b in got[i]), text
+    assert [got[len(rows) + i] for i in range(len(plain))] == [[], [], []]
+
+
 def test_secrets_edges(edge_docs, no_docs):
     assert secret_digest(edge_docs).count() == edge_docs.count()
     assert secret_digest(no_docs).count() == 0
