@@ -15,8 +15,10 @@ from shoal.llm.license_text import scan_licenses
 from shoal.llm.nn_descent import near_vectors
 from shoal.llm.pareto_mix import mix
 from shoal.llm.piece_lang import fit, identify, public_pieces
+from shoal.llm.rank_index import fim_digest
 from shoal.llm.rank_vbyte import tokenize
 from shoal.llm.simhash_bk import near_duplicates
+from shoal.llm.trie_audit import audit
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -92,3 +94,13 @@ def op3_context_mix(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op9_license_text(spark: SparkSession, sf: str) -> DataFrame:
     return scan_licenses(table(spark, sf, "documents"))
+
+
+@query
+def op12_rank_index_fim(spark: SparkSession, sf: str) -> DataFrame:
+    return fim_digest(table(spark, sf, "documents"))
+
+
+@query
+def op13_trie_audit(spark: SparkSession, sf: str) -> DataFrame:
+    return audit(table(spark, sf, "documents"), table(spark, sf, "labels"))
