@@ -54,8 +54,8 @@ DUPLICATE = "E"
 
 # Bytes of text that the tries of a task hold before they are emptied.
 HELD_BYTES = 32 << 20
-# Lengths of prefixes: 8 bytes, doubled until the whole text is covered.
-FIRST_PREFIX, LEVELS = 8, 28
+# Lengths of prefixes: 16 bytes, four times as long at each level, until the whole text is covered.
+FIRST_PREFIX, LEVELS = 16, 14
 # Rows of a batch that leaves a task, and bytes of text in it.
 ROWS_OUT, BYTES_OUT = 4096, 8 << 20
 
@@ -214,37 +214,41 @@ def _settle(duplicate: int, schema: pa.Schema):
     return run
 
 
-def with_adaptive_prefix(rows: DataFrame, body: str = "body") -> DataFrame:
-    """Add (head, prefix): texts that agree in a prefix as long as it takes to part the bytes evenly.
-
-    `rows` is written down with the hashes of its prefixes of 8, 16, 32, ... bytes.
-    Level by level, prefixes that hold more bytes than a quarter of a partition's
-    share are lengthened; there are at most 4 x partitions of them a level, which
-    bounds what is broadcast. A text that is covered whole is not split further;
-    its rows are one per distinct text and task, however many copies there are.
-    """
-    spark = rows.sparkSession
-    lengths = F.array(*[F.lit(FIRST_PREFIX << k) for k in range(LEVELS)])
+def with_prefix_hashes(rows: DataFrame, body: str = "body") -> DataFrame:
+    """Add the hashes of a text's prefixes, the last of which covers it whole, and its bytes."""
+    lengths = F.array(*[F.lit(FIRST_PREFIX << 2 * k) for k in range(LEVELS)])
     size = F.octet_length(body)
-    needed = F.filter(lengths, lambda n: (n == FIRST_PREFIX) | (F.shiftright(n, 1) < size))
+    needed = F.filter(lengths, lambda n: (n == FIRST_PREFIX) | (F.shiftright(n, 2) < size))
     hashes = F.transform(needed, lambda n: F.xxhash64(F.substring(F.col(body), F.lit(1), n)))
-    kept = stage(rows.withColumns({"hashes": hashes, "bytes": size.cast("long")}), "prefixes")
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return rows.withColumns({"hashes": F.when(F.col(body).isNotNull(), hashes), "bytes": size.cast("long")})
+
+
+def with_adaptive_prefix(kept: DataFrame, body: str = "body") -> DataFrame:
+    """Replace the hashes by (head, prefix): as long a prefix as it takes to part the bytes evenly.
+
+    `kept` is a written table with the columns of `with_prefix_hashes`. Level by
+    level, prefixes that hold more bytes than a quarter of a partition's share are
+    lengthened; there are at most 4 x partitions of them a level, which bounds
+    what is broadcast. A text that is covered whole is not split further; its rows
+    are one per distinct text and task, however many copies there are.
+    """
+    partitions = int(kept.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     share = max((kept.agg(F.sum("bytes")).first()[0] or 0) // (4 * partitions), 1)
     dealt = kept.withColumn("depth", F.lit(0))
     crowded = kept.select("hashes", "bytes")
     for level in range(LEVELS - 1):
         here, longer = F.get("hashes", F.lit(level)), F.size("hashes") > level + 1
         weights = crowded.groupBy(here.alias("heavy")).agg(F.sum("bytes").alias("weight"), F.max(longer).alias("longer"))
-        # a text that its last prefix covers whole cannot be split further
         heavy = stage(weights.where((F.col("weight") > share) & F.col("longer")).select("heavy"), "heavy")
         if heavy.isEmpty():
             break
-        crowded = crowded.where(longer).join(F.broadcast(heavy), here == F.col("heavy"), "left_semi")
+        # hashes only, written down so that a level reads no more than what is still crowded
+        crowded = stage(crowded.where(longer).join(F.broadcast(heavy), here == F.col("heavy"), "left_semi"), "crowded")
         dealt = dealt.join(F.broadcast(heavy), (here == F.col("heavy")) & longer, "left")
         dealt = dealt.withColumn("depth", F.when(F.col("heavy").isNotNull(), level + 1).otherwise(F.col("depth"))).drop("heavy")
+    others = [c for c in kept.columns if c not in ("hashes", "bytes")]
     head = F.substring(F.col(body), 1, FIRST_PREFIX)
-    return dealt.select(*rows.columns, head.alias("head"), F.element_at("hashes", F.col("depth") + 1).alias("prefix"))
+    return dealt.select(*others, head.alias("head"), F.element_at("hashes", F.col("depth") + 1).alias("prefix"))
 
 
 def masks(
@@ -259,11 +263,11 @@ def masks(
     screened = T.StructType([*settled, T.StructField("body", T.BinaryType())])
     arrow = pa.schema([("ident", to_arrow_type(kind)), ("part", pa.string()), ("mask", pa.int32()), ("n", pa.int64())])
     run = _screen(tests, duplicate, arrow.append(pa.field("body", pa.binary())))
-    first = stage(rows.mapInArrow(run, screened), "screened")
+    first = stage(with_prefix_hashes(rows.mapInArrow(run, screened)), "screened")
     dealt = with_adaptive_prefix(first.where("body IS NOT NULL"))
     dealt = dealt.repartitionByRange("head", "prefix").sortWithinPartitions("head", "prefix")
     last = dealt.mapInArrow(_settle(duplicate, arrow), settled)
-    return last.unionByName(first.where("body IS NULL").drop("body"))
+    return last.unionByName(first.where("body IS NULL").drop("body", "hashes", "bytes"))
 
 
 def orders(letters: str) -> Column:

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from shoal.llm import trie_audit
 from shoal.llm.queries import table
-from shoal.llm.trie_audit import Trie, audit, masks, shared_length, with_adaptive_prefix
+from shoal.llm.trie_audit import Trie, audit, masks, shared_length, with_adaptive_prefix, with_prefix_hashes
+from shoal.session import stage
 
 BITS = dict(zip("ABCDE", (1, 2, 4, 8, 16)))
 
@@ -104,7 +105,7 @@ def test_audit_against_brute_force(spark, monkeypatch):
 
 def test_prefixes_part_texts_that_begin_alike(spark):
     rows = [(("the same long beginning of all texts " * 20 + f"and {i:05d}").encode(),) for i in range(3000)] + [(b"whole",)] * 2000
-    dealt = with_adaptive_prefix(spark.createDataFrame(rows, "body binary"))
+    dealt = with_adaptive_prefix(stage(with_prefix_hashes(spark.createDataFrame(rows, "body binary")), "rows"))
     assert dealt.count() == 5000
     groups = dealt.groupBy("head", "prefix").agg(F.count("*").alias("n"), F.countDistinct("body").alias("kinds"), F.sum(F.octet_length("body")).alias("b")).collect()
     total = sum(len(b) for b, in rows)
