@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from shoal.llm.boosted_pii import pii_digest
 from shoal.llm.common import remainder, table
 from shoal.llm.context_mix import score_texts
 from shoal.llm.entropy_secrets import secret_digest
@@ -96,6 +97,11 @@ def op9_license_text(spark: SparkSession, sf: str) -> DataFrame:
     return scan_licenses(table(spark, sf, "documents"))
 
 
+@query
+def op11_boosted_pii(spark: SparkSession, sf: str) -> DataFrame:
+    return pii_digest(table(spark, sf, "documents"))
+
+
 @query
 def op12_rank_index_fim(spark: SparkSession, sf: str) -> DataFrame:
     return fim_digest(table(spark, sf, "documents"))
