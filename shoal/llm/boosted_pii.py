@@ -20,6 +20,7 @@ from typing import NamedTuple
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
+from shoal.functions.binding import with_computed
 from shoal.llm.spans import apart, found, running
 
 # The base kinds, in order. The patterns are those of the contract, with
@@ -345,7 +346,8 @@ def sentences(variants: int = VARIANTS, seed: int = 11) -> list[tuple[str, int,
 
 def _feature_rows(rows: DataFrame) -> DataFrame:
     """One row of features per candidate, next to the other columns; `body` holds the text."""
-    proposed = rows.withColumns({"base": base_spans(F.col("body")), "proposed": candidates(F.col("body"))})
+    # computed once, above all filters: the explode would filter on the candidates before the sample is taken
+    proposed = with_computed(rows, base=base_spans(F.col("body")), proposed=candidates(F.col("body")))
     spread = proposed.withColumn("c", F.explode("proposed")).drop("proposed", "body")
     in_base = F.exists("base", lambda b: (b["start"] < F.col("c.end")) & (F.col("c.start") < b["end"]))
     same = F.exists("base", lambda b: (b["start"] == F.col("c.start")) & (b["end"] == F.col("c.end")) & (b["kind"] == F.col("c.kind")))
