@@ -17,7 +17,7 @@ from shoal.functions.json import (
     sole_object,
 )
 from shoal.operators.ordering import take_first
-from shoal.session import allow_duplicate_keys
+from shoal.session import allow_duplicate_keys, stage
 
 CONTENT_KEY = "text"
 ID_KEY = "id"
@@ -103,6 +103,38 @@ def extract_records(
     )
 
 
+def split_lines(
+    lines: DataFrame,
+    *,
+    content_key: str = CONTENT_KEY,
+    id_key: str = ID_KEY,
+    all_metadata: bool = False,
+    metadata_keys: Sequence[str] = (),
+    n_ingest: int = 0,
+    order_by: Sequence[str] = SOURCE_ORDER,
+) -> tuple[DataFrame, DataFrame]:
+    """Records and rejected lines from one pass over `lines`.
+
+    What both are read from is staged by outcome: an accepted line keeps its
+    record's columns only, a rejected one its text and reason.
+    """
+    content_key, id_key = _or_default(content_key, CONTENT_KEY), _or_default(id_key, ID_KEY)
+    others = [c for c in lines.columns if c != "value"]
+    accepted = F.col("reason").isNull()
+    outcome = classify_lines(lines, content_key).select(
+        accepted.alias("accepted"),
+        F.when(accepted, choose_id(F.col("record"), id_key, F.col("content"))).alias("id"),
+        F.when(accepted, F.col("content")).alias("document"),
+        F.when(accepted, metadata_column(F.col("record"), all_metadata, metadata_keys, content_key, id_key)).alias("metadata"),
+        F.when(~accepted, F.col("value")).alias("value"),
+        "reason", "line_seq", *others,
+    )
+    staged = stage(outcome, "lines", "accepted")
+    records = staged.where("accepted").select("id", "document", "metadata", *others, "line_seq")
+    rejected = staged.where("NOT accepted").select(*lines.columns, "line_seq", "reason")
+    return take_first(records, n_ingest, order_by), rejected
+
+
 def import_records(
     lines: DataFrame,
     *,

@@ -15,11 +15,11 @@ SALTS = 16
 
 
 def fits_broadcast(df: DataFrame, rows: int | None = None, size: int | None = None) -> bool:
-    """Add up the rows and bytes of `df`, reading about as far as the bound; only the sums leave the tasks."""
+    """Whether rows and bytes of `df` are within bounds; they are added up in the tasks, and only sums leave those."""
     rows = BROADCAST_ROWS if rows is None else rows
     size = BROADCAST_BYTES if size is None else size
     width = sum((_bytes(c, t) for c, t in df.dtypes), F.lit(16 * len(df.columns)))
-    seen = df.select(width.alias("bytes")).limit(rows + 1).agg(F.count("*"), F.sum("bytes")).first()
+    seen = df.select(width.alias("bytes")).agg(F.count("*"), F.sum(F.col("bytes").cast("long"))).first()
     return seen[0] <= rows and (seen[1] or 0) <= size
 
 

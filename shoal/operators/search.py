@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from math import ceil
 
 import numpy as np
@@ -19,6 +19,8 @@ from shoal.session import ship_package, stage
 
 DEFAULT_RESULTS = 5
 ZERO_RESULTS = 3
+# Columns of a record that an answer carries unless others are asked for.
+INCLUDE = ("document", "metadata")
 
 # Queries up to both bounds are broadcast; more of them are searched in blocks.
 BROADCAST_QUERIES = 4096
@@ -269,7 +271,7 @@ def _blocked_candidates(
 
 
 def query_response(
-    hits: DataFrame, records: DataFrame, max_hits: int | None = None, include: tuple[str, ...] = ("document", "metadata")
+    hits: DataFrame, records: DataFrame, max_hits: int | None = None, include: Sequence[str] = INCLUDE
 ) -> DataFrame:
     """Hits in long form with the asked-for columns of the records they point at.
 
@@ -351,7 +353,7 @@ def search_records(
     queries: DataFrame,
     n_results: int = DEFAULT_RESULTS,
     metric: str = "l2",
-    include: tuple[str, ...] = ("document", "metadata"),
+    include: Sequence[str] = INCLUDE,
 ) -> DataFrame:
     """Answer vector queries (`query_id`, `embedding`) over one collection, in long form."""
     k = result_count(n_results)
@@ -367,7 +369,8 @@ def query_texts(
     embedder: Embedder | None,
     n_results: int = DEFAULT_RESULTS,
     metric: str = "l2",
+    include: Sequence[str] = INCLUDE,
 ) -> DataFrame:
     """Answer text queries (`query_id`, `text`) over one collection's records, in long form."""
     embedded = embed_documents(queries, embedder, id_col="query_id", text_col="text")
-    return search_records(records, embedded, n_results, metric)
+    return search_records(records, embedded, n_results, metric, include)

@@ -165,6 +165,20 @@ ORACLES: dict[str, str] = {
       SELECT source AS collection_id, 'd' || CAST(doc_id AS VARCHAR) AS id, text AS document FROM documents
       UNION ALL SELECT 'src1', 'b' || CAST(item_id AS VARCHAR), text FROM benchmark
     """,
+    "overlapping_compactions": """
+      SELECT source AS collection_id, 'd' || CAST(doc_id AS VARCHAR) AS id,
+             CASE WHEN doc_id % 5 = 0 THEN 'v3' WHEN doc_id IN (SELECT doc_id FROM labels) THEN 'v2 ' || text ELSE text END AS document
+      FROM documents
+    """,
+    "records_by_key": """
+      SELECT source AS collection_id, 'd' || CAST(doc_id AS VARCHAR) AS id,
+             sha256(CASE WHEN doc_id % 3 = 0 THEN 'v2 ' ELSE '' END || text) AS digest
+      FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)
+    """,
+    "split_import": f"""
+      SELECT feed, key1, key2, id, CAST(NULL AS VARCHAR) AS reason FROM ({ACCEPTED})
+      UNION ALL SELECT feed, key1, key2, CAST(NULL AS VARCHAR), reason FROM ({REJECTED})
+    """,
     "record_position": f"""
       SELECT feed, key1, key2, row_number() OVER (ORDER BY feed, key1, key2) AS position FROM ({ACCEPTED})
     """,

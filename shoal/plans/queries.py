@@ -19,7 +19,9 @@ from shoal.operators import catalog, ingest, ordering, search, tokens, upsert
 from shoal.operators.embed import HashingEmbedder, embed_documents, hashing_embed
 from shoal.session import allow_duplicate_keys, scratch_path, spread
 from shoal.sources.jsonl import read_jsonl
-from shoal.sources.store import compact, current_records, list_records as records_of, write_records
+from shoal.sources.store import (
+    compact, current_records, insert_records, list_records as records_of, read_log, records_with_keys, vacuum, write_records,
+)
 from shoal.streaming.importer import stream_import as start_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -412,11 +414,49 @@ def added_records_stored(spark, sf):
         F.lit("src1").alias("collection_id"), F.concat(F.lit("b"), F.col("item_id")).alias("id"), F.col("text").alias("document")
     )
     again = records.select("collection_id", "id", F.lit("changed").alias("document")).unionByName(batch)
-    for _ in range(2):
-        write_records(upsert.unmatched(again, current_records(spark, log)), log)
+    seen = read_log(spark, log)
+    for _ in range(2):  # the second look is as old as the first: its rows are taken out at the commit
+        insert_records(upsert.unmatched(again, current_records(spark, log, log=seen)), log, seen)
     return current_records(spark, log).select("collection_id", "id", "document")
 
 
+@query
+def overlapping_compactions(spark, sf):
+    """A compaction that is refused, as another one and a write were committed since it began."""
+    log = scratch_path(spark, "log")
+    records = document_records(spark, sf)
+    labelled = records.join(table(spark, sf, "labels").select(F.col("doc_id").alias("position")), "position", "left_semi")
+    write_records(records, log)
+    write_records(labelled.withColumn("document", F.concat(F.lit("v2 "), F.col("document"))), log)
+    begun = read_log(spark, log)
+    compact(spark, log)
+    write_records(records.where("position % 5 = 0").withColumn("document", F.lit("v3")), log)
+    compact(spark, log, seen=begun)
+    compact(spark, log)
+    vacuum(spark, log, older_than=0)
+    return current_records(spark, log).select("collection_id", "id", "document")
+
+
+@query
+def records_by_key(spark, sf):
+    """Stored records of the labelled documents: only the buckets of their keys are read."""
+    log = scratch_path(spark, "log")
+    records = document_records(spark, sf)
+    write_records(records, log, buckets=64)
+    write_records(records.where("position % 3 = 0").withColumn("document", F.concat(F.lit("v2 "), F.col("document"))), log)
+    judged = records.join(table(spark, sf, "labels").where("toxic = 1").select(F.col("doc_id").alias("position")), "position", "left_semi")
+    found = records_with_keys(spark, log, judged.select("collection_id", "id"))
+    return found.select("collection_id", "id", F.sha2("document", 256).alias("digest"))
+
+
+@query
+def split_import(spark, sf):
+    """Records and rejected lines of one pass."""
+    records, rejected = ingest.split_lines(feed_lines(spark, sf), all_metadata=True)
+    accepted = records.select(*FEED_KEY, "id", F.lit(None).cast("string").alias("reason"))
+    return accepted.unionByName(rejected.select(*FEED_KEY, F.lit(None).cast("string").alias("id"), "reason"))
+
+
 @query
 def tenant_exists(spark, sf):
     owners = table(spark, sf, "documents").select(F.col("source").alias("tenant"))

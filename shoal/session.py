@@ -6,6 +6,9 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -79,31 +82,76 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dirs[application]
 
 
+class Scratch:
+    """Owner of staged paths: what is staged while it is the innermost one goes when it is closed.
+
+    As a context it closes at the end of the block; a result that is still lazy
+    must be written before that. `open` and `close` serve owners whose results
+    are written by somebody else.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self.paths: list[str] = []
+
+    @contextmanager
+    def open(self) -> Iterator[Scratch]:
+        token = _owner.set(self)
+        try:
+            yield self
+        finally:
+            _owner.reset(token)
+
+    def close(self) -> None:
+        while self.paths:
+            remove_path(self.spark, self.paths.pop())
+
+    def __enter__(self) -> Scratch:
+        self._opened = self.open()
+        return self._opened.__enter__()
+
+    def __exit__(self, *error) -> None:
+        self._opened.__exit__(*error)
+        self.close()
+
+
+_owner: ContextVar[Scratch | None] = ContextVar("scratch", default=None)
+# What is staged outside of any owner.
 _scratch: list[str] = []
 
 
 def scratch_path(spark: SparkSession, purpose: str) -> str:
-    """A new, unused path below the shared folder."""
+    """A new, unused path below the shared folder; it belongs to the innermost owner."""
     path = f"{shared_dir(spark)}/shoal/{purpose}-{uuid.uuid4().hex}"
-    _scratch.append(path)
+    owner = _owner.get()
+    (_scratch if owner is None else owner.paths).append(path)
     return path
 
 
+def drop_scratch(spark: SparkSession, path: str) -> None:
+    """Delete one staged path before its owner closes."""
+    owner = _owner.get()
+    for paths in (_scratch, owner.paths if owner else []):
+        if path in paths:
+            paths.remove(path)
+    remove_path(spark, path)
+
+
 def clear_scratch(spark: SparkSession) -> None:
-    """Delete what this process staged; call it once no DataFrame needs it any more."""
+    """Delete what this process staged outside of any owner; call it once no DataFrame needs it any more."""
     while _scratch:
         remove_path(spark, _scratch.pop())
 
 
-def stage(df: DataFrame, purpose: str) -> DataFrame:
-    """Write `df` once to the shared folder and read it back.
+def stage(df: DataFrame, purpose: str, *by: str) -> DataFrame:
+    """Write `df` once to the shared folder, in folders by the columns `by`, and read it back.
 
     Fixes values that depend on how rows fell into tasks (row slots), so that
     later passes agree with each other even after executors are lost.
     """
     spark = df.sparkSession
     path = scratch_path(spark, purpose)
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from shoal.session import file_system
+
 SOURCE_COLUMNS = ("value", "file_path", "file_block_start")
 
 
@@ -24,6 +26,13 @@ def read_jsonl(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return _with_source(spark.read.option("lineSep", "\n").text(path))
 
 
+def list_files(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """Files of a folder in name order with their bytes; hidden ones are left out."""
+    fs, target = file_system(spark, path)
+    found = [(s.getPath().toString(), s.getLen()) for s in fs.listStatus(target) if s.isFile()]
+    return sorted(f for f in found if not f[0].rpartition("/")[2].startswith(("_", ".")))
+
+
 def stream_jsonl(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
     """The same columns as a stream over the files that arrive in a folder."""
     reader = spark.readStream.option("lineSep", "\n")

@@ -14,12 +14,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from shoal.operators.catalog import create_collections
 from shoal.operators.upsert import first_wins
 from shoal.schemas import COLLECTION
-from shoal.sources.store import append_commit, commits
+from shoal.sources.store import append_commit, read_log
 
 
 def load_registry(spark: SparkSession, path: str) -> DataFrame:
     """All collections that were made; none if the registry is new."""
-    numbers = {c.folder: c.number for c in commits(spark, path)}
+    numbers = {c.folder: c.number for c in read_log(spark, path).commits}
     if not numbers:
         return spark.createDataFrame([], COLLECTION)
     schema = T.StructType([*COLLECTION.fields, T.StructField("write", T.StringType())])

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from shoal.operators.embed import Embedder, embed_documents
-from shoal.operators.ingest import CONTENT_KEY, ID_KEY, import_records, rejected_records
-from shoal.session import allow_duplicate_keys, read_text
+from shoal.operators.ingest import CONTENT_KEY, ID_KEY, import_records, split_lines
+from shoal.session import Scratch, allow_duplicate_keys, read_text
 from shoal.sources.jsonl import stream_jsonl
 from shoal.sources.sinks import write_rejected
 from shoal.sources.store import write_records
@@ -46,19 +46,20 @@ def stream_import(
     allow_duplicate_keys(spark)
 
     def write_batch(lines: DataFrame, epoch: int) -> None:
-        records = import_records(
-            lines,
-            content_key=content_key,
-            id_key=id_key,
-            all_metadata=all_metadata,
-            metadata_keys=metadata_keys,
-        ).withColumn("collection_id", F.lit(collection_id))
-        if embedder is not None:
-            records = embed_documents(records, embedder)
+        options = dict(content_key=content_key, id_key=id_key, all_metadata=all_metadata, metadata_keys=metadata_keys)
         writer = json.loads(read_text(spark, f"{checkpoint}/metadata"))["id"]
-        write_records(records, log_path, writer, epoch)
-        if rejects_path:
-            write_rejected(rejected_records(lines, content_key), rejects_path, epoch)
+        with Scratch(spark):
+            rejected = None
+            if rejects_path:
+                records, rejected = split_lines(lines, **options)
+            else:
+                records = import_records(lines, **options)
+            records = records.withColumn("collection_id", F.lit(collection_id))
+            if embedder is not None:
+                records = embed_documents(records, embedder)
+            write_records(records, log_path, writer, epoch, width=embedder.dim if embedder is not None else None)
+            if rejected is not None:
+                write_rejected(rejected, rejects_path, epoch)
 
     lines = stream_jsonl(spark, source, max_files_per_trigger)
     writer = lines.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)

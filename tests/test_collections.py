@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plan import physical, simple
+from shoal.operators import ingest
 from shoal.operators.catalog import create_collections
 from shoal.operators.embed import HashingEmbedder
 from shoal.plans import collections as jobs
@@ -80,9 +81,9 @@ def test_import_query_list(spark, registry, tmp_path):
     sinks.write_query_json(answer.drop("metadata"), out)
     assert spark.read.json(out).count() == 6
 
-    found = store.state(spark, log)
+    found = store.read_log(spark, log)
     assert found.base.number == 0 and [c.number for c in found.deltas] == [1]
-    assert store.compact(spark, log).covers == (0, 1) and store.state(spark, log).deltas == []
+    assert store.compact(spark, log).covers == 1 and store.read_log(spark, log).deltas == []
     assert contents(jobs.list_collection(spark, registry, "animals", log)) == EXPECTED
     write_lines(tmp_path / "more" / "a.jsonl", {"id": "2", "text": "the dog barks"}, {"id": "4", "text": "cat"})
     assert jobs.import_jsonl(spark, registry, "animals", str(tmp_path / "more"), log, EMBEDDER) == (3, 2)
@@ -90,7 +91,8 @@ def test_import_query_list(spark, registry, tmp_path):
     assert contents(jobs.list_collection(spark, registry, "animals", log)) == after
     plan = simple(store.current_records(spark, log))
     assert "BroadcastHashJoin" in plan and "LeftAnti" in plan
-    assert store.compact(spark, log).covers == (0, 1, 2, 3) and store.compact(spark, log).number == 4
+    done = store.compact(spark, log)
+    assert (done.number, done.covers) == (4, 3) and store.compact(spark, log) == done
     assert contents(jobs.list_collection(spark, registry, "animals", log)) == after
 
 
@@ -151,8 +153,8 @@ def test_a_write_during_compaction_stays(spark, tmp_path, monkeypatch):
         store.write_records(spark.createDataFrame([("c", f"r{i}", "x")], schema), log)
     write = store._write
 
-    def interrupted(rows, path):
-        write(rows, path)
+    def interrupted(rows, path, *buckets):
+        write(rows, path, *buckets)
         monkeypatch.setattr(store, "_write", write)
         store.write_records(spark.createDataFrame([("c", "late", "x")], schema), log)
 
@@ -205,6 +207,66 @@ def test_add_to_log_writes_only_new_rows(spark, tmp_path):
     assert now == {"1": "a", "2": "b", "3": "d"}
 
 
+def test_an_import_parses_its_source_once(spark, registry, tmp_path, monkeypatch):
+    """With rejects, both outputs are read from one staged pass."""
+    write_lines(tmp_path / "in" / "a.jsonl", *ANIMALS, {"id": "n"}, "")
+    passes = []
+    split = ingest.split_lines
+
+    def seen(lines, **options):
+        records, rejected = split(lines, **options)
+        passes.append([physical(df) for df in (records, rejected)])
+        return records, rejected
+
+    monkeypatch.setattr(jobs, "split_lines", seen)
+    log, rejects = str(tmp_path / "log"), str(tmp_path / "rejects")
+    done = jobs.import_jsonl(spark, registry, "animals", str(tmp_path / "in"), log, EMBEDDER, rejects_path=rejects, all_metadata=True)
+    assert done.records == 4 and contents(jobs.list_collection(spark, registry, "animals", log)) == EXPECTED
+    found = sorted((r.reason, r.value) for r in spark.read.json(rejects).collect())
+    assert found == [("malformed", ""), ("malformed", "bad{"), ("no_content", '{"id": "n"}')]
+    assert len(passes) == 1 and all("Scan text" not in plan and "parse_json" not in plan for plan in passes[0])
+    limited = jobs.import_jsonl(spark, registry, "animals", str(tmp_path / "in"), str(tmp_path / "log2"), EMBEDDER, rejects_path=rejects, n_ingest=2)
+    assert limited.records == 2
+
+
+def test_import_in_batches_goes_on_where_it_stopped(spark, registry, tmp_path):
+    """Batches before a failing one stay; the same call later takes only the rest."""
+    for name in "abc":
+        write_lines(tmp_path / "in" / f"{name}.jsonl", {"id": name, "text": f"text {name}"}, {"id": "same", "text": f"from {name}"})
+    log, source = str(tmp_path / "log"), str(tmp_path / "in")
+
+    class Fails(HashingEmbedder):
+        def embed(self, texts):
+            if any("text c" in t for t in texts):
+                raise ValueError("no vector for c")
+            return super().embed(texts)
+
+    with pytest.raises(Exception, match="failed to embed record 'c'"):
+        jobs.import_in_batches(spark, registry, "animals", source, log, Fails(32), "monday", batch_bytes=80)
+    assert {r.id: r.document for r in store.current_records(spark, log).collect()} == {"a": "text a", "b": "text b", "same": "from b"}
+    done = jobs.import_in_batches(spark, registry, "animals", source, log, EMBEDDER, "monday", batch_bytes=80)
+    assert [d.commit for d in done] == [0, 1, 2] and len(store.commits(spark, log)) == 3
+    assert {r.id: r.document for r in store.current_records(spark, log).collect()}["same"] == "from c"
+    together = jobs.import_in_batches(spark, registry, "animals", source, str(tmp_path / "one"), EMBEDDER, "x")
+    assert [d.records for d in together] == [6]
+
+
+def test_pages_ids_and_columns_of_a_stored_collection(spark, registry, tmp_path):
+    write_lines(tmp_path / "in" / "a.jsonl", *[{"id": f"r{i}", "text": f"t{i}", "k": i} for i in range(9)])
+    log = str(tmp_path / "log")
+    jobs.import_jsonl(spark, registry, "animals", str(tmp_path / "in"), log, EMBEDDER, all_metadata=True)
+    def asked(**options):
+        return jobs.list_collection(spark, registry, "animals", log, **options)
+
+    assert [r.id for r in asked(limit=3, offset=2).collect()] == ["r2", "r3", "r4"]
+    assert sorted(r.id for r in asked(ids=["r8", "r1", "nope"]).collect()) == ["r1", "r8"]
+    assert [r.id for r in asked(ids=["r8", "r1"], limit=1).collect()] == ["r1"]
+    assert asked(include=("document",)).columns == ["id", "document"] and asked(include=()).columns == ["id"]
+    assert asked(include=("embedding",)).first().embedding is not None
+    answer = jobs.query_collection(registry, store.current_records(spark, log), "animals", ["t3"], EMBEDDER, 2, include=("metadata",))
+    assert answer.columns == ["query_id", "rank", "id", "metadata", "distance"] and answer.count() == 2
+
+
 def test_stream_equals_batch(spark, tmp_path):
     source = tmp_path / "in"
     write_lines(source / "a.jsonl", *ANIMALS)

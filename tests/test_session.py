@@ -40,6 +40,28 @@ def test_stage_and_clear(spark):
     assert not os.path.exists(path)
 
 
+def test_scratch_has_an_owner(spark):
+    def exists(df):
+        return os.path.exists(df.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file://"))
+
+    outside = session.stage(spark.range(3), "outside")
+    with session.Scratch(spark):
+        outer = session.stage(spark.range(3), "outer")
+        with session.Scratch(spark):
+            inner = session.stage(spark.range(3), "inner")
+            assert exists(inner) and exists(outer)
+        assert not exists(inner) and exists(outer)
+    assert not exists(outer) and exists(outside)
+    kept = session.Scratch(spark)
+    with kept.open():
+        later = session.stage(spark.range(3), "later")
+    assert exists(later)
+    kept.close()
+    assert not exists(later)
+    session.drop_scratch(spark, outside.inputFiles()[0].rsplit("/", 1)[0])
+    assert not exists(outside)
+
+
 def test_spread_moves_small_scans_only(spark, tmp_path, monkeypatch):
     spark.range(100).coalesce(1).write.parquet(str(tmp_path / "t"))
     scan = spark.read.parquet(str(tmp_path / "t"))
