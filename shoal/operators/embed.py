@@ -15,6 +15,7 @@ from shoal.functions.binding import with_computed
 from shoal.functions.vectors import hashing_embedding
 from shoal.session import ship_package
 
+# Names of the model's tensors.
 MODEL_INPUTS = ("input_ids", "attention_mask", "token_type_ids")
 MODEL_OUTPUT = "last_hidden_state"
 

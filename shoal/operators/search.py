@@ -336,6 +336,7 @@ def listing_lines(listed: DataFrame) -> DataFrame:
 
 def query_lines(response: DataFrame) -> DataFrame:
     """Two display lines per hit: rank, distance and id, then the content."""
+    # The display format.
     head = F.format_string("  [%d] (Dist: %s) ID: %s", "rank", format_distance(F.col("distance")), "id")
     content = F.concat(F.lit("      Content: "), F.coalesce("document", F.lit("")))
     return response.select("query_id", "rank", F.concat_ws("\n", head, content).alias("value"))

@@ -309,6 +309,7 @@ ORACLES: dict[str, str] = {
     """,
     "hashing_embed_documents": f"SELECT id, pos, round(CAST(value AS DOUBLE), 6) AS value FROM ({_hashed('documents', 'doc_id')})",
     "embed_documents_in_workers": f"SELECT id, pos, round(CAST(value AS DOUBLE), 6) AS value FROM ({_hashed('documents', 'doc_id')})",
+    "embed_documents_cached": f"SELECT id, pos, round(CAST(value AS DOUBLE), 6) AS value FROM ({_hashed('documents', 'doc_id')})",
     "first_token_pooling": """
       SELECT vec_id, CAST(pos - 1 AS INTEGER) AS pos, round(CAST(value AS DOUBLE), 6) AS value FROM (
         SELECT vec_id, unnest(embedding[1:16]) AS value, generate_subscripts(embedding[1:16], 1) AS pos FROM embeddings

@@ -17,6 +17,7 @@ from shoal.functions.tokens import attention_mask, tokenize_words
 from shoal.functions.vectors import distance, first_token_pool, format_distance
 from shoal.operators import catalog, ingest, ordering, search, tokens, upsert
 from shoal.operators.embed import HashingEmbedder, embed_documents, hashing_embed
+from shoal.plans.vector_cache import embed_cached
 from shoal.session import allow_duplicate_keys, scratch_path, spread
 from shoal.sources.jsonl import read_jsonl
 from shoal.sources.store import (
@@ -558,6 +559,17 @@ def embed_documents_in_workers(spark, sf):
     return rows.withColumn("value", F.round(F.col("value").cast("double"), 6))
 
 
+@query
+def embed_documents_cached(spark, sf):
+    """Vectors by content: labelled documents first, then all; each distinct text is embedded once."""
+    documents = spread(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("document")))
+    cache = scratch_path(spark, "vectors")
+    labelled = documents.join(table(spark, sf, "labels").select(F.col("doc_id").alias("id")), "id", "left_semi")
+    embed_cached(labelled, HashingEmbedder(HASH_DIM), cache, "hashing")
+    rows = exploded(embed_cached(documents, HashingEmbedder(HASH_DIM), cache, "hashing"), "embedding", "id")
+    return rows.withColumn("value", F.round(F.col("value").cast("double"), 6))
+
+
 @query
 def first_token_pooling(spark, sf):
     pooled = table(spark, sf, "embeddings").select("vec_id", first_token_pool(F.col("embedding"), 16).alias("pooled"))
