@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from shoal.llm.spans import apart, found
+
 # The pattern kinds in their order, and what a match must have.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
@@ -40,22 +42,6 @@ CHECKSUM = (
 )
 
 
-def found(text: Column, pattern: str) -> Column:
-    """Matches of `pattern`, leftmost first and not overlapping, as (start, match) in code points."""
-    hits = F.when(text.rlike(pattern), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
-    gaps = F.split(text, pattern, -1)
-    pairs = F.zip_with(hits, F.slice(gaps, F.lit(1), F.size(hits)), lambda h, g: F.struct(h.alias("match"), F.length(g).alias("gap")))
-    kind = "array<struct<start:int,match:string>>"
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
-
-    def step(acc: Column, pair: Column) -> Column:
-        start = acc["at"] + pair["gap"]
-        hit = F.struct(start.alias("start"), pair["match"].alias("match"))
-        return F.struct((start + F.length(pair["match"])).alias("at"), F.concat(acc["out"], F.array(hit)).alias("out"))
-
-    return F.when(hits.isNotNull(), F.aggregate(pairs, begin, step, lambda a: a["out"])).otherwise(F.array().cast(kind))
-
-
 def spans_of(hits: Column, kind: int) -> Column:
     return F.transform(
         hits, lambda h: F.struct(h["start"].alias("start"), F.lit(kind).alias("kind"), (h["start"] + F.length(h["match"])).alias("end"))
@@ -90,7 +76,7 @@ def hot_windows(candidate: Column) -> Column:
         lost = F.when(leaving.isNotNull(), weight(in_kept(leaving) + 1) - weight(in_kept(leaving))).otherwise(F.lit(0.0))
         counts = {name: after(acc[name], lambda c, p=p: F.when(c.isNotNull(), is_in(c, p))) for name, p in classes.items()}
         total = acc["total"] - lost + weight(in_kept(entering) + 1) - weight(in_kept(entering))
-        return F.struct(acc["chars"].alias("chars"), total.alias("total"), *[c.alias(n) for n, c in counts.items()], acc["hot"].alias("hot")), i
+        return F.struct(acc["chars"].alias("chars"), total.alias("total"), *[c.alias(n) for n, c in counts.items()], *[acc[n].alias(n) for n in ("from", "to", "hot")]), i
 
     def judged(state: Column, i: Column) -> Column:
         bits = F.log2(F.lit(float(WINDOW))) - state["total"] / WINDOW
@@ -100,13 +86,18 @@ def hot_windows(candidate: Column) -> Column:
         two_cases = (state["upper"] > 0) & (state["lower"] > 0)
         least = F.when(two_cases, F.when(state["digit"] > 0, MIXED_BITS).otherwise(LETTER_BITS)).otherwise(one_case)
         mixed = (state["upper"] + state["lower"] > 0) & (bits >= least - 1e-9)
-        hot, begin = state["hot"], i - WINDOW
-        joined = (F.size(hot) > 0) & (F.element_at(F.concat(hot, F.array(F.struct(F.lit(-1).alias("start"), F.lit(-1).alias("end")))), -2)["end"] >= begin)
-        last = F.element_at(hot, -1)
-        grown = F.concat(F.slice(hot, F.lit(1), F.size(hot) - 1), F.array(F.struct(last["start"].alias("start"), i.alias("end"))))
-        added = F.concat(hot, F.array(F.struct(begin.alias("start"), i.alias("end"))))
-        new = F.when(~((i >= WINDOW) & (hexes | mixed)), hot).when(joined, grown).otherwise(added)
-        return F.struct(state["chars"].alias("chars"), state["total"].alias("total"), *[state[n].alias(n) for n in classes], new.alias("hot"))
+        begin = i - WINDOW
+        counts_now = (i >= WINDOW) & (hexes | mixed)
+        # the stretch that still grows is kept apart, so that an array is built on only where one ends
+        joined = counts_now & (state["to"] >= begin) & (state["to"] >= 0)
+        ended = counts_now & ~joined & (state["to"] >= 0)
+        last = F.array(F.struct(state["from"].alias("start"), state["to"].alias("end")))
+        return F.struct(
+            state["chars"].alias("chars"), state["total"].alias("total"), *[state[n].alias(n) for n in classes],
+            F.when(counts_now & ~joined, begin).otherwise(state["from"]).alias("from"),
+            F.when(counts_now, i).otherwise(state["to"]).alias("to"),
+            F.when(ended, F.concat(state["hot"], last)).otherwise(state["hot"]).alias("hot"),
+        )
 
     def both(acc: Column, i: Column) -> Column:
         state, at = step(acc, i)
@@ -114,9 +105,15 @@ def hot_windows(candidate: Column) -> Column:
         return F.element_at(F.transform(F.array(state), lambda s: judged(s, at)), 1)
 
     begin = F.struct(
-        chars.alias("chars"), F.lit(0.0).alias("total"), *[F.lit(0).alias(n) for n in classes], F.array().cast(kind).alias("hot")
+        chars.alias("chars"), F.lit(0.0).alias("total"), *[F.lit(0).alias(n) for n in classes],
+        F.lit(-1).alias("from"), F.lit(-1).alias("to"), F.array().cast(kind).alias("hot"),
     )
-    return F.aggregate(F.sequence(F.lit(1), F.length(candidate)), begin, both, lambda s: s["hot"])
+
+    def finished(s: Column) -> Column:
+        last = F.array(F.struct(s["from"].alias("start"), s["to"].alias("end")))
+        return F.when(s["to"] >= 0, F.concat(s["hot"], last)).otherwise(s["hot"])
+
+    return F.aggregate(F.sequence(F.lit(1), F.length(candidate)), begin, both, finished)
 
 
 def known(run: Column, hot: Column) -> Column:
@@ -158,7 +155,8 @@ def scan_secrets(docs: DataFrame, ident: str = "doc_id", text: str = "text") ->
     spans are the pattern kinds' leftmost non-overlapping matches that are long
     enough; added spans have high entropy and touch no base span. A null or
     empty text has none; repeated rows are scanned alike; an empty table gives
-    no rows; other columns are not read. The scan is one narrow stage.
+    no rows; other columns are not read. The scan is one narrow stage, and its
+    work on a very long text grows with the text and its matches.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     assign = F.filter(
@@ -166,7 +164,7 @@ def scan_secrets(docs: DataFrame, ident: str = "doc_id", text: str = "text") ->
     )
     base = F.concat(spans_of(assign, 0), spans_of(found(body, ACCESS), 1), spans_of(found(body, HEX), 2))
     scanned = docs.select(F.col(ident).alias("ident"), base.alias("base"), entropy_spans(body).alias("hot"))
-    added = F.filter("hot", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    added = apart(F.col("hot"), F.col("base"))
     return scanned.select(F.col("ident").alias(ident), "base", added.alias("added"))
 
 

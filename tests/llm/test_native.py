@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -90,9 +91,12 @@ def brute_hot(candidate: str) -> list[tuple[int, int]]:
     out = []
     for i in range(len(candidate) - WINDOW + 1):
         w = candidate[i : i + WINDOW]
-        digits = sum(c.isdigit() for c in w)
-        hexes = all(c in "0123456789abcdefABCDEF" for c in w) and 0 < digits < WINDOW and entropy(w) >= 3.0 - 1e-9
-        mixed = digits and re.search("[A-Z]", w) and re.search("[a-z]", w) and entropy(w) >= 3.8 - 1e-9
+        digits, upper, lower = (len(re.findall(p, w)) for p in ("[0-9]", "[A-Z]", "[a-z]"))
+        bits = entropy(w) + 1e-9
+        hexes = all(c in "0123456789abcdefABCDEF" for c in w) and 0 < digits < WINDOW and bits >= 3.0
+        # digits with both cases, digits with one case, and letters
+        least = (3.8 if digits else 3.9) if upper and lower else 3.9 if digits < 3 else 3.7 if lower else 3.6
+        mixed = upper + lower > 0 and bits >= least
         if hexes or mixed:
             if out and out[-1][1] >= i:
                 out[-1] = (out[-1][0], i + WINDOW)
@@ -128,6 +132,8 @@ def test_windows_against_brute_force(spark):
     rng = np.random.default_rng(4)
     letters = np.array(list("abcdef0123456789ABCZxQpLk+/_"))
     texts = ["".join(rng.choice(letters[: int(rng.integers(2, len(letters)))], int(rng.integers(20, 90)))) for _ in range(120)]
+    pools = ["abcdefghijklmnopqrstuvwxyz234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"]
+    texts += ["".join(rng.choice(list(p), int(rng.integers(20, 60)))) + "x" * 30 + "".join(rng.choice(list(p), 25)) for p in pools for _ in range(15)]
     got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", hot_windows(F.col("t")).alias("h")).collect()
     assert any(brute_hot(t) for t in texts)
     for r in got:
@@ -152,6 +158,14 @@ def test_secrets_of_each_class(spark):
     assert [got[len(rows) + i] for i in range(len(plain))] == [[], [], []]
 
 
+def test_secrets_of_a_long_text(spark):
+    """The work grows with the matches, not with their square."""
+    text = 'password = "abc123def" ' * 40_000 + "q7w2k9z4x1m8p3v6t5r0/" * 200
+    began = time.time()
+    got = scan_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string")).select(F.size("base"), F.size("added")).first()
+    assert got[0] == 40_000 and got[1] >= 1 and time.time() - began < 60
+
+
 def test_secrets_edges(edge_docs, no_docs):
     assert secret_digest(edge_docs).count() == edge_docs.count()
     assert secret_digest(no_docs).count() == 0
