@@ -30,6 +30,8 @@ END = 2
 BLOCK_TOKENS = 1 << 16
 # Words, and pieces of words, whose ids a worker remembers; others are encoded again.
 REMEMBERED = 800_000
+# Texts whose new words are encoded together.
+TEXTS = 1024
 
 _tokenizers: dict[str, tuple] = {}
 
@@ -79,8 +81,8 @@ def token_bytes(texts: list[bytes | None], path: str) -> list[bytes]:
     kind = id_type(path)
     end = np.array([END], kind).tobytes()
     texts = [(t or b"").split() for t in texts]
-    cut = {w: pieces_of(w) for w in set().union(*texts) if w not in known_words}
-    new = list({p for ps in cut.values() for p in ps if p not in known_pieces})
+    cut = {w: pieces_of(w) for w in set().union(*texts).difference(known_words)}
+    new = list(set().union(*cut.values()).difference(known_pieces))
     coded = {}
     for at in range(0, len(new), 4096):
         some = new[at : at + 4096]
@@ -100,8 +102,8 @@ def encode_texts(docs: DataFrame, path: str, ident: str = "doc_id", text: str =
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for begin in range(0, batch.num_rows, 512):
-                part = batch.slice(begin, 512)
+            for begin in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(begin, TEXTS)
                 ids = pa.array(token_bytes(part.column("text").to_pylist(), path), pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column("ident"), ids], ["ident", "ids"])
 
