@@ -50,7 +50,10 @@ class NearestRecords:
     at `digits` decimals go to the smaller id.
     """
 
-    def __init__(self, queries: np.ndarray, k: int, metric: str, digits: int = 9):
+    def __init__(
+        self, queries: np.ndarray, k: int, metric: str, digits: int = 9, bounds: np.ndarray | None = None
+    ):
+        """`bounds` are tie keys that the k-th best of each query is known not to exceed."""
         self.queries = queries.astype(np.float64)
         self.k = k
         self.metric = metric
@@ -61,7 +64,8 @@ class NearestRecords:
         self.tie_key = np.zeros(0)
         self.distance = np.zeros(0)
         self.ids: np.ndarray | None = None
-        self.worst = np.full(self.count, np.inf)
+        self.worst = np.full(self.count, np.inf) if bounds is None else (bounds + 0.5) / self.scale
+        self.waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         scaled, self._squares = self._scaled(self.queries)
         if metric == "l2":
             self._offset, self._weight, dots = 0.0, 1.0 - self.error, -2.0 * scaled
@@ -113,22 +117,30 @@ class NearestRecords:
         for start in range(0, len(rows), step):
             part = slice(start, start + step)
             distances[part] = exact_distance(self.queries[rows[part]], exact[columns[part]], self.metric)
-        self._merge(rows, ids[columns], distances)
+        self.waiting.append((rows, ids[columns], distances))
+        # sorting again costs the whole state, so what is new waits until it is worth it
+        if 2 * sum(len(w[0]) for w in self.waiting) >= len(self.query):
+            self.settle()
 
     def _reach(self, bound: np.ndarray) -> np.ndarray:
         """Largest lower bound that may still tie with `bound`, rounded outwards."""
         reach = bound - self._offset + 1.0 / self.scale
         return (reach + np.abs(reach) * 1e-6).astype(np.float32)[:, None]
 
-    def _merge(self, query: np.ndarray, ids: np.ndarray, distance: np.ndarray) -> None:
+    def settle(self) -> None:
+        """Merge what waits into the k best of each query."""
+        if not self.waiting:
+            return
+        query, ids, distance = (np.concatenate(parts) for parts in zip(*self.waiting))
+        self.waiting = []
         query = np.concatenate([self.query, query])
         tie_key = np.concatenate([self.tie_key, np.rint(distance * self.scale)])
         distance = np.concatenate([self.distance, distance])
         ids = ids if self.ids is None else np.concatenate([self.ids, ids])
-        order = np.lexsort((ids, tie_key, query))
+        order = _by_query_key_id(query, tie_key, ids)
         query = query[order]
         first = np.searchsorted(query, query, side="left")
-        kept = np.arange(len(query)) - first < self.k
+        kept = (np.arange(len(query)) - first < self.k) & (tie_key[order] <= self._limit()[query])
         order = order[kept]
         self.query, self.tie_key = query[kept], tie_key[order]
         self.distance, self.ids = distance[order], ids[order]
@@ -136,3 +148,18 @@ class NearestRecords:
         full = found >= self.k
         last = np.cumsum(found) - 1
         self.worst[full] = (self.tie_key[last[full]] + 0.5) / self.scale
+
+    def _limit(self) -> np.ndarray:
+        """Largest tie key that may still be among the k best."""
+        return self.worst * self.scale
+
+
+def _by_query_key_id(query: np.ndarray, tie_key: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Order by query, key and id; ids, which may be Python strings, are compared in ties alone."""
+    order = np.lexsort((tie_key, query))
+    equal = (np.diff(query[order]) == 0) & (np.diff(tie_key[order]) == 0)
+    tied = np.flatnonzero(np.append(equal, False) | np.append(False, equal))
+    if len(tied):
+        rows = order[tied]
+        order[tied] = rows[np.lexsort((ids[rows], tie_key[rows], query[rows]))]
+    return order

@@ -15,7 +15,8 @@ from shoal.functions.vectors import check_metric, format_distance
 from shoal.operators.embed import Embedder, embed_documents
 from shoal.operators.lookup import fits_broadcast, lookup_join
 from shoal.operators.nearest import NearestRecords
-from shoal.session import ship_package, stage
+from shoal.operators.ordering import with_position
+from shoal.session import scratch_path, ship_package, stage
 
 DEFAULT_RESULTS = 5
 ZERO_RESULTS = 3
@@ -26,6 +27,14 @@ INCLUDE = ("document", "metadata")
 BROADCAST_QUERIES = 4096
 BROADCAST_BYTES = 64 * 1024 * 1024
 BLOCK_QUERIES = 16_384
+# Pairs that the search of one block holds in a task: queries times results.
+STATE_PAIRS = 1 << 20
+# From this many results on, a first pass over one in SAMPLE records bounds each
+# query's k-th distance, and the second emits only what is within it.
+MANY_RESULTS = 100
+SAMPLE = 16
+# Rows of one Arrow batch of candidates.
+EMIT_ROWS = 1 << 16
 
 # First-level groups of one query's candidates, so that no task merges them all.
 MERGE_GROUPS = 32
@@ -57,12 +66,13 @@ def rank_in_query(pairs: DataFrame, query_col: str = "query_id", id_col: str = "
     return pairs.withColumn("rank", F.row_number().over(Window.partitionBy(query_col).orderBy(key, id_col)))
 
 
-def _merge_candidates(candidates: DataFrame, k: int) -> DataFrame:
+def _merge_candidates(candidates: DataFrame, k: int, keep_key: bool = False) -> DataFrame:
     # Candidates per query grow with the number of tasks. They are cut to k in
     # MERGE_GROUPS groups first, then across the groups.
     within = Window.partitionBy("query_id", "merge_group").orderBy("tie_key", "id")
     first = candidates.withColumn("_n", F.row_number().over(within)).where(F.col("_n") <= k)
-    return top_k(first.drop("_n", "merge_group"), k).drop("tie_key")
+    merged = top_k(first.drop("_n", "merge_group"), k)
+    return merged if keep_key else merged.drop("tie_key")
 
 
 def knn(
@@ -81,9 +91,11 @@ def knn(
 
     The search is exact: every record is compared with every query, but pairs
     are only formed inside a task, which keeps k per query. ``matrix``
-    broadcasts the queries and leaves the records where they are. ``blocked``
-    shuffles both sides into cells and takes any number of queries. ``auto``
-    takes the former if the queries fit its bounds.
+    broadcasts the queries. ``blocked`` does so block by block, writes each
+    block's answers down, and takes any number of queries and results. ``auto``
+    takes the former if the queries fit its bounds. The records stay where they
+    are; ``blocked`` reads them once per block (twice for many results), so
+    write computed vectors to a table first.
     """
     check_metric(metric)
     k = result_count(k)
@@ -94,11 +106,11 @@ def knn(
         raise ValueError(f"unknown method {method!r}")
     if method != "blocked" and few_queries(queries):
         head = queries.toArrow()
-        if head.nbytes <= BROADCAST_BYTES:
+        if head.nbytes <= BROADCAST_BYTES and (method == "matrix" or head.num_rows * k <= STATE_PAIRS):
             return _merge_candidates(_matrix_candidates(records, queries, head, k, metric), k)
     if method == "matrix":
         raise ValueError("too many queries to broadcast; use method='blocked'")
-    return _merge_candidates(_blocked_candidates(records, queries, k, metric), k)
+    return _blocked_hits(records, queries, k, metric)
 
 
 def few_queries(queries: DataFrame) -> bool:
@@ -137,23 +149,22 @@ def _candidate_schema(records: DataFrame, queries: DataFrame) -> T.StructType:
     ])
 
 
-def _candidate_batch(query_ids: pa.Array, state: NearestRecords, id_type: pa.DataType, group: int) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [
-            query_ids.take(pa.array(state.query)),
-            pa.array(state.ids.tolist(), type=id_type),
-            pa.array(state.distance),
-            pa.array(state.tie_key),
-            pa.array(np.full(len(state.query), group, dtype=np.int32)),
-        ],
-        names=["query_id", "id", "distance", "tie_key", "merge_group"],
-    )
-
-
-def _query_block(query_ids: pa.Array, lists: pa.Array, dim: int, k: int, metric: str):
-    matrix = _to_matrix(lists, dim)
-    finite = np.isfinite(matrix).all(axis=1)
-    return query_ids.filter(pa.array(finite)), NearestRecords(matrix[finite], k, metric)
+def _candidate_batches(
+    query_ids: pa.Array, state: NearestRecords, id_type: pa.DataType, group: int
+) -> Iterator[pa.RecordBatch]:
+    state.settle()
+    for start in range(0, len(state.query), EMIT_ROWS):
+        part = slice(start, start + EMIT_ROWS)
+        yield pa.RecordBatch.from_arrays(
+            [
+                query_ids.take(pa.array(state.query[part])),
+                pa.array(state.ids[part].tolist(), type=id_type),
+                pa.array(state.distance[part]),
+                pa.array(state.tie_key[part]),
+                pa.array(np.full(len(state.query[part]), group, dtype=np.int32)),
+            ],
+            names=["query_id", "id", "distance", "tie_key", "merge_group"],
+        )
 
 
 def _matrix_candidates(
@@ -166,108 +177,86 @@ def _matrix_candidates(
     widths = set(head["embedding"].combine_chunks().value_lengths().to_pylist())
     if len(widths) > 1:
         raise ValueError(f"query vectors differ in width: {sorted(widths)}")
-    dim = widths.pop()
-    shared = records.sparkSession.sparkContext.broadcast(
-        (head["query_id"].combine_chunks(), head["embedding"].combine_chunks())
-    )
+    return _pass(records, _share(records.sparkSession, head), widths.pop(), k, metric, schema)
+
+
+def _share(spark: SparkSession, head: pa.Table):
+    """Ids, vectors and, if there are any, the bounds of a block of queries, for all tasks."""
+    bounds = head["bound"].to_numpy() if "bound" in head.column_names else None
+    return spark.sparkContext.broadcast((head["query_id"].combine_chunks(), head["embedding"].combine_chunks(), bounds))
+
+
+def _pass(records: DataFrame, shared, dim: int, k: int, metric: str, schema: T.StructType) -> DataFrame:
+    """Candidates of the shared queries from one pass over the records, in place."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query_ids, state = _query_block(*shared.value, dim, k, metric)
+        query_ids, lists, bounds = shared.value
+        matrix = _to_matrix(lists, dim)
+        finite = np.isfinite(matrix).all(axis=1)
+        query_ids = query_ids.filter(pa.array(finite))
+        state = NearestRecords(matrix[finite], k, metric, bounds=None if bounds is None else bounds[finite])
         id_type = None
         for batch in batches:
             id_type = batch.schema.field("id").type
             state.update(*_valid(batch["id"], batch["embedding"], dim))
-        if len(state.query):
-            group = TaskContext.get().partitionId() % MERGE_GROUPS
-            yield _candidate_batch(query_ids, state, id_type, group)
+        yield from _candidate_batches(query_ids, state, id_type, TaskContext.get().partitionId() % MERGE_GROUPS)
 
     return records.mapInArrow(search, schema)
 
 
-def _blocked_candidates(
-    records: DataFrame,
-    queries: DataFrame,
-    k: int,
-    metric: str,
-    block_queries: int = BLOCK_QUERIES,
-    slices: int | None = None,
+def _blocked_hits(
+    records: DataFrame, queries: DataFrame, k: int, metric: str, block_queries: int = BLOCK_QUERIES
 ) -> DataFrame:
-    """Candidates by cells of (query block × record slice).
+    """The k nearest records of any number of queries, block by block.
 
-    A query goes to the cells of its block in every slice, a record to the
-    cells of its slice in every block, so each pair meets in exactly one cell.
-    Rows of a cell arrive sorted with the queries first; the records stream
-    past them, so a task holds one query block and one Arrow batch.
+    A block is so small that its vectors are within BROADCAST_BYTES and its
+    answers within STATE_PAIRS, whatever k is. It is broadcast, the records
+    stream past it where they are, and its answers are written down before the
+    next one is sent, so one block is in memory at a time.
     """
     spark = records.sparkSession
     queries = queries.where(F.col("embedding").isNotNull())
-    first = queries.select(F.size("embedding").alias("dim")).first()
+    widths = queries.agg(F.min(F.size("embedding")), F.max(F.size("embedding")), F.count("*")).first()
     schema = _candidate_schema(records, queries)
-    if first is None:
-        return spark.createDataFrame([], schema)
-    dim = first["dim"]
-    blocks = max(1, ceil(queries.count() / block_queries))
-    slices = slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-    def spread(key: str, parts: int):
-        return F.pmod(F.xxhash64(key), F.lit(parts).cast("long"))
-
-    def every(parts: int):
-        return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))
-
-    same_width = F.when(F.size("embedding") == dim, F.col("embedding")).otherwise(
-        F.raise_error(F.lit("query vectors differ in width"))
-    )
-    query_side = queries.select(
-        spread("query_id", blocks).alias("block"),
-        every(slices).alias("slice"),
-        F.lit(0).alias("side"),
-        "query_id",
-        F.lit(None).cast(records.schema["id"].dataType).alias("id"),
-        same_width.alias("embedding"),
-    )
-    record_side = records.select(
-        every(blocks).alias("block"),
-        spread("id", slices).alias("slice"),
-        F.lit(1).alias("side"),
-        F.lit(None).cast(queries.schema["query_id"].dataType).alias("query_id"),
-        "id",
-        "embedding",
-    )
-    rows = query_side.unionByName(record_side).withColumn("cell", F.col("slice") * blocks + F.col("block"))
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, pending, query_ids, state = None, [], None, None
-        id_type = None
-        for batch in batches:
-            id_type = batch.schema.field("id").type
-            cells = batch["cell"].to_numpy()
-            sides = batch["side"].to_numpy()
-            edges = np.flatnonzero((np.diff(cells) != 0) | (np.diff(sides) != 0)) + 1
-            bounds = [0, *edges.tolist(), batch.num_rows]
-            for start, end in zip(bounds, bounds[1:]):
-                if start == end:
-                    continue
-                run = batch.slice(start, end - start)
-                if cells[start] != cell:
-                    if state is not None and len(state.query):
-                        yield _candidate_batch(query_ids, state, id_type, int(cell // blocks) % MERGE_GROUPS)
-                    cell, pending, state = cells[start], [], None
-                if sides[start] == 0:
-                    pending.append(run)
-                    continue
-                if pending:
-                    together = pa.Table.from_batches(pending)
-                    query_ids, state = _query_block(
-                        together["query_id"].combine_chunks(), together["embedding"].combine_chunks(), dim, k, metric
-                    )
-                    pending = []
-                if state is not None:
-                    state.update(*_valid(run["id"], run["embedding"], dim))
-        if state is not None and len(state.query):
-            yield _candidate_batch(query_ids, state, id_type, int(cell // blocks) % MERGE_GROUPS)
-
-    return rows.repartition("cell").sortWithinPartitions("cell", "side").mapInArrow(search, schema)
+    if widths[2] == 0:
+        return _merge_candidates(spark.createDataFrame([], schema), k)
+    if widths[0] != widths[1]:
+        raise ValueError(f"query vectors differ in width: {widths[0]} to {widths[1]}")
+    dim = widths[0]
+    size = max(1, min(block_queries, BROADCAST_BYTES // (8 * max(dim, 1)), STATE_PAIRS // k))
+    blocks = ceil(widths[2] / size)
+    if blocks == 1:
+        return _block_hits(records, queries.toArrow(), dim, k, metric, schema)[0]
+    placed = with_position(queries, ["query_id"], "block")
+    placed = placed.withColumn("block", F.floor((F.col("block") - 1) / size).cast("int"))
+    placed = stage(placed.repartition(min(blocks, MERGE_GROUPS), "block"), "query-blocks", "block")
+    out = scratch_path(spark, "hits")
+    for block in range(blocks):
+        head = placed.where(F.col("block") == block).drop("block").toArrow()
+        hits, shared = _block_hits(records, head, dim, k, metric, schema)
+        hits.write.mode("overwrite").parquet(f"{out}/block={block}")
+        shared.unpersist()
+    return spark.read.schema(hits.schema).parquet(out).select(*hits.columns)
+
+
+def _block_hits(records: DataFrame, head: pa.Table, dim: int, k: int, metric: str, schema: T.StructType):
+    """The k nearest records of one block of queries, still lazy, and what is shared for them."""
+    spark = records.sparkSession
+    shared = _share(spark, head)
+    if k >= MANY_RESULTS:
+        some = records.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLE).cast("long")) == 0)
+        near = _merge_candidates(_pass(some, shared, dim, k, metric, schema), k, keep_key=True)
+        bounds = near.where(F.col("rank") == k).select("query_id", F.col("tie_key").alias("bound")).toArrow()
+        shared.unpersist()
+        shared = _share(spark, _with_bounds(head, bounds))
+    return _merge_candidates(_pass(records, shared, dim, k, metric, schema), k), shared
+
+
+def _with_bounds(head: pa.Table, bounds: pa.Table) -> pa.Table:
+    """Each query with its bound; one with fewer than k records in the sample has none."""
+    at = pc.index_in(head["query_id"], value_set=bounds["query_id"].combine_chunks())
+    found = pc.fill_null(bounds["bound"].take(at), float("inf")) if bounds.num_rows else pa.array(np.full(head.num_rows, np.inf))
+    return head.append_column("bound", found)
 
 
 def query_response(

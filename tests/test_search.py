@@ -67,15 +67,45 @@ def test_blocks_smaller_than_the_queries(spark):
     v = RNG.normal(size=(200, 6)).astype(np.float32)
     q = RNG.normal(size=(50, 6)).astype(np.float32)
     records, queries = frame(spark, v), frame(spark, q, "query_id", 3)
-    candidates = search._blocked_candidates(records, queries, 3, "l2", block_queries=8, slices=5)
-    assert answer(search._merge_candidates(candidates, 3)) == brute_force(q, v, 3, "l2")
+    assert answer(search._blocked_hits(records, queries, 3, "l2", block_queries=8)) == brute_force(q, v, 3, "l2")
+
+
+def test_a_pass_moves_no_record(spark):
+    v = RNG.normal(size=(40, 4)).astype(np.float32)
+    rows = [(i, [float(x) for x in row]) for i, row in enumerate(v)]
+    records = spark.createDataFrame(rows, "id long, embedding array<float>")
+    queries = records.withColumnRenamed("id", "query_id")
+    schema = search._candidate_schema(records, queries)
+    shared = search._share(spark, queries.toArrow())
+    assert "Exchange" not in simple(search._pass(records, shared, 4, 2, "l2", schema))
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine"])
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_many_results_in_two_passes(spark, monkeypatch, metric, kind):
+    monkeypatch.setattr(search, "MANY_RESULTS", 40)
+    monkeypatch.setattr(search, "SAMPLE", 3)
+    monkeypatch.setattr(search, "STATE_PAIRS", 400)
+    monkeypatch.setattr(search, "EMIT_ROWS", 64)
+    v = RNG.normal(size=(500, 6)).astype(np.float32)
+    v[100:200] = v[:100]
+    q = RNG.normal(size=(25, 6)).astype(np.float32)
+    records = frame(spark, v).withColumn("id", F.lpad(F.col("id").cast("string"), 4, "0").cast(kind))
+    got = {at: int(i) for at, i in answer(search.knn(records, frame(spark, q, "query_id", 3), 40, metric)).items()}
+    assert got == brute_force(q, v, 40, metric)
+
+
+def test_more_results_than_the_sample_holds(spark, monkeypatch):
+    monkeypatch.setattr(search, "MANY_RESULTS", 10)
+    v = RNG.normal(size=(50, 4)).astype(np.float32)
+    hits = search.knn(frame(spark, v), frame(spark, v[:6], "query_id", 2), 45, method="blocked")
+    assert answer(hits) == brute_force(v[:6], v, 45, "l2")
 
 
 def test_many_queries_are_searched_in_blocks(spark, monkeypatch):
     v = RNG.normal(size=(60, 4)).astype(np.float32)
     records, queries = frame(spark, v), frame(spark, v, "query_id")
     monkeypatch.setattr(search, "BROADCAST_QUERIES", 10)
-    assert "REPARTITION" in simple(search.knn(records, queries, 2)).upper()
     assert answer(search.knn(records, queries, 2)) == brute_force(v, v, 2, "l2")
     with pytest.raises(ValueError, match="too many queries"):
         search.knn(records, queries, 2, method="matrix")
@@ -136,6 +166,7 @@ def test_state_over_many_batches(order):
     for start in range(0, 3000, 170):
         part = ids[start : start + 170]
         state.update(part, v[part])
+    state.settle()
     got = {}
     for query, record in zip(state.query, state.ids):
         got.setdefault(int(query), []).append(int(record))
@@ -148,10 +179,12 @@ def test_copies_in_later_batches_with_smaller_ids():
     state = NearestRecords(v[:2], 4, "cosine")
     for start in range(900, -1, -100):
         state.update(np.arange(start, start + 100), v[start : start + 100])
+    state.settle()
     assert state.ids.tolist() == [0, 1, 2, 3] * 2
     names = np.array([f"r{i:04d}" for i in range(1000)], dtype=object)
     state = NearestRecords(v[:1], 3, "l2")
     state.update(names[::-1], v)
+    state.settle()
     assert state.ids.tolist() == ["r0000", "r0001", "r0002"]
 
 
@@ -164,6 +197,7 @@ def test_random_scales_equal_brute_force():
             state = NearestRecords(q, 5, metric)
             for start in range(0, 300, 64):
                 state.update(np.arange(300)[start : start + 64], v[start : start + 64])
+            state.settle()
             expected = np.sort(distances(q.astype(np.float64), v.astype(np.float64), metric), axis=1)[:, :5]
             assert np.allclose(state.distance.reshape(10, 5), expected, rtol=1e-12, atol=2e-9), (trial, metric)
 
