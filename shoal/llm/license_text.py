@@ -1,10 +1,12 @@
 """License scan: a trained paragraph classifier with template comparison.
 
-Paragraphs are lines of a text. A multinomial logistic regression over word
-uni- and bigrams names the licence family of a paragraph or 'unknown'; its
-probabilities are calibrated by a temperature on held-out rows. A prediction
-counts only if the paragraph and a template of the family share their word
-bigrams to a large part.
+Paragraphs are blocks between blank lines; line ends inside count as spaces. A
+multinomial logistic regression over word uni- and bigrams names the licence
+family of a passage or 'unknown'; its probabilities are calibrated by a
+temperature on held-out rows. Passages are the paragraph, its lines, its
+sentences and runs of up to RUN of either. A prediction counts only if the
+passage and a template of the family share their word bigrams to a large part,
+among them bigrams that no other family has, and no other version is named.
 """
 
 from __future__ import annotations
@@ -44,12 +46,14 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     ),
     "LGPL": (
         "This library is licensed under the GNU Lesser General Public License, version 2.1.",
-        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+        "You should have received a copy of the GNU Lesser General Public License along with this library.",
         "SPDX-License-Identifier: LGPL-2.1-only",
     ),
     "AGPL": (
         "Licensed under the GNU Affero General Public License, version 3.",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "You should have received a copy of the GNU Affero General Public License along with this program.",
         "SPDX-License-Identifier: AGPL-3.0-only",
     ),
     "BSD": (
@@ -104,13 +108,24 @@ OTHER = (
     "The use of this file is described in the following section.",
     "MIT is a university; the Apache are a people; the foundation gives creative prizes.",
     "You should have received this letter along with the other documents.",
+    # Notices of licences outside the families.
+    "Licensed under the Eclipse Public License, version 2.0.", "SPDX-License-Identifier: EPL-2.0",
+    "Licensed under the European Union Public Licence, version 1.2.", "SPDX-License-Identifier: EUPL-1.2",
+    "Distributed under the Boost Software License, Version 1.0.", "SPDX-License-Identifier: BSL-1.0",
+    "Licensed under the Common Development and Distribution License, version 1.0.",
+    "This program is free software; you can redistribute it under the terms of the Artistic License 2.0.",
+    "Released under the zlib License.", "Licensed under the Microsoft Public License.",
+    "Licensed under a commercial license; use without the written permission of the company is not allowed.",
 )
 # Word runs of a corpus sample that join the unknown class, at most.
 FIT_LINES = 2000
 CERTAIN = 0.5
 SHARED = 0.6
+# Adjacent lines or sentences that are tested together, at most.
+RUN = 3
 WORDS = re.compile(r"[a-z0-9]+")
 SENTENCE = re.compile(r"[.!?]\s+")
+VERSION = re.compile(r"(?:version|licen[sc]e|v\.?|-)[\s,v]*([0-9]+\.[0-9]+)", re.IGNORECASE)
 
 
 def words_of(line: str) -> list[str]:
@@ -128,7 +143,12 @@ class Classifier:
     weights: np.ndarray
     bias: np.ndarray
     temperature: float = 1.0
-    bigrams: dict[str, list[tuple[set, list[str]]]] = field(default_factory=dict)
+    templates: dict[str, list[tuple[set, set]]] = field(default_factory=dict)
+    marks: set = field(default_factory=set)
+
+    def __post_init__(self) -> None:
+        self.templates = own_bigrams()
+        self.marks = set().union(*(own for pairs in self.templates.values() for _, own in pairs))
 
     def logits(self, lines: list[list[str]]) -> np.ndarray:
         out = np.tile(self.bias, (len(lines), 1))
@@ -138,44 +158,123 @@ class Classifier:
                 out[i] += self.weights[at].sum(axis=0) / np.sqrt(len(at))
         return out
 
-    def predict(self, line: str) -> tuple[str, float] | None:
-        """Family and probability of a paragraph, confirmed by a template."""
-        words = words_of(line)
+    def predict(self, passage: str) -> tuple[str, float] | None:
+        """Family and probability of a passage, confirmed by a template."""
+        words = words_of(passage)
+        mine = bigrams(words)
+        if not mine & self.marks:  # no template could confirm it
+            return None
         logits = self.logits([words])[0] / self.temperature
         p = np.exp(logits - logits.max())
         p /= p.sum()
         best = int(np.argmax(p))
         family = self.families[best]
-        if family == UNKNOWN or p[best] < CERTAIN:
+        if family == UNKNOWN or p[best] < CERTAIN or not self.confirmed(family, passage, mine):
             return None
-        mine = bigrams(words)
-        for theirs in self.bigrams[family]:
-            if len(mine & theirs) >= SHARED * len(theirs) or (len(mine) >= 4 and len(mine & theirs) >= SHARED * len(mine)):
-                return family, float(p[best])
-        return None
-
-
-    def spans(self, line: str, at: int) -> list[tuple[str, int, int]]:
-        """(family, start, end) of a paragraph that begins at place `at`, or else of its sentences."""
-        if not HINT.search(line.encode()):
-            return []
-        if hit := self.predict(line):
-            return [(hit[0], at, at + len(line))]
-        found, begin = [], 0
-        for end in [*(m.end() for m in SENTENCE.finditer(line)), len(line)]:
-            sentence = line[begin:end]
-            if end - begin < len(line) and HINT.search(sentence.encode()) and (hit := self.predict(sentence)):
-                found.append((hit[0], at + begin, at + end))
-            begin = end
-        return found
+        return family, float(p[best])
+
+    def confirmed(self, family: str, passage: str, mine: set) -> bool:
+        """Whether a template of the family, or a part of one, stands in the passage."""
+        named, version = VERSION.findall(passage), VERSION.findall(family)
+        if version and named and version[0] not in named:
+            return False
+        for theirs, own in self.templates[family]:
+            both = mine & theirs
+            if len(both) >= SHARED * len(theirs) and 2 * len(both & own) >= len(own) > 0:
+                return True
+            if len(mine) >= 4 and len(both) >= SHARED * len(mine) and both & own:
+                return True
+        return False
+
+    def spans(self, body: str) -> list[tuple[str, int, int]]:
+        """(family, start, end) of the passages of a text, by place.
+
+        Of the passages of a paragraph that are predicted and confirmed, longer
+        ones come first; one that holds a passage of another family gives way
+        to it, one that meets a chosen passage of its own family adds nothing.
+        """
+        found = []
+        for at, end in paragraphs(body):
+            if not HINT.search(body, at, end):
+                continue
+            hits = []
+            for start, stop in passages(body, at, end):
+                if HINT.search(body, start, stop) and (hit := self.predict(body[start:stop])):
+                    hits.append((hit[0], start, stop))
+            found.extend(_choose(hits))
+        return sorted(found, key=lambda s: s[1:])
+
+
+def _choose(hits: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """The longest passages that hold no passage of another family.
+
+    Passages are runs of at most RUN pieces, except for the paragraph itself,
+    so each is compared with its neighbours by place only.
+    """
+    hits = sorted(set(hits), key=lambda s: (s[1], -s[2]))
+    kept = []
+    for i, (family, start, stop) in enumerate(hits):
+        mixed = False
+        for j in range(i + 1, len(hits)):
+            other, a, b = hits[j]
+            if a >= stop:
+                break
+            if other != family and b <= stop:
+                mixed = True
+                break
+        # one that begins at the same place and is longer stands before it
+        if not mixed:
+            kept.append((family, start, stop))
+    chosen: list[tuple[str, int, int]] = []
+    last: dict[str, int] = {}
+    for family, start, stop in kept:
+        if start >= last.get(family, 0):
+            chosen.append((family, start, stop))
+            last[family] = stop
+    return chosen
+
+
+def paragraphs(body: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of the blocks of lines that are not blank."""
+    start, at = None, 0
+    for line in body.split("\n"):
+        if line.strip():
+            start = at if start is None else start
+        elif start is not None:
+            yield start, at - 1
+            start = None
+        at += len(line) + 1
+    if start is not None:
+        yield start, len(body)
+
+
+def passages(body: str, start: int, end: int) -> Iterator[tuple[int, int]]:
+    """The paragraph, its lines and sentences, and runs of up to RUN of either."""
+    yield start, end
+    for pattern in (LINE_END, SENTENCE):
+        cuts = [start, *(m.end() for m in pattern.finditer(body, start, end)), end]
+        cuts = [a for a, b in zip(cuts, cuts[1:]) if a < b] + [end]
+        for n in range(1, RUN + 1):
+            yield from zip(cuts, cuts[n:])
+
+
+LINE_END = re.compile(r"\n")
 
 
 def bigrams(words: list[str]) -> set:
-    """Word pairs in which numbers count alike."""
+    """Word pairs in which numbers count alike; versions are compared apart."""
     plain = ["0" if w.isdigit() else w for w in words]
     return set(zip(plain, plain[1:]))
 
 
+def own_bigrams() -> dict[str, list[tuple[set, set]]]:
+    """For every template its bigrams, and those of them that no other family or other notice has."""
+    seen = {f: set().union(*(bigrams(words_of(t)) for t in texts)) for f, texts in TEMPLATES.items()}
+    seen[UNKNOWN] = set().union(*(bigrams(words_of(t)) for t in OTHER))
+    rest = {f: set().union(*(seen[g] for g in seen if g != f)) for f in TEMPLATES}
+    return {f: [(b, b - rest[f]) for b in (bigrams(words_of(t)) for t in texts)] for f, texts in TEMPLATES.items()}
+
+
 def _examples(lines: list[str], seed: int) -> tuple[list[list[str]], list[str]]:
     """Labelled word lists: templates whole, cut, and inside other words; other lines as unknown."""
     rng = np.random.default_rng(seed)
@@ -241,15 +340,14 @@ def fit(lines: list[str], seed: int = 3) -> Classifier:
         return float(-(s[np.arange(len(held)), y[held]] - np.log(np.exp(s).sum(axis=1))).mean())
 
     temperature = min((0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0), key=loss)
-    pairs = {f: [bigrams(words_of(t)) for t in texts] for f, texts in TEMPLATES.items()}
-    return Classifier(families, index, weights, bias, temperature, pairs)
+    return Classifier(families, index, weights, bias, temperature)
 
 
-# Lines without any of these words are passed over: each template has one in every part
+# Passages without any of these words are passed over: each template has one in every part
 # that is long enough to be confirmed by its bigrams.
 HINT = re.compile(
-    rb"licen[sc]e|permission|redistribut|copyright|free software|public license|public domain|warrant|spdx|creative commons"
-    rb"|free to copy|compliance with|mozilla",
+    r"licen[sc]e|permission|redistribut|copyright|free software|public license|public domain|warrant|spdx|creative commons"
+    r"|free to copy|compliance with|mozilla",
     re.IGNORECASE,
 )
 
@@ -258,9 +356,12 @@ def scan_licenses(docs: DataFrame, ident: str = "doc_id", text: str = "text") ->
     """One row per document: ident, n_paragraphs, families, spans.
 
     `families` are the different licence families found, sorted and joined by
-    commas; `spans` are family:start:end of each paragraph in code points, end
-    exclusive. A null or empty text has none, repeated rows are scanned alike,
-    an empty table gives no rows, other columns are not read. The unknown class
+    commas; `spans` are family:start:end of each passage in code points, end
+    exclusive, by place, and n_paragraphs is their number. A null or empty text
+    has none, repeated rows are scanned alike, an empty table gives no rows,
+    other columns are not read. Of equally probable families the one that
+    stands first in TEMPLATES is taken. The work grows with a text's length,
+    save that each passage is compared with the confirmed ones it overlaps. The unknown class
     is fit on at most FIT_LINES lines, of documents chosen by a hash of the text.
     """
     spark = with_workers(docs)
@@ -276,12 +377,7 @@ def scan_licenses(docs: DataFrame, ident: str = "doc_id", text: str = "text") ->
         for batch in batches:
             found = []
             for body in batch.column("text").to_pylist():
-                spans = []
-                if body and HINT.search(body):
-                    at = 0
-                    for line in body.decode().split("\n"):
-                        spans.extend(m.spans(line, at))
-                        at += len(line) + 1
+                spans = m.spans(body) if body else []
                 found.append((len(spans), ",".join(sorted({s[0] for s in spans})), ",".join(f"{f}:{a}:{b}" for f, a, b in spans)))
             columns = [[f[i] for f in found] for i in range(3)]
             yield pa.RecordBatch.from_arrays(
@@ -290,5 +386,5 @@ def scan_licenses(docs: DataFrame, ident: str = "doc_id", text: str = "text") ->
             )
 
     kind = dict(docs.dtypes)[ident]
-    rows = docs.select(F.col(ident).alias("ident"), F.col(text).cast("binary").alias("text"))
+    rows = docs.select(F.col(ident).alias("ident"), F.col(text).alias("text"))
     return rows.mapInArrow(scan, f"ident {kind}, n_paragraphs long, families string, spans string").withColumnRenamed("ident", ident)

@@ -16,6 +16,7 @@ from shoal.llm import queries, rank_vbyte
 from shoal.llm.common import remainder
 from shoal.llm.context_mix import score_texts
 from shoal.llm.latent_leaks import common_length, find_leaks, judge, without_leaks, words_of
+from shoal.llm import license_text
 from shoal.llm.license_text import scan_licenses
 from shoal.llm.piece_lang import Model, Pieces, expected_pieces, fit, forward, identify, public_pieces
 
@@ -173,6 +174,56 @@ def test_licences(spark, edge_docs, no_docs):
     assert scan_licenses(no_docs).count() == 0
 
 
+@pytest.fixture(scope="module")
+def licence_model():
+    return license_text.fit(["a line of plain text about ships", "the harbour was closed in winter"])
+
+
+GPL_NOTICE = (
+    "This program is free software: you can redistribute it and/or modify\n"
+    "it under the terms of the GNU General Public License as published by\n"
+    "the Free Software Foundation, either version 3 of the License."
+)
+
+
+@pytest.mark.parametrize("text, families", [
+    ("Licensed under the Apache License, Version 2.0. Released under the MIT License.", {"Apache-2.0", "MIT"}),
+    ("Released under the MIT License. Licensed under the Apache License, Version 2.0.", {"Apache-2.0", "MIT"}),
+    ("Released under the\nMIT License.", {"MIT"}),
+    (GPL_NOTICE, {"GPL"}),
+    (GPL_NOTICE.replace("General", "Affero General"), {"AGPL"}),
+    ("Eclipse Public License, version 2.0", set()),
+    ("Licensed under the Eclipse Public License, version 2.0.", set()),
+    ("SPDX-License-Identifier: EUPL-1.2", set()),
+    ("SPDX-License-Identifier: Apache-2.0", {"Apache-2.0"}),
+    ("Licensed under the Apache License, Version 1.1.", set()),
+    ("Licensed under the Foo License, Version 2.0.", set()),
+    ("Released under the\n\nMIT License.", set()),
+])
+def test_licence_families(licence_model, text, families):
+    assert {s[0] for s in licence_model.spans(text)} == families
+    assert {s[0] for s in licence_model.spans("Ships left the harbour.\n\n" + text + "\n\nThe end.")} == families
+
+
+def test_licence_spans_against_all_passages(licence_model):
+    rng = np.random.default_rng(4)
+    plain = ["The ship left the harbour.", "A driver must carry a license.", "Nothing else\nwas seen.", "It rained."]
+    notices = [t for texts in license_text.TEMPLATES.values() for t in texts]
+    for _ in range(25):
+        parts = [str(rng.choice(notices if rng.random() < 0.4 else plain)) for _ in range(6)]
+        text = "".join(p + str(rng.choice([" ", "\n", "\n\n"])) for p in parts)
+        want = []
+        for at, end in license_text.paragraphs(text):
+            assert "\n\n" not in text[at:end]
+            hits = {(h[0], a, b) for a, b in license_text.passages(text, at, end) if (h := licence_model.predict(text[a:b]))}
+            pure = [h for h in hits if not any(o[0] != h[0] and h[1] <= o[1] and o[2] <= h[2] and o[1:] != h[1:] for o in hits)]
+            for h in sorted(pure, key=lambda s: (s[1], -s[2])):
+                if all(o[0] != h[0] or o[2] <= h[1] for o in want):
+                    want.append(h)
+        got = licence_model.spans(text)
+        assert [s[1:] for s in got] == sorted(s[1:] for s in want) and {s[0] for s in got} == {s[0] for s in want}
+
+
 def test_coding_round_trip():
     rng = np.random.default_rng(2)
     for n in (0, 1, 3, 4, 5, 1000):
