@@ -320,6 +320,7 @@ ORACLES: dict[str, str] = {
     "knn_ip": _rounded(_knn(IP)),
     "knn_matrix": _rounded(_knn(L2, 3)),
     "blocked_knn": _rounded(_knn(L2)),
+    "pivot_knn": _rounded(_knn(L2)),
     "text_query": f"""
       SELECT h.query_id, h.rank, h.id, d.text AS document,
              '{{"lang":"' || d.lang || '","source":"' || d.source || '"}}' AS metadata, round(h.dist, 6) AS distance

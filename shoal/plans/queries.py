@@ -15,7 +15,7 @@ from shoal.functions.ids import choose_id, collection_uuid, hash_id
 from shoal.functions.json import as_map, get_nested, parse_object, stringify
 from shoal.functions.tokens import attention_mask, tokenize_words
 from shoal.functions.vectors import distance, first_token_pool, format_distance
-from shoal.operators import catalog, ingest, ordering, search, tokens, upsert
+from shoal.operators import catalog, ingest, ordering, pivots, search, tokens, upsert
 from shoal.operators.embed import HashingEmbedder, embed_documents, hashing_embed
 from shoal.plans.vector_cache import embed_cached
 from shoal.session import allow_duplicate_keys, scratch_path, spread
@@ -604,6 +604,13 @@ def blocked_knn(spark, sf):
     return rounded_hits(search.knn(vectors(spark, sf), vector_queries(spark, sf), RESULTS, "l2", method="blocked"))
 
 
+@query
+def pivot_knn(spark, sf):
+    cells = scratch_path(spark, "cells")
+    pivots.write_cells(vectors(spark, sf), cells)
+    return rounded_hits(pivots.search_cells(spark, cells, vector_queries(spark, sf), RESULTS)[0])
+
+
 @query
 def text_query(spark, sf):
     response = search.search_records(hashed_documents(spark, sf), benchmark_queries(spark, sf), RESULTS)

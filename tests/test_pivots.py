@@ -1,0 +1,70 @@
+from __future__ import annotations
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from plan import physical
+from shoal.operators import search
+from shoal.operators.pivots import search_cells, write_cells
+from test_search import answer, brute_force, frame
+
+RNG = np.random.default_rng(21)
+
+
+@pytest.fixture(scope="module")
+def clustered():
+    """Vectors in twenty tight bundles far apart, one bundle a third of all, with copies."""
+    centre = RNG.normal(size=(20, 8)) * 50
+    of = np.where(RNG.random(900) < 0.33, 0, RNG.integers(0, 20, 900))
+    v = (centre[of] + RNG.normal(size=(900, 8))).astype(np.float32)
+    v[300:400] = v[200:300]
+    return v
+
+
+@pytest.mark.parametrize("k", [1, 7, 60])
+def test_clustered_vectors_are_read_in_part(spark, tmp_path, clustered, k):
+    write_cells(frame(spark, clustered), str(tmp_path / "t"), pivots=40)
+    q = clustered[[3, 250, 640]] + np.float32(0.25)
+    hits, share = search_cells(spark, str(tmp_path / "t"), frame(spark, q, "query_id", 1), k)
+    assert answer(hits) == brute_force(q, clustered, k, "l2")
+    assert 0 < share < 1
+    plan = physical(hits)
+    assert "PartitionFilters" in plan and "pivot_distance" in plan.split("PushedFilters")[1]
+
+
+@pytest.mark.parametrize("scale", [1e-4, 1.0, 1e5])
+def test_spread_vectors_are_searched_exactly(spark, tmp_path, scale):
+    v = (RNG.normal(size=(400, 5)) * scale).astype(np.float32)
+    q = (RNG.normal(size=(30, 5)) * scale).astype(np.float32)
+    write_cells(frame(spark, v), str(tmp_path / "t"), pivots=16)
+    hits, _ = search_cells(spark, str(tmp_path / "t"), frame(spark, q, "query_id", 2), 6)
+    assert answer(hits) == brute_force(q, v, 6, "l2")
+
+
+def test_bad_vectors_and_few_records(spark, tmp_path):
+    rows = [("a", [0.0, 0.0]), ("b", None), ("c", [1.0]), ("d", [float("nan"), 0.0]), ("e", [None, 0.0]), ("f", [5.0, 0.0])]
+    write_cells(spark.createDataFrame(rows, "id string, embedding array<float>"), str(tmp_path / "t"))
+    queries = spark.createDataFrame(
+        [(0, [0.0, 0.0]), (1, [5.0, 0.0]), (2, None), (3, [float("inf"), 0.0])], "query_id int, embedding array<float>"
+    )
+    hits, _ = search_cells(spark, str(tmp_path / "t"), queries, 5)
+    assert answer(hits) == {(0, 1): "a", (0, 2): "f", (1, 1): "f", (1, 2): "a"}
+    other, share = search_cells(spark, str(tmp_path / "t"), spark.createDataFrame([(0, [1.0])], "query_id int, embedding array<float>"), 5)
+    assert answer(other) == {(0, 1): "c"} and share == 1.0
+
+
+def test_nothing_stored_or_asked(spark, tmp_path, clustered):
+    none = frame(spark, clustered[:2]).where(F.col("id") < 0)
+    write_cells(none, str(tmp_path / "none"))
+    queries = frame(spark, clustered[:2], "query_id", 1)
+    assert search_cells(spark, str(tmp_path / "none"), queries, 3)[0].count() == 0
+    write_cells(frame(spark, clustered), str(tmp_path / "some"))
+    assert search_cells(spark, str(tmp_path / "some"), queries.where("query_id < 0"), 3)[0].count() == 0
+
+
+def test_too_many_queries_go_the_other_way(spark, tmp_path, clustered, monkeypatch):
+    monkeypatch.setattr(search, "BROADCAST_QUERIES", 2)
+    write_cells(frame(spark, clustered), str(tmp_path / "t"), pivots=10)
+    hits, share = search_cells(spark, str(tmp_path / "t"), frame(spark, clustered[:5], "query_id", 1), 4)
+    assert share == 1.0 and answer(hits) == brute_force(clustered[:5], clustered, 4, "l2")
