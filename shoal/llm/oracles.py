@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-# Sums and shares as in the operator; the ranking is by the same md5 of the id.
+# Sums and shares as in the operator; the ranking is by the same md5 of the id and factor of the size.
 OP7 = r"""
 WITH sized AS (
   SELECT doc_id, source,
     coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
     ('0x' || substr(md5('7:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT AS u
   FROM documents),
-sums AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
+sums AS (
+  SELECT source, sum(size)::BIGINT AS source_size, count(*) AS source_rows FROM sized GROUP BY source),
 weighted AS (
   SELECT *, [5.0, 2.0, 1.0][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]::DOUBLE AS weight
   FROM sums),
@@ -21,13 +22,16 @@ levels AS (
          rest AS (ORDER BY full_at, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
 found AS (SELECT level FROM levels WHERE level <= full_at ORDER BY full_at, source LIMIT 1),
 targets AS (
-  SELECT l.source, l.source_size, least(l.top, l.weight * f.level) AS target FROM limits l, found f),
+  SELECT l.source, l.source_size, l.source_rows, least(l.top, l.weight * f.level) AS target FROM limits l, found f),
 parts AS (
   SELECT s.*, t.source_size, t.target,
-    CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size) ELSE 0 END AS whole
+    CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size) ELSE 0 END AS whole,
+    (s.u + 0.5::DOUBLE) / (4503599627370496::DOUBLE - s.u - 0.5::DOUBLE)
+      / greatest(0.5::DOUBLE, least(2.0::DOUBLE, CASE WHEN t.source_size > 0
+        THEN (s.size * t.source_rows)::DOUBLE / t.source_size::DOUBLE ELSE 1.0::DOUBLE END)) AS odds
   FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
 ranked AS (
-  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY u, doc_id, size
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY odds, u, doc_id, size
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
   FROM parts)
 SELECT doc_id, size, source_size, target,

@@ -96,11 +96,16 @@ def mix(
     rest = F.col("target") - F.col("whole") * F.col("source_size")
     slices = F.ceil(F.col("source_rows") / SLICE_ROWS)
     targets = stage(targets.withColumn("whole", whole.cast("long")).withColumn("rest", rest).withColumn("slices", slices), "targets")
-    # lambda is the same for all documents of a source, so the Pareto ranking within it
-    # is the order of u, and slice k of it holds the u in [k, k + 1) / slices.
-    placed = lookup_join(sized, targets, ["key"]).withColumn(
-        "slice", F.floor(F.col("u") / F.lit(float(UNIT)) * F.col("slices"))
-    )
+    # The odds of the left-over share are one factor for a whole source, so the ranking is by the
+    # random odds over the factor of the size. The factor is bounded, so slices of
+    # odds / (1 + odds) hold at most twice their share of the rows.
+    placed = lookup_join(sized, targets, ["key"])
+    by_size = F.when(F.col("source_size") > 0, F.col("size") * F.col("source_rows") / F.col("source_size"))
+    factor = F.greatest(F.lit(0.5), F.least(F.lit(2.0), F.coalesce(by_size, F.lit(1.0))))
+    random_odds = (F.col("u") + F.lit(0.5)) / (F.lit(float(UNIT)) - F.col("u") - F.lit(0.5))
+    placed = placed.withColumn("odds", random_odds / factor)
+    share_of = F.col("odds") / (F.col("odds") + F.lit(1.0))
+    placed = placed.withColumn("slice", F.least(F.floor(share_of * F.col("slices")), F.col("slices") - 1))
     sums = placed.groupBy("key", "slice").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
     running = F.sum("words").over(Window.partitionBy("key").orderBy("slice"))
     cuts = (
@@ -110,13 +115,11 @@ def mix(
         .agg(F.min(F.struct("slice", (F.col("reached") - F.col("words")).alias("before"))).alias("cut"))
     )
     placed = lookup_join(placed, stage(cuts, "cuts"), ["key"])
-    lam = F.when(F.col("rest") > 0, F.col("rest") / F.col("source_size"))
-    odds = (F.col("u") + 0.5) / (F.lit(float(UNIT)) - F.col("u") - 0.5) / F.coalesce(lam / (1 - lam), F.lit(1.0))
     columns = ["ident", "row", "size", "source_size", "target", "whole"]
     outside = placed.where(F.col("cut").isNull() | (F.col("slice") != F.col("cut.slice"))).select(
         *columns, F.coalesce((F.col("slice") < F.col("cut.slice")).cast("int"), F.lit(0)).alias("more")
     )
-    inside = placed.where(F.col("slice") == F.col("cut.slice")).withColumn("odds", odds)
+    inside = placed.where(F.col("slice") == F.col("cut.slice"))
     order = Window.partitionBy("key").orderBy("odds", "u", "ident", "size", "row").rowsBetween(Window.unboundedPreceding, -1)
     before = F.col("cut.before") + F.coalesce(F.sum("size").over(order), F.lit(0))
     inside = inside.withColumn("before", before).select(

@@ -46,6 +46,19 @@ def test_mix_edges(edge_docs, no_docs):
     assert mix(no_docs).count() == 0
 
 
+def test_inclusion_follows_the_size(spark):
+    """Over many seeds long documents come more often than short ones, and the words stay near the target."""
+    rows = [(i, "w " * (100 if i % 2 else 20), "a") for i in range(60)] + [(100 + i, "w " * 30, "b") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1)
+    times = {True: 0, False: 0}
+    for seed in range(12):
+        got = mix(docs, weights=(1, 1), share=0.6, seed=seed).where("source_size = 3600").collect()
+        assert abs(sum(r["taken"] for r in got) - got[0]["target"]) <= 50
+        for r in got:
+            times[r["doc_id"] % 2 == 1] += r["copies"]
+    assert times[True] > 1.15 * times[False]
+
+
 def test_hilbert_curve_visits_neighbours(spark):
     side = 8
     cells = spark.range(side**3).select(
