@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from shoal.llm import queries, rank_vbyte
+from shoal.llm import context_mix, queries, rank_vbyte
 from shoal.llm.common import remainder
 from shoal.llm.context_mix import score_texts
 from shoal.llm.latent_leaks import common_length, find_leaks, judge, without_leaks, words_of
@@ -287,3 +287,141 @@ def test_pipeline_stages(spark, edge_docs):
     assert [name for name, _ in corpus_pipeline.STAGES] == [
         "language_id", "simhash_near_dedup", "benchmark_decontamination", "source_mix", "token_output"
     ]
+
+
+def bit_by_bit(mixer, book, tokens, taught):
+    """log10 of each token's probability: one bit after the other, each context hashed anew."""
+    mask = (1 << 64) - 1
+    a, b = int(context_mix._MIX_A), int(context_mix._MIX_B)
+    hashed = lambda *parts: int(context_mix.mixed_hash(*[np.array([p & mask], np.uint64) for p in parts])[0])
+    index = {w: i for i, w in enumerate(book.words)}
+    name = lambda w: index[w] + 1 if w in index else zlib.crc32(w) | 1 << 33
+    symbols, numbers, spelt = [], [0.0] * len(tokens), []
+    for t, w in enumerate(tokens):
+        one, two, three = [name(tokens[t - k]) if t >= k else 0 for k in (1, 2, 3)]
+        recent = next((name(v) for v in reversed(tokens[:t]) if index.get(v, 1 << 40) < context_mix.COMMON), 0)
+        contexts = [hashed(1), hashed(2, recent), hashed(3, one), hashed(4, two), hashed(5, one, two), hashed(6, one, two, three)]
+        symbol = index.get(w, len(book.words) + (w in spelt))
+        symbols.append((t, 0, int(book.codes[symbol]), int(book.lengths[symbol]), contexts))
+        if w in spelt:
+            numbers[t] = -math.log10(len(spelt))
+        elif w not in index:
+            spelt.append(w)
+            prefix, letters = 0, [0, 0, 0]
+            for at, c in enumerate(w + b" "):
+                l1, l2, l3 = letters
+                contexts = [
+                    hashed(11, l1, min(at, 7)), hashed(12, l1, l2), hashed(13, l1, l2, l3), hashed(14, recent, l1, l2), hashed(15, prefix),
+                    hashed(16, prefix, one),
+                ]
+                symbols.append((t, 1, c, 8, contexts))
+                prefix = (prefix + (c + 1) * pow(a, at + 1, 1 << 64)) & mask
+                letters = [c + 1, l1, l2]
+    out, own = list(numbers), np.zeros(context_mix.CONTEXTS)
+    block = lambda t: max(0, int(math.log2(max(1, t))) - 5)
+    for now in range(block(len(tokens)) + 1):
+        steps, bits = np.zeros(context_mix.CONTEXTS), 0
+        for t, spelled, code, length, contexts in symbols:
+            for depth in range(length if block(t) == now else 0):
+                node = code >> (length - depth) | 1 << depth
+                bit = code >> (length - depth - 1) & 1
+                slots = [(((c + node * b) & mask) * a & mask) >> mixer.shift for c in contexts]
+                packed = [int(mixer.slots[s]) + ((1 + bit) << 16 if taught else 0) for s in slots]
+                x, sure = [float(mixer.logits[p]) for p in packed], [int(mixer.sure[p]) for p in packed]
+                gate = (spelled * 8 + sure[2]) * 8 + sure[4]
+                logit = sum(x[k] * (mixer.weights[k][gate * 8 + sure[k]] + own[k]) for k in range(context_mix.CONTEXTS))
+                logit = min(context_mix.LIMIT, max(-context_mix.LIMIT, logit))
+                row = mixer.map[spelled * 32 + min(depth, 31)]
+                place = (logit + context_mix.LIMIT) * context_mix.KNOTS / (2 * context_mix.LIMIT)
+                cell = min(int(place), context_mix.KNOTS - 1)
+                p = 1 / (1 + math.exp(-logit))
+                final = 0.5 * p + 0.5 * (row[cell] * (cell + 1 - place) + row[cell + 1] * (place - cell))
+                final = min(1 - 1e-5, max(1e-5, final))
+                out[t] += math.log10(final if bit else 1 - final)
+                steps += np.array(x) * (bit - p)
+                bits += 1
+        own += context_mix.OWN_RATE * steps / (bits + context_mix.OWN_SLOW)
+    return out
+
+
+def test_mixing_bit_by_bit():
+    rng = np.random.default_rng(4)
+    words = [f"w{i}é" for i in range(40)] + ["the", "of", "x" * 50]
+    texts = [[*(words[i].encode() for i in rng.integers(0, len(words), n)), b"\n"] for n in (0, 1, 70, 300)]
+    book = context_mix.Book({w.encode(): i + 1 for i, w in enumerate(words[:30])}, 200)
+    counts = np.zeros(2 << 16, np.int64)
+    stream = context_mix.Stream(book, texts)
+    for _, _, slots, bit in stream.bits(np.argsort(-stream.lengths, kind="stable"), 48):
+        np.add.at(counts, (slots * 2 + bit).ravel(), 1)
+    mixer = context_mix.Mixer(context_mix.pack(counts))
+    mixer.weights = rng.uniform(0.1, 0.5, mixer.weights.shape).astype(np.float32)
+    taught = np.array([True, False, True, False])
+    got = np.split(mixer.costs(stream, taught), stream.starts[1:])
+    for text, held, own in zip(texts, taught, got):
+        assert np.allclose(own, bit_by_bit(mixer, book, text, held), rtol=1e-3, atol=1e-3)
+    # a code is complete: the words and the two escapes share all of it
+    assert sum(2.0 ** -book.lengths) == pytest.approx(1.0)
+    whole = context_mix.pack(np.array([0, 1, 127, 128, 1 << 30, 1 << 28]))
+    logits, _ = context_mix.unpacked()
+    assert logits[whole[2]] == pytest.approx(math.log(0.25), abs=0.1) and logits[whole[0]] == pytest.approx(math.log(1.4 / 0.4))
+    assert logits[int(whole[0]) + (2 << 16)] == 0  # its own count taken out
+
+
+def test_chunks_by_hand(spark):
+    keys, costs = np.array([5, 7, 5, 5]), np.array([-3.0, -9.0, -1.0, -2.0])
+    key, cost, again, coded, named = context_mix.different_chunks(keys, costs)
+    assert list(key) == [5, 7] and list(cost) == [-3.0, -9.0] and list(again) == [2, 0]
+    assert np.allclose(coded, [-3.0, 0.0]) and np.allclose(named, [-2 * math.log10(2), 0.0])
+    rng = np.random.default_rng(8)
+    rows = [
+        (0, int(r), bool(r % 4), int(k), float(-rng.uniform(0, 20)), int(m), float(-5.0 * m), float(-1.0 * m))
+        for r in range(200)
+        for k, m in {(0, 1), (int(rng.integers(1, 30)), 0), (1000 + r, int(r % 2))}
+    ]
+    chunks = spark.createDataFrame(rows, "part int, row long, taught boolean, key long, cost double, again long, coded double, named double")
+    n = collections.Counter()
+    for _, _, taught, k, _, m, _, _ in rows:
+        n[k] += taught * (m + 1)
+    seen = collections.Counter(r[3] for r in rows)
+    copies = sum(v for k, v in n.items() if seen[k] > 1)
+    trained, repeats = sum(n.values()), sum(r[5] for r in rows if r[2])
+    ways = np.array([copies, repeats, trained - min(trained, copies + repeats)]) + 1
+    other, own, fresh = np.log10(ways / ways.sum())
+    want = collections.Counter()
+    for _, r, taught, k, cost, m, coded, named in rows:
+        left = (n[k] if seen[k] > 1 else 0) - taught * (m + 1)
+        whole = math.log10(left / trained) + other if left > 0 else -math.inf
+        want[r] += max(cost + fresh, whole) + max(coded + m * fresh, named + m * own)
+    got = {r["row"]: r["score"] for r in context_mix.whole_chunks(chunks).collect()}
+    assert got.keys() == want.keys() and all(got[r] == pytest.approx(want[r]) for r in want)
+
+
+def test_order_and_copies_count(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    follow = {f"w{i}": [f"w{j}" for j in rng.integers(0, 60, 8)] for i in range(60)}
+
+    def text():
+        words = [f"w{rng.integers(0, 60)}"]
+        while len(words) < 120:
+            words.append(follow[words[-1]][rng.integers(0, 8)])
+        return words
+
+    texts = [text() for _ in range(300)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)] + [(300, " ".join(texts[7]))]
+    rows += [(1000 + i, " ".join(rng.permutation(texts[i]))) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(context_mix, "TOGETHER", 1000)
+    got = {r["doc_id"]: r["score"] for r in score_texts(docs, F.col("doc_id") >= 1000).collect()}
+    assert all(got[1000 + i] < 1.2 * got[i] for i in range(20) if i != 7)  # shuffled words are less likely
+    plain = np.mean([got[i] for i in range(300) if i != 7])
+    assert got[7] > 0.6 * plain and got[300] > 0.6 * plain  # a text that another repeats
+    again = {r["doc_id"]: r["score"] for r in score_texts(docs.repartition(2), F.col("doc_id") >= 1000).collect()}
+    assert all(again[i] == pytest.approx(got[i], rel=0.05) for i in got)
+
+
+def test_segments_add_up(spark, monkeypatch):
+    monkeypatch.setattr(context_mix, "SEGMENT", 50)
+    rows = [(1, " ".join(f"a{i % 30}" for i in range(500))), (2, None), (3, "b c d")]
+    got = {r["doc_id"]: r for r in score_texts(spark.createDataFrame(rows, "doc_id long, text string"), F.lit(False)).collect()}
+    assert {i: r["n_tokens"] for i, r in got.items()} == {1: 501, 2: 1, 3: 4}
+    assert got[2]["bits_per_byte"] == pytest.approx(-got[2]["score"] * math.log2(10) / 1)
