@@ -86,16 +86,18 @@ def knn(
     query_id_col: str = "query_id",
     query_vector_col: str = "embedding",
     method: str = "auto",
+    in_parts: bool = False,
 ) -> DataFrame:
     """`query_id`, `rank`, `id`, `distance` of the k nearest records per query.
 
     The search is exact: every record is compared with every query, but pairs
     are only formed inside a task, which keeps k per query. ``matrix``
-    broadcasts the queries. ``blocked`` does so block by block, writes each
-    block's answers down, and takes any number of queries and results. ``auto``
-    takes the former if the queries fit its bounds. The records stay where they
-    are; ``blocked`` reads them once per block (twice for many results), so
-    write computed vectors to a table first.
+    broadcasts the queries and refuses more than fit, unless `in_parts`: then one
+    matrix after another is broadcast, as by ``blocked``. ``blocked`` broadcasts
+    block by block, writes each block's answers down, and takes any number of
+    queries and results. ``auto`` takes the former if the queries fit its bounds.
+    The records stay where they are; ``blocked`` reads them once per block (twice
+    for many results), so write computed vectors to a table first.
     """
     check_metric(metric)
     k = result_count(k)
@@ -108,7 +110,7 @@ def knn(
         head = queries.toArrow()
         if head.nbytes <= BROADCAST_BYTES and (method == "matrix" or head.num_rows * k <= STATE_PAIRS):
             return _merge_candidates(_matrix_candidates(records, queries, head, k, metric), k)
-    if method == "matrix":
+    if method == "matrix" and not in_parts:
         raise ValueError("too many queries to broadcast; use method='blocked'")
     return _blocked_hits(records, queries, k, metric)
 
@@ -212,7 +214,8 @@ def _blocked_hits(
     A block is so small that its vectors are within BROADCAST_BYTES and its
     answers within STATE_PAIRS, whatever k is. It is broadcast, the records
     stream past it where they are, and its answers are written down before the
-    next one is sent, so one block is in memory at a time.
+    next one is sent, so one block is in memory at a time. Queries that share an
+    id have k answers together, also from several blocks.
     """
     spark = records.sparkSession
     queries = queries.where(F.col("embedding").isNotNull())
@@ -226,7 +229,7 @@ def _blocked_hits(
     size = max(1, min(block_queries, BROADCAST_BYTES // (8 * max(dim, 1)), STATE_PAIRS // k))
     blocks = ceil(widths[2] / size)
     if blocks == 1:
-        return _block_hits(records, queries.toArrow(), dim, k, metric, schema)[0]
+        return _block_hits(records, queries.toArrow(), dim, k, metric, schema)[0].drop("tie_key")
     placed = with_position(queries, ["query_id"], "block")
     placed = placed.withColumn("block", F.floor((F.col("block") - 1) / size).cast("int"))
     placed = stage(placed.repartition(min(blocks, MERGE_GROUPS), "block"), "query-blocks", "block")
@@ -236,11 +239,11 @@ def _blocked_hits(
         hits, shared = _block_hits(records, head, dim, k, metric, schema)
         hits.write.mode("overwrite").parquet(f"{out}/block={block}")
         shared.unpersist()
-    return spark.read.schema(hits.schema).parquet(out).select(*hits.columns)
+    return top_k(spark.read.schema(hits.schema).parquet(out).drop("rank"), k).select("query_id", "id", "distance", "rank")
 
 
 def _block_hits(records: DataFrame, head: pa.Table, dim: int, k: int, metric: str, schema: T.StructType):
-    """The k nearest records of one block of queries, still lazy, and what is shared for them."""
+    """The k nearest records of one block of queries with their tie keys, still lazy, and what is shared for them."""
     spark = records.sparkSession
     shared = _share(spark, head)
     if k >= MANY_RESULTS:
@@ -249,7 +252,7 @@ def _block_hits(records: DataFrame, head: pa.Table, dim: int, k: int, metric: st
         bounds = near.where(F.col("rank") == k).select("query_id", F.col("tie_key").alias("bound")).toArrow()
         shared.unpersist()
         shared = _share(spark, _with_bounds(head, bounds))
-    return _merge_candidates(_pass(records, shared, dim, k, metric, schema), k), shared
+    return _merge_candidates(_pass(records, shared, dim, k, metric, schema), k, keep_key=True), shared
 
 
 def _with_bounds(head: pa.Table, bounds: pa.Table) -> pa.Table:

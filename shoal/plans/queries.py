@@ -596,7 +596,7 @@ def knn_ip(spark, sf):
 
 @query
 def knn_matrix(spark, sf):
-    return rounded_hits(search.knn(vectors(spark, sf), vector_queries(spark, sf), 0, "l2", method="matrix"))
+    return rounded_hits(search.knn(vectors(spark, sf), vector_queries(spark, sf), 0, "l2", method="matrix", in_parts=True))
 
 
 @query

@@ -111,6 +111,24 @@ def test_many_queries_are_searched_in_blocks(spark, monkeypatch):
         search.knn(records, queries, 2, method="matrix")
 
 
+def test_matrix_in_parts_takes_any_number_of_queries(spark, monkeypatch):
+    v = RNG.normal(size=(60, 4)).astype(np.float32)
+    records, queries = frame(spark, v), frame(spark, v, "query_id")
+    monkeypatch.setattr(search, "BROADCAST_QUERIES", 10)
+    monkeypatch.setattr(search, "STATE_PAIRS", 14)  # seven queries a part
+    assert answer(search.knn(records, queries, 2, method="matrix", in_parts=True)) == brute_force(v, v, 2, "l2")
+
+
+def test_queries_of_one_id_have_k_answers_over_all_parts(spark, monkeypatch):
+    v = RNG.normal(size=(20, 4)).astype(np.float32)
+    queries = frame(spark, v, "query_id").withColumn("query_id", F.when(F.col("query_id") % 2 == 1, F.col("query_id")))
+    whole = search.knn(frame(spark, v), queries, 3, method="matrix").collect()
+    monkeypatch.setattr(search, "BROADCAST_QUERIES", 5)
+    monkeypatch.setattr(search, "STATE_PAIRS", 9)
+    parts = search.knn(frame(spark, v), queries, 3, method="matrix", in_parts=True).collect()
+    assert sorted(map(str, parts)) == sorted(map(str, whole)) and len(parts) == 33
+
+
 @pytest.mark.parametrize("method", ["matrix", "blocked"])
 def test_bad_vectors_never_rank(spark, method):
     rows = [("a", [0.0, 0.0]), ("b", None), ("c", [1.0]), ("d", [float("nan"), 0.0]), ("e", [None, 0.0]), ("f", [5.0, 0.0])]
