@@ -18,7 +18,7 @@ import time
 import uuid
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window, functions as F, types as T
 
 from shoal.operators.lookup import fits_broadcast
 from shoal.operators.upsert import RECORD_KEYS, first_wins, last_wins, unmatched
@@ -35,6 +35,10 @@ __all__ = [
 COMPACT_AFTER = 20
 # Rows of a base that share a bucket, and buckets of a base at most.
 ROWS_PER_BUCKET, MOST_BUCKETS = 250_000, 4096
+# Rows of a collection and bucket that a compaction hands to one task, about.
+ROWS_PER_TASK = 16_384
+# A compaction writes all rows again, so files are packed more closely than by the default.
+CODEC = "zstd"
 # Data that no current state holds is deleted once it is so old.
 KEEP_SECONDS = 7 * 24 * 3600
 
@@ -60,15 +64,40 @@ def buckets_for(records: int) -> int:
 
 
 def _write(rows: DataFrame, path: str, buckets: int = 1) -> None:
-    # Rebalancing splits a collection that holds most rows over several files
-    # and packs small collections together.
-    rows = rows.withColumn("bucket", bucket_of(buckets))
+    """Write rows by collection and bucket; rows that have a `bucket` are placed already."""
+    placed = "bucket" in rows.columns
+    if not placed:
+        # Rebalancing splits a collection that holds most rows over several files
+        # and packs small collections together.
+        rows = rows.withColumn("bucket", bucket_of(buckets))
+        rows = rows.hint("rebalance", "collection_id", *["bucket"] * (buckets > 1))
     if buckets > 1:
         # sorted by id, row groups that cannot hold an id are skipped within a file
-        rows = rows.hint("rebalance", "collection_id", "bucket").sortWithinPartitions("collection_id", "bucket", "id")
-    else:
-        rows = rows.hint("rebalance", "collection_id")
-    rows.write.partitionBy("collection_id", "bucket").parquet(path)
+        rows = rows.sortWithinPartitions("collection_id", "bucket", "id")
+    rows.write.partitionBy("collection_id", "bucket").option("compression", CODEC).parquet(path)
+
+
+def _folded(spark: SparkSession, path: str, log: Log, buckets: int) -> DataFrame:
+    """The current rows as of a reading of the log, placed for a base of so many buckets; every row travels once.
+
+    The shuffle that brings the rows of a key together places them for the files,
+    too: by collection and bucket, large ones in parts of about ROWS_PER_TASK.
+    A null in a key equals nothing, so all rows of a base with one stay.
+    """
+    stored = _folders(spark, path, [c for c in [log.base, *log.deltas] if c is not None])
+    # the collection is a folder, so counting reads no column
+    parts = F.ceil(F.count("*") / (buckets * ROWS_PER_TASK))
+    large = stored.groupBy(F.col("collection_id").alias("of")).agg(parts.alias("parts")).where("parts > 1")
+    base = F.col("commit") == (log.base.number if log.base else -1)
+    part = F.pmod(F.xxhash64(F.lit("part"), *RECORD_KEYS), F.coalesce("parts", F.lit(1).cast("long")))
+    place = ["collection_id", "bucket", "part"]
+    rows = stored.join(F.broadcast(large), F.col("collection_id").eqNullSafe(F.col("of")), "left")
+    rows = rows.withColumns({
+        "bucket": bucket_of(buckets), "part": part, "apart": base & (F.col("collection_id").isNull() | F.col("id").isNull()),
+    }).repartition(*place)
+    latest = Window.partitionBy(*place, "id", "apart").orderBy(base, F.col("commit").desc())
+    rows = rows.withColumn("_n", F.row_number().over(latest)).where((F.col("_n") == 1) | F.col("apart"))
+    return rows.select(*RECORD.names, "bucket")
 
 
 def append_commit(spark: SparkSession, path: str, folder: str, records: int) -> Commit:
@@ -274,7 +303,7 @@ def compact(spark: SparkSession, path: str, buckets: int | None = None, seen: Lo
     if buckets is None:
         buckets = buckets_for(sum(c.records for c in [log.base, *log.deltas] if c is not None))
     folder = uuid.uuid4().hex
-    _write(current_records(spark, path, log=log), f"{path}/data/write={folder}", buckets)
+    _write(_folded(spark, path, log, buckets), f"{path}/data/write={folder}", buckets)
     n = _folders(spark, path, [Commit(0, "base", "", 0, folder, 0)]).count()
 
     def check(now: Log) -> None:

@@ -10,7 +10,7 @@ from concurrent.futures import ThreadPoolExecutor
 import pytest
 from pyspark.sql import functions as F
 
-from plan import physical
+from plan import physical, simple
 from shoal.operators.embed import HashingEmbedder
 from shoal.plans import collections as jobs
 from shoal.session import read_text
@@ -53,6 +53,35 @@ def test_overlapping_compactions_with_a_write_between(spark, tmp_path, monkeypat
     assert os.listdir(tmp_path / "t" / "data") == [f"write={outer.folder}"]
 
 
+def test_compaction_moves_each_row_once(spark, tmp_path, monkeypatch):
+    """Also where the keys of the later writes do not fit a broadcast; rows with a null key all stay."""
+    from shoal.operators import upsert
+
+    monkeypatch.setattr(upsert, "fits_broadcast", lambda *_: False)
+    monkeypatch.setattr(store, "ROWS_PER_TASK", 5)
+    path = str(tmp_path / "t")
+    store.write_records(rows(spark, *[(f"i{i}", "0") for i in range(60)], (None, "0")).union(rows(spark, ("a", "0"), collection=None)), path)
+    store.write_records(rows(spark, *[(f"i{i}", "1") for i in range(20)], (None, "1")).union(rows(spark, ("a", "1"), collection=None)), path)
+    store.write_records(rows(spark, *[(f"i{i}", "2") for i in range(10, 30)], ("new", "2")), path)
+    told = lambda: sorted(map(str, store.current_records(spark, path).select("collection_id", "id", "document").collect()))
+    want = told()
+    write, plans = store._write, []
+
+    def seen(df, folder, *buckets):
+        plans.append(simple(df))
+        write(df, folder, *buckets)
+
+    monkeypatch.setattr(store, "_write", seen)
+    for buckets in (1, 4):
+        assert store.compact(spark, path, buckets).records == 65
+        assert told() == want and len(want) == 65
+        store.write_records(rows(spark, ("i0", "3")), path)
+        want = sorted([w for w in want if "'i0'" not in w] + ["Row(collection_id='c', id='i0', document='3')"])
+    folds = [plans[0], plans[2]]
+    assert all(p.count("Exchange hashpartitioning(") == 2 and p.count("REPARTITION_BY_COL") == 1 for p in folds)  # one counts
+    assert not any("SortMergeJoin" in p for p in folds)
+
+
 def test_compaction_leaves_readers_their_files(spark, tmp_path):
     path = str(tmp_path / "t")
     store.write_records(rows(spark, ("a", "0")), path)
