@@ -2,8 +2,8 @@
 
 Benchmark passages and windows of documents are TF-IDF vectors over the
 passages' terms, projected to the leading singular directions. A randomised SVD
-finds those: tasks multiply their rows with a thin random matrix and the sums
-are orthogonalised. Windows close to a passage by cosine are candidates; the
+finds those: tasks multiply all their windows with a thin random matrix and the
+sums are orthogonalised. Windows close to a passage by cosine are candidates; the
 longest common subsequence of words and, for paraphrases, a check of the
 passage's answer decide.
 """
@@ -17,10 +17,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from shoal.llm.common import with_workers
-from shoal.session import stage
+from shoal.session import Scratch, stage
 
 # Passages searched in one pass over the documents; more take further passes.
 BLOCK_ITEMS = 1024
@@ -31,9 +32,13 @@ PASSAGE_WEIGHT = 8.0
 # Terms in more than this share of the documents weigh nothing, unless a passage would
 # lose more than this part of its length by that.
 COMMON, LOSS = 0.1, 0.3
-# Documents whose windows take part in the fit of the latent space, about. All
-# documents count for the term weights, and all are searched.
+# The windows of more documents than this weigh together as those of so many, so
+# that passages keep their say in the latent space. All windows take part in its fit.
 FIT_DOCS = 2000
+# Term occurrences that are multiplied at once.
+PART = 1 << 14
+# Terms whose sums travel together, and groups of tasks that are added up first.
+SLICE, GROUPS = 256, 32
 # A window is a candidate at this cosine, if it holds this share of the passage.
 MIN_COSINE, MIN_SHARE = 0.25, 0.5
 # Share of a passage's words in common order that decides alone, and with its answer.
@@ -120,22 +125,35 @@ def blocks_of(benchmark: DataFrame, ident: str, text: str) -> Iterator[Block]:
         yield block()
 
 
-def term_weights(texts: DataFrame, block: Block) -> np.ndarray:
-    """Inverse document frequency of the block's terms over all documents; entry 0 is 0."""
+def numbered(texts: DataFrame, block: Block) -> DataFrame:
+    """Term numbers of each text's words as little-endian unsigned 32-bit integers."""
     shared = texts.sparkSession.sparkContext.broadcast(block)
 
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        b = shared.value
+        for whole in batches:
+            for begin in range(0, whole.num_rows, 1024):
+                ids = [b.numbers(t).astype("<u4").tobytes() for t in whole.column("text").slice(begin, 1024).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary())], ["ids"])
+
+    return texts.select("text").mapInArrow(number, "ids binary")
+
+
+def term_weights(coded: DataFrame, block: Block) -> np.ndarray:
+    """Inverse document frequency of the block's terms over all documents; entry 0 is 0."""
+    terms = len(block.terms) + 1
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        b, rows = shared.value, 0
-        seen = np.zeros(len(b.terms) + 1, np.int64)
+        rows, seen = 0, np.zeros(terms, np.int64)
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                seen[np.unique(b.numbers(text))] += 1
+            for ids in batch.column("ids").to_pylist():
+                seen[np.frombuffer(ids, "<u4")] += 1  # once, however often a term occurs
                 rows += 1
         seen[0] = rows
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(seen))), pa.array(seen)], ["term", "n"])
 
-    sums = texts.mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    n = np.zeros(len(block.terms) + 1)
+    sums = coded.mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    n = np.zeros(terms)
     got = sums.orderBy("term").toArrow()  # one row per term of the block
     n[got.column("term").to_numpy()] = got.column("n").to_numpy()
     weights = np.log((n[0] + 1) / (n + 1)) + 0.1
@@ -147,43 +165,74 @@ def term_weights(texts: DataFrame, block: Block) -> np.ndarray:
     return rare
 
 
-def _bags(ids: np.ndarray, size: int) -> list[np.ndarray]:
-    return [ids[i : i + size] for i in range(0, len(ids), size)]
-
-
-def latent_space(texts: DataFrame, block: Block, weights: np.ndarray, seed: int = 17) -> np.ndarray:
-    """Leading right singular vectors of the TF-IDF rows of windows and passages, one row per term."""
-    spark = texts.sparkSession
+def row_product(bags: list[np.ndarray], size: int, weights: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    """Sum over rows a of a (a . basis); a row is `size` term numbers of a bag, scaled to length one."""
+    out = np.zeros_like(basis)
+    if not bags:
+        return out
+    per = np.array([-(-len(bag) // size) for bag in bags])
+    ids = np.concatenate(bags)
+    lengths = np.array([len(bag) for bag in bags])
+    within = np.arange(len(ids)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    row = np.repeat(np.cumsum(per) - per, lengths) + within // size
+    value = weights[ids]
+    heavy = np.flatnonzero(value > 0)
+    ids, row, value = ids[heavy], row[heavy], value[heavy]
+    norms = np.sqrt(np.bincount(row, weights=value * value))
+    value = (value / norms[row]).astype(basis.dtype)[:, None]
+    starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.zeros(0, np.int64)
+    cuts = np.searchsorted(starts, np.arange(0, len(ids), PART))  # parts of whole rows
+    cuts = np.append(starts[np.unique(cuts[cuts < len(starts)])], len(ids))
+    for lo, hi in zip(cuts, cuts[1:]):
+        some, scale = ids[lo:hi], value[lo:hi]
+        of = np.cumsum(np.r_[True, row[lo + 1 : hi] != row[lo : hi - 1]]) - 1
+        begins = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+        dots = np.add.reduceat(basis[some] * scale, begins, axis=0)
+        order = np.argsort(some, kind="stable")
+        by = some[order]
+        runs = np.flatnonzero(np.r_[True, by[1:] != by[:-1]])
+        out[by[runs]] += np.add.reduceat((dots[of] * scale)[order], runs, axis=0)
+    return out
+
+
+def latent_space(coded: DataFrame, block: Block, weights: np.ndarray, seed: int = 17) -> np.ndarray:
+    """Leading right singular vectors of the TF-IDF rows of all windows and passages, one row per term."""
+    context = coded.sparkSession.sparkContext
     terms = len(block.terms) + 1
     wide = min(RANK + 16, terms)
-    total = texts.count()
-    unit = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
-    chosen = stage(texts.where(unit < float(min(1.0, FIT_DOCS / max(1, total)))), "fit")
-    shared = spark.sparkContext.broadcast(block)
+    share = min(1.0, FIT_DOCS / max(1, coded.count()))
     basis = np.linalg.qr(np.random.default_rng(seed).standard_normal((terms, wide)))[0]
+    items = [np.array(item) for item in block.items]
 
-    def row_product(bags: list[np.ndarray], basis: np.ndarray, scale: float = 1.0) -> np.ndarray:
-        """Sum over rows a of a (a . basis), each row scaled to one length."""
-        out = np.zeros_like(basis)
-        for bag in bags:
-            bag = bag[weights[bag] > 0]
-            if not len(bag):
-                continue
-            values = weights[bag] * (scale / np.linalg.norm(weights[bag]))
-            np.add.at(out, bag, np.outer(values, values @ basis[bag]))
-        return out
+    def add(key, table):
+        table = table.sort_by("task")  # so that reruns agree
+        total = sum(np.frombuffer(raw) for raw in table.column("sum").to_pylist())
+        return pa.table({"at": table.column("at")[:1], "task": table.column("task")[:1], "sum": pa.array([total.tobytes()], pa.binary())})
 
     for _ in range(POWER_STEPS):
-        sent = spark.sparkContext.broadcast(basis)
+        sent = context.broadcast((weights, basis.astype(np.float32)))
 
         def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            b = shared.value
-            bags = [w for batch in batches for t in batch.column("text").to_pylist() for w in _bags(b.numbers(t), 2 * SHORTEST)]
-            yield pa.RecordBatch.from_arrays([pa.array([row_product(bags, sent.value).tobytes()], pa.binary())], ["sum"])
-
-        image = row_product([np.array(item) for item in block.items], basis, PASSAGE_WEIGHT)
-        for row in chosen.mapInArrow(multiply, "sum binary").toLocalIterator():
-            image += np.frombuffer(row["sum"]).reshape(terms, wide)
+            weights, basis = sent.value
+            out = np.zeros(basis.shape)
+            for batch in batches:
+                for begin in range(0, batch.num_rows, 1024):
+                    bags = [np.frombuffer(ids, "<u4") for ids in batch.column("ids").slice(begin, 1024).to_pylist()]
+                    out += row_product(bags, 2 * SHORTEST, weights, basis)
+            task = TaskContext.get().partitionId()
+            for at in range(0, len(out), SLICE):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([at]), pa.array([task]), pa.array([task % GROUPS]), pa.array([out[at : at + SLICE].tobytes()], pa.binary())],
+                    ["at", "task", "part", "sum"],
+                )
+
+        kind = "at long, task long, sum binary"
+        sums = coded.mapInArrow(multiply, "at long, task long, part long, sum binary")
+        sums = sums.groupBy("at", "part").applyInArrow(add, kind).groupBy("at").applyInArrow(add, kind)
+        image = PASSAGE_WEIGHT**2 * row_product(items, max(map(len, items)), weights, basis)
+        for row in sums.toLocalIterator():  # one row per SLICE terms of the block
+            image[row["at"] : row["at"] + SLICE] += share * np.frombuffer(row["sum"]).reshape(-1, wide)
+        sent.unpersist()
         basis, _ = np.linalg.qr(image)
     small = np.linalg.svd(image.T @ basis)[0] if wide else np.zeros((0, 0))
     return (basis @ small)[:, :RANK]
@@ -192,8 +241,10 @@ def latent_space(texts: DataFrame, block: Block, weights: np.ndarray, seed: int
 def prepare(docs: DataFrame, block: Block, text: str = "text") -> Block:
     """Fill in the latent vectors of the block's terms and passages."""
     texts = docs.select(F.col(text).cast("binary").alias("text"))
-    weights = term_weights(texts, block)
-    block.latent = (latent_space(texts, block, weights) * weights[:, None]).astype(np.float32)
+    with Scratch(docs.sparkSession):
+        coded = stage(numbered(texts, block), "numbers")
+        weights = term_weights(coded, block)
+        block.latent = (latent_space(coded, block, weights) * weights[:, None]).astype(np.float32)
     block.heavy = weights > 0
     block.own = np.stack([block.latent[item].sum(axis=0) for item in block.items])
     return block

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from shoal.llm import context_mix, queries, rank_vbyte
+from shoal.llm import context_mix, latent_leaks, queries, rank_vbyte
 from shoal.llm.common import remainder
 from shoal.llm.context_mix import score_texts
 from shoal.llm.latent_leaks import common_length, find_leaks, judge, without_leaks, words_of
@@ -148,6 +148,45 @@ def test_leaks(spark, edge_docs, no_docs):
     assert find_leaks(no_docs, bench).count() == 0 and find_leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_latent_space_takes_in_every_document(spark, monkeypatch):
+    """As by outer products of all windows, also of more documents than weigh as they are."""
+    monkeypatch.setattr(latent_leaks, "FIT_DOCS", 5)
+    monkeypatch.setattr(latent_leaks, "RANK", 4)
+    monkeypatch.setattr(latent_leaks, "SLICE", 16, raising=False)
+    monkeypatch.setattr(latent_leaks, "PART", 20, raising=False)
+    rng = np.random.default_rng(3)
+    words = np.array([f"w{i}" for i in range(50)])
+    texts = [" ".join(rng.choice(words, 70)) + " filler" * (i % 3) for i in range(40)] + ["", None]
+    bench = spark.createDataFrame([(i, " ".join(words[i * 10 : i * 10 + 10])) for i in range(4)], "item_id long, text string")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    (block,) = latent_leaks.blocks_of(bench, "item_id", "text")
+    latent_leaks.prepare(docs, block)
+
+    numbers = [block.numbers((t or "").encode()) for t in texts]
+    n = np.array([len(texts)] + [sum(t in x for x in numbers) for t in range(1, len(block.terms) + 1)])
+    weights = np.log((n[0] + 1) / (n + 1)) + 0.1
+    weights[0] = 0.0  # every passage would lose all of its terms, which are common here
+
+    def outer(rows):
+        total = np.zeros((len(n), len(n)))
+        for row in rows:
+            a = np.zeros(len(n))
+            np.add.at(a, row, weights[row])
+            length = np.linalg.norm(weights[row])
+            total += np.outer(a, a) / (length * length or 1.0)
+        return total
+
+    wide, size = 20, 2 * latent_leaks.SHORTEST
+    windows = [x[i : i + size] for x in numbers for i in range(0, len(x), size)]
+    whole = outer(windows) * 5 / len(texts) + latent_leaks.PASSAGE_WEIGHT**2 * outer([np.array(i) for i in block.items])
+    basis = np.linalg.qr(np.random.default_rng(17).standard_normal((len(n), wide)))[0]
+    for _ in range(latent_leaks.POWER_STEPS):
+        image = whole @ basis
+        basis = np.linalg.qr(image)[0]
+    want = (basis @ np.linalg.svd(image.T @ basis)[0])[:, :4] * weights[:, None]
+    assert np.abs(block.latent @ block.latent.T - want @ want.T).max() < 1e-3 * np.abs(want @ want.T).max()
+
+
 @needs_tables
 def test_leaks_against_exact_search(spark, small):
     bench = spark.read.parquet(f"{TABLES}/benchmark.parquet")
