@@ -57,6 +57,17 @@ def test_scores_empty(no_docs):
     assert score_texts(no_docs, F.lit(False)).count() == 0
 
 
+def test_every_training_text_trains_the_weights(spark):
+    texts = spark.createDataFrame([(f"some words of text {i} come again and again {i % 3}".encode(),) for i in range(60)], "text binary")
+    texts = texts.where(F.pmod(F.xxhash64("text"), F.lit(8)) != 0).repartition(3)
+    counts = collections.Counter(t for r in texts.collect() for t in tokens(r["text"].decode()))
+    book = spark.sparkContext.broadcast(context_mix.Book({w: n for w, n in counts.items() if n > 1}, sum(n == 1 for n in counts.values())))
+    mixer = context_mix.fit(texts, book, sum(counts.values()))
+    assert (mixer.weights != np.float32(0.3)).any()
+    start = context_mix.Mixer(mixer.slots)
+    assert np.abs(mixer.map - start.map).max() > 0.01
+
+
 def segmentations(word, pieces, single, probs):
     """Sum over all ways to cut a word, by recursion."""
     if not word:
