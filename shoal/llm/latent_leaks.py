@@ -125,18 +125,20 @@ def blocks_of(benchmark: DataFrame, ident: str, text: str) -> Iterator[Block]:
         yield block()
 
 
-def numbered(texts: DataFrame, block: Block) -> DataFrame:
-    """Term numbers of each text's words as little-endian unsigned 32-bit integers."""
+def numbered(docs: DataFrame, block: Block, ident: str, text: str) -> DataFrame:
+    """ident and the term numbers of its text's words as little-endian unsigned 32-bit integers."""
+    texts = docs.select(F.col(ident).cast("long").alias("ident"), F.col(text).cast("binary").alias("text"))
     shared = texts.sparkSession.sparkContext.broadcast(block)
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b = shared.value
         for whole in batches:
             for begin in range(0, whole.num_rows, 1024):
-                ids = [b.numbers(t).astype("<u4").tobytes() for t in whole.column("text").slice(begin, 1024).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary())], ["ids"])
+                batch = whole.slice(begin, 1024)
+                ids = [b.numbers(t).astype("<u4").tobytes() for t in batch.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column("ident"), pa.array(ids, pa.binary())], ["ident", "ids"])
 
-    return texts.select("text").mapInArrow(number, "ids binary")
+    return texts.mapInArrow(number, "ident long, ids binary")
 
 
 def term_weights(coded: DataFrame, block: Block) -> np.ndarray:
@@ -152,7 +154,7 @@ def term_weights(coded: DataFrame, block: Block) -> np.ndarray:
         seen[0] = rows
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(seen))), pa.array(seen)], ["term", "n"])
 
-    sums = coded.mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    sums = coded.select("ids").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
     n = np.zeros(terms)
     got = sums.orderBy("term").toArrow()  # one row per term of the block
     n[got.column("term").to_numpy()] = got.column("n").to_numpy()
@@ -185,13 +187,26 @@ def row_product(bags: list[np.ndarray], size: int, weights: np.ndarray, basis: n
     cuts = np.append(starts[np.unique(cuts[cuts < len(starts)])], len(ids))
     for lo, hi in zip(cuts, cuts[1:]):
         some, scale = ids[lo:hi], value[lo:hi]
-        of = np.cumsum(np.r_[True, row[lo + 1 : hi] != row[lo : hi - 1]]) - 1
-        begins = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
-        dots = np.add.reduceat(basis[some] * scale, begins, axis=0)
+        begins = np.flatnonzero(np.r_[True, row[lo + 1 : hi] != row[lo : hi - 1]])
+        held = np.diff(np.append(begins, hi - lo))
+        longest = np.argsort(-held, kind="stable")  # rows with more terms first, then term by term
+        begins, held = begins[longest], held[longest]
+        dots = np.zeros((len(begins), basis.shape[1]), basis.dtype)
+        term = np.empty_like(dots)
+        for at in range(int(held[0])):
+            m = int(np.searchsorted(-held, -at, side="left"))
+            place = begins[:m] + at
+            np.take(basis, some[place], axis=0, out=term[:m], mode="clip")
+            term[:m] *= scale[place]
+            dots[:m] += term[:m]
+        of = np.empty(hi - lo, np.int64)
+        of[np.arange(hi - lo) - np.repeat(np.cumsum(held) - held, held) + np.repeat(begins, held)] = np.repeat(np.arange(len(held)), held)
         order = np.argsort(some, kind="stable")
         by = some[order]
         runs = np.flatnonzero(np.r_[True, by[1:] != by[:-1]])
-        out[by[runs]] += np.add.reduceat((dots[of] * scale)[order], runs, axis=0)
+        back = np.take(dots, of[order], axis=0)
+        back *= scale[order]
+        out[by[runs]] += np.add.reduceat(back, runs, axis=0)
     return out
 
 
@@ -227,7 +242,7 @@ def latent_space(coded: DataFrame, block: Block, weights: np.ndarray, seed: int
                 )
 
         kind = "at long, task long, sum binary"
-        sums = coded.mapInArrow(multiply, "at long, task long, part long, sum binary")
+        sums = coded.select("ids").mapInArrow(multiply, "at long, task long, part long, sum binary")
         sums = sums.groupBy("at", "part").applyInArrow(add, kind).groupBy("at").applyInArrow(add, kind)
         image = PASSAGE_WEIGHT**2 * row_product(items, max(map(len, items)), weights, basis)
         for row in sums.toLocalIterator():  # one row per SLICE terms of the block
@@ -238,18 +253,22 @@ def latent_space(coded: DataFrame, block: Block, weights: np.ndarray, seed: int
     return (basis @ small)[:, :RANK]
 
 
-def prepare(docs: DataFrame, block: Block, text: str = "text") -> Block:
-    """Fill in the latent vectors of the block's terms and passages."""
-    texts = docs.select(F.col(text).cast("binary").alias("text"))
-    with Scratch(docs.sparkSession):
-        coded = stage(numbered(texts, block), "numbers")
-        weights = term_weights(coded, block)
-        block.latent = (latent_space(coded, block, weights) * weights[:, None]).astype(np.float32)
+def fit(coded: DataFrame, block: Block) -> Block:
+    """Fill in the latent vectors of the block's terms and passages from all numbered texts."""
+    weights = term_weights(coded, block)
+    block.latent = (latent_space(coded, block, weights) * weights[:, None]).astype(np.float32)
     block.heavy = weights > 0
     block.own = np.stack([block.latent[item].sum(axis=0) for item in block.items])
     return block
 
 
+def prepare(docs: DataFrame, block: Block, text: str = "text") -> Block:
+    """`fit` to documents whose numbers nothing else needs."""
+    with Scratch(docs.sparkSession):
+        texts = docs.select(F.lit(0).alias("ident"), F.col(text).alias("text"))
+        return fit(stage(numbered(texts, block, "ident", "text"), "numbers"), block)
+
+
 def common_length(item: list[int], window: list[int]) -> int:
     """Length of the longest common subsequence, one machine-word operation per window word."""
     places: dict[int, int] = defaultdict(int)
@@ -280,14 +299,13 @@ def judge(item: list[int], window: list[int]) -> tuple[int, bool] | None:
     return (n, answer) if n >= SURE * len(item) or answer else None
 
 
-def search(texts: list[bytes | None], block: Block) -> Iterator[tuple[int, int, int, bool, int, int]]:
+def search(numbers: list[np.ndarray], block: Block) -> Iterator[tuple[int, int, int, bool, int, int]]:
     """(row, passage, common words, answer, first and last word) of each leak, the best per row and passage."""
-    numbers = [block.numbers(t) for t in texts]
     scales = block.scales()
     begin = 0
-    while begin < len(texts):
+    while begin < len(numbers):
         end, words = begin, 0
-        while end < len(texts) and (end == begin or words + len(numbers[end]) <= BATCH_WORDS):
+        while end < len(numbers) and (end == begin or words + len(numbers[end]) <= BATCH_WORDS):
             words += len(numbers[end])
             end += 1
         best: dict[tuple[int, int], tuple] = {}
@@ -376,7 +394,8 @@ def find_leaks(
     kind = f"`{ident}` long, {KIND}"
     out = None
     for block in blocks_of(benchmark, item, item_text):
-        shared = spark.sparkContext.broadcast(prepare(docs, block, text))
+        coded = stage(numbered(docs, block, ident, text), "numbers")
+        shared = spark.sparkContext.broadcast(fit(coded, block))
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             b = shared.value
@@ -384,14 +403,11 @@ def find_leaks(
                 for begin in range(0, whole.num_rows, 1024):
                     batch = whole.slice(begin, 1024)
                     idents = batch.column("ident").to_pylist()
-                    found = [
-                        (idents[r], b.idents[i], n, len(b.items[i]), answer, lo, hi)
-                        for r, i, n, answer, lo, hi in search(batch.column("text").to_pylist(), b)
-                    ]
+                    numbers = [np.frombuffer(ids, "<u4").astype(np.int64) for ids in batch.column("ids").to_pylist()]
+                    found = [(idents[r], b.idents[i], n, len(b.items[i]), answer, lo, hi) for r, i, n, answer, lo, hi in search(numbers, b)]
                     yield _leak_rows(found, ident)
 
-        rows = docs.select(F.col(ident).cast("long").alias("ident"), F.col(text).cast("binary").alias("text"))
-        hits = rows.mapInArrow(scan, kind)
+        hits = coded.mapInArrow(scan, kind)
         out = hits if out is None else out.unionAll(hits)
     return out if out is not None else spark.createDataFrame([], kind)
 
@@ -414,7 +430,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
                 for begin in range(0, whole.num_rows, 1024):
                     batch = whole.slice(begin, 1024)
                     texts = batch.column(columns.index(text)).cast(pa.binary()).to_pylist()
-                    leaks = {row for row, *_ in search(texts, shared.value)}
+                    leaks = {row for row, *_ in search([shared.value.numbers(t) for t in texts], shared.value)}
                     yield batch.filter(pa.array([i not in leaks for i in range(batch.num_rows)], pa.bool_()))
 
         docs = docs.mapInArrow(keep, docs.schema)
