@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -28,8 +29,10 @@ from shoal.session import remove_path, scratch_path, stage
 
 END = 2
 BLOCK_TOKENS = 1 << 16
-# Words, and pieces of words, whose ids a worker remembers; others are encoded again.
+# Pieces of words whose ids a worker remembers; others are encoded again.
 REMEMBERED = 800_000
+# Bytes of text whose different words are cut together.
+TOGETHER = 1 << 24
 
 _tokenizers: dict[str, tuple] = {}
 
@@ -39,21 +42,21 @@ def _tokenizer(path: str) -> tuple:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _tokenizers[path] = (Tokenizer.from_file(path), {}, {})
+        _tokenizers[path] = (Tokenizer.from_file(path), {})
     return _tokenizers[path]
 
 
 # Where this vocabulary never joins the parts of a word made of ASCII and the letters
-# U+00C0 to U+00FF; words with other characters stay whole.
+# U+00C0 to U+00FF; words with other characters stay whole, as `<|` may begin a special
+# token. A-Z have the ids of a-z.
 PIECES = re.compile(
     rb"'(?:[sStTmMdD]|[rR][eE]|[vV][eE]|[lL][lL])|(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+|[0-9]|[^\sA-Za-z0-9\xc3]+"
 )
 OTHER = re.compile(rb"[\xc2\xc4-\xff]|\xc3[\x97\xb7]|<\|")
-
-
-def pieces_of(word: bytes) -> list[bytes]:
-    """Parts of a word whose ids follow each other; `<|` may begin a special token."""
-    return [word] if OTHER.search(word) else PIECES.findall(word)
+PIECES_AND_ENDS = re.compile(PIECES.pattern + rb"|\n")
+# Stands between pieces that are encoded together; pieces that may not stand there.
+BETWEEN = b" 0 "
+ALONE = re.compile(rb"[0-9]|" + OTHER.pattern)
 
 
 def _remember(known: dict, new: dict) -> dict:
@@ -69,28 +72,89 @@ def id_type(path: str) -> str:
     return "<u2" if _tokenizer(path)[0].get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
 
 
-def token_bytes(texts: list[bytes | None], path: str) -> list[bytes]:
-    """Ids of each text as numbers of `id_type`, the end id last.
+def encode_pieces(pieces: list[bytes], path: str) -> dict[bytes, bytes]:
+    """Ids of each piece as numbers of `id_type`.
 
-    No token spans white space, so a text's ids are those of its words. Words
-    and the pieces of words seen before are looked up.
+    Pieces without digits and foreign letters go together with a number between
+    them, whose id none of them has; letters count alike in either case.
+    """
+    tokenizer, kind = _tokenizer(path)[0], id_type(path)
+    ids_of = lambda texts: [np.array(e.ids, kind) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    between = ids_of([BETWEEN.strip().decode()])[0]
+    alone = list(filter(ALONE.search, pieces))
+    plain, coded = list(set(pieces).difference(alone)), {}
+    for at in range(0, len(plain), 512):
+        some = plain[at : at + 512]
+        ids = ids_of([BETWEEN.join(some).decode()])[0]
+        ends = np.flatnonzero(ids == between[0])
+        if len(between) != 1 or len(ends) != len(some) - 1:
+            alone += some
+            continue
+        begins, ends = np.append(0, ends + 1).tolist(), np.append(ends, len(ids)).tolist()
+        raw, width = ids.tobytes(), ids.itemsize
+        coded.update((piece, raw[a * width : b * width]) for piece, a, b in zip(some, begins, ends))
+    for at in range(0, len(alone), 4096):
+        some = alone[at : at + 4096]
+        coded.update((piece, ids.tobytes()) for piece, ids in zip(some, ids_of([p.decode() for p in some])))
+    return coded
+
+
+def runs(values: pa.Array, places: pa.Array | np.ndarray, ends: np.ndarray, kind: pa.DataType) -> pa.Array:
+    """The large_binary `values` at `places`, joined up to each of `ends`."""
+    flat = values.take(pa.array(places))
+    offsets = np.frombuffer(flat.buffers()[1], np.int64)[np.append(0, ends)]
+    offsets = offsets if pa.types.is_large_binary(kind) else offsets.astype(np.int32)
+    return pa.Array.from_buffers(kind, len(ends), [None, pa.py_buffer(offsets), flat.buffers()[2]])
+
+
+def word_ids(words: pa.Array, path: str) -> pa.Array:
+    """Ids of each of some different words (string) as large_binary. Pieces seen before are looked up."""
+    _, known = _tokenizer(path)
+    text = b"\n".join(words.view(pa.binary()).to_pylist())
+    whole = np.zeros(len(words), bool)
+    if OTHER.search(text):
+        whole = np.array([OTHER.search(w) is not None for w in text.split(b"\n")])
+        text = b"\n".join(words.filter(pa.array(~whole)).view(pa.binary()).to_pylist())
+    # pieces of all words, each word with a line feed behind it; then words that stay whole
+    pieces = PIECES_AND_ENDS.findall(text.lower() + b"\n") if not whole.all() else []
+    for word in words.filter(pa.array(whole)).view(pa.binary()).to_pylist():
+        pieces += word, b"\n"
+    pieces = pa.array(pieces, pa.binary()).dictionary_encode()
+    different = pieces.dictionary.to_pylist()
+    coded = encode_pieces([p for p in different if p not in known and p != b"\n"], path)
+    coded[b"\n"] = b""
+    if _remember(known, coded) is known:
+        coded = known
+    found = [coded[p] if p in coded else known[p] for p in different]
+    end = different.index(b"\n") if different else 0
+    ends = np.flatnonzero(pieces.indices.to_numpy() == end) + 1
+    order = np.argsort(np.append(np.flatnonzero(~whole), np.flatnonzero(whole)))
+    return runs(pa.array(found, pa.large_binary()), pieces.indices, ends, pa.large_binary()).take(pa.array(order))
+
+
+def token_ids(texts: pa.Array, path: str) -> pa.Array:
+    """Ids of each text (binary or null) as numbers of `id_type`, the end id last.
+
+    No token spans white space, so a text's ids are those of its words. Each
+    different word of `texts` is cut once and its ids are put where it stands.
     """
-    tokenizer, known_words, known_pieces = _tokenizer(path)
-    kind = id_type(path)
-    end = np.array([END], kind).tobytes()
-    texts = [(t or b"").split() for t in texts]
-    cut = {w: pieces_of(w) for w in set().union(*texts) if w not in known_words}
-    new = list({p for ps in cut.values() for p in ps if p not in known_pieces})
-    coded = {}
-    for at in range(0, len(new), 4096):
-        some = new[at : at + 4096]
-        for piece, e in zip(some, tokenizer.encode_batch_fast([p.decode() for p in some], add_special_tokens=False)):
-            coded[piece] = np.array(e.ids, kind).tobytes()
-    other = _remember(known_pieces, coded)
-    words = {w: b"".join([known_pieces[p] if p in known_pieces else other[p] for p in ps]) for w, ps in cut.items()}
-    if _remember(known_words, words) is known_words:
-        return [b"".join(map(known_words.__getitem__, ws)) + end for ws in texts]
-    return [b"".join([known_words[w] if w in known_words else words[w] for w in ws]) + end for ws in texts]
+    if not len(texts):
+        return pa.array([], pa.binary())
+    words = pc.ascii_split_whitespace(pc.fill_null(texts, b"").view(pa.string()))
+    found = words.flatten().dictionary_encode()
+    # behind the words of each text stands its end, numbered after all words
+    ends = np.cumsum(pc.list_value_length(words).to_numpy() + 1)
+    inner = np.ones(len(found) + len(texts), bool)
+    inner[ends - 1] = False
+    places = np.full(len(inner), len(found.dictionary), np.int32)
+    places[inner] = found.indices.to_numpy()
+    end = pa.array([np.array([END], id_type(path)).tobytes()], pa.large_binary())
+    return runs(pa.concat_arrays([word_ids(found.dictionary, path), end]), places, ends, pa.binary())
+
+
+def token_bytes(texts: list[bytes | None], path: str) -> list[bytes]:
+    """`token_ids` of a list."""
+    return token_ids(pa.array(texts, pa.binary()), path).to_pylist()
 
 
 def encode_texts(docs: DataFrame, path: str, ident: str = "doc_id", text: str = "text") -> DataFrame:
@@ -100,10 +164,13 @@ def encode_texts(docs: DataFrame, path: str, ident: str = "doc_id", text: str =
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for begin in range(0, batch.num_rows, 512):
-                part = batch.slice(begin, 512)
-                ids = pa.array(token_bytes(part.column("text").to_pylist(), path), pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column("ident"), ids], ["ident", "ids"])
+            sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy().astype(np.int64))
+            begin = 0
+            while begin < batch.num_rows:
+                end = int(np.searchsorted(sizes, (sizes[begin - 1] if begin else 0) + TOGETHER, side="right"))
+                part = batch.slice(begin, max(1, end - begin))
+                yield pa.RecordBatch.from_arrays([part.column("ident"), token_ids(part.column("text"), path)], ["ident", "ids"])
+                begin += part.num_rows
 
     return rows.mapInArrow(encode, "ident long, ids binary")
 
@@ -114,11 +181,10 @@ def frequency_ranks(coded: DataFrame, kind: str) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(0, np.int64)
         for batch in batches:
-            for ids in batch.column("ids").to_pylist():
-                n = np.bincount(np.frombuffer(ids, kind))
-                if len(n) > len(seen):
-                    seen = np.concatenate([seen, np.zeros(len(n) - len(seen), np.int64)])
-                seen[: len(n)] += n
+            n = np.bincount(np.frombuffer(b"".join(batch.column("ids").to_pylist()), kind))
+            if len(n) > len(seen):
+                seen = np.concatenate([seen, np.zeros(len(n) - len(seen), np.int64)])
+            seen[: len(n)] += n
         tokens = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.int64()), pa.array(seen[tokens])], ["token", "n"])
 

@@ -8,6 +8,7 @@ import os
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -299,6 +300,39 @@ def test_words_encode_like_the_text():
     assert [np.frombuffer(g, rank_vbyte.id_type(path)).tolist() for g in got] == plain_ids(texts)
 
 
+class CountedTokenizer:
+    """A tokenizer that keeps what it is asked to encode."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.asked = tokenizer, []
+
+    def __getattr__(self, name):
+        return getattr(self.tokenizer, name)
+
+    def encode_batch_fast(self, texts, **options):
+        self.asked += texts
+        return self.tokenizer.encode_batch_fast(texts, **options)
+
+
+def test_new_words_are_encoded_together(monkeypatch):
+    rng = np.random.default_rng(9)
+    letters = list("abcdeXYÉéß")
+    words = ["".join(rng.choice(letters, 9)) + end for end in ("", ".", "'LL", "0") for _ in range(500)] + ["漢字", "İx", "<|endoftext|>", "0", "00"]
+    texts = [" ".join(rng.permutation(words)), None, "", " \t", "\n a 0 0 A\r\n", *words]
+    path = queries.vocabulary_file("word_bpe_49k.json")
+    counted = CountedTokenizer(rank_vbyte._tokenizer(path)[0])
+    monkeypatch.setitem(rank_vbyte._tokenizers, path, (counted, {}))
+    batch = pa.array([None if t is None else t.encode() for t in ["left out", *texts]], pa.binary()).slice(1)
+    got = [np.frombuffer(g, rank_vbyte.id_type(path)).tolist() for g in rank_vbyte.token_bytes(batch.to_pylist(), path)]
+    assert got == plain_ids(texts)
+    assert len(counted.asked) < 50  # 2,000 different words of new pieces
+    assert rank_vbyte.token_ids(batch, path).to_pylist() == rank_vbyte.token_bytes(batch.to_pylist(), path)
+    monkeypatch.setattr(rank_vbyte, "REMEMBERED", 100)
+    monkeypatch.setitem(rank_vbyte._tokenizers, path, (counted, {}))
+    assert rank_vbyte.token_ids(batch, path).to_pylist() == rank_vbyte.token_bytes(batch.to_pylist(), path)
+    assert rank_vbyte.token_bytes([], path) == []
+
+
 def test_tokens_of_edges(edge_docs, no_docs):
     got = rank_vbyte.tokenize(edge_docs, queries.vocabulary_file("word_bpe_49k.json")).orderBy("start").collect()
     rows = edge_docs.collect()
