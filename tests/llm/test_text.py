@@ -451,6 +451,39 @@ def test_mixing_bit_by_bit():
     assert logits[int(whole[0]) + (2 << 16)] == 0  # its own count taken out
 
 
+def test_learning_bit_by_bit(monkeypatch):
+    monkeypatch.setattr(context_mix, "STEP", 64)
+    rng = np.random.default_rng(5)
+    words = [f"w{i}".encode() for i in range(40)]
+    texts = [[*(words[i] for i in rng.integers(0, 40, n)), b"\n"] for n in (30, 200)]
+    stream = context_mix.Stream(context_mix.Book({w: i + 1 for i, w in enumerate(words[:30])}, 200), texts)
+    counts = np.zeros(2 << 16, np.int64)
+    for _, _, slots, bit in stream.bits(np.argsort(-stream.lengths, kind="stable"), 48):
+        np.add.at(counts, (slots * 2 + bit).ravel(), 1)
+    mixer = context_mix.Mixer(context_mix.pack(counts))
+    shape = mixer.weights.shape
+    weights, squares, used = np.full(shape, 0.3), np.ones(shape), np.zeros(shape)
+    bits = ones = 0
+    for part in (p for block in stream.blocks() for some in block for p in np.array_split(some, -(-len(some) // 64))):
+        for _, m, slots, bit in stream.bits(part, 48):
+            step = np.zeros(shape)
+            for i in range(m):
+                packed = [int(mixer.slots[s]) + (1 + int(bit[i]) << 16) for s in slots[:, i]]
+                x, sure = mixer.logits[packed].astype(float), mixer.sure[packed].astype(int)
+                at = (int(stream.spelled[part[i]]) * 8 + sure[2]) * 64 + sure[4] * 8 + sure
+                logit = sum(x[k] * weights[k, at[k]] for k in range(context_mix.CONTEXTS))
+                p = 1 / (1 + math.exp(-min(context_mix.LIMIT, max(-context_mix.LIMIT, logit))))
+                for k in range(context_mix.CONTEXTS):
+                    step[k, at[k]] += x[k] * (bit[i] - p)
+                    used[k, at[k]] += 1
+                bits, ones = bits + 1, ones + int(bit[i])
+            squares += step * step
+            weights += context_mix.RATE * step / np.sqrt(squares)
+    got_used, got_total, got_ones = mixer.learn(iter([stream]))
+    assert (got_used == used).all() and got_total.sum() == bits and got_ones.sum() == ones
+    assert np.allclose(mixer.weights, weights, atol=1e-4) and np.abs(weights - 0.3).max() > 0.01
+
+
 def test_chunks_by_hand(spark):
     keys, costs = np.array([5, 7, 5, 5]), np.array([-3.0, -9.0, -1.0, -2.0])
     key, cost, again, coded, named = context_mix.different_chunks(keys, costs)
