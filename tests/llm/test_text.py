@@ -484,6 +484,69 @@ def test_learning_bit_by_bit(monkeypatch):
     assert np.allclose(mixer.weights, weights, atol=1e-4) and np.abs(weights - 0.3).max() > 0.01
 
 
+def test_passes_are_those_of_stream_and_mixer(spark, monkeypatch):
+    monkeypatch.setattr(context_mix, "TOGETHER", 300)
+    monkeypatch.setattr(context_mix, "SEGMENT", 150)
+    monkeypatch.setattr(context_mix, "PART", 100)
+    monkeypatch.setattr(context_mix, "STEP", 64)
+    rng = np.random.default_rng(6)
+    words = [f"W{i}é" for i in range(60)] + ["x" * 50, "the"]
+    texts = [" ".join(words[i] for i in rng.integers(0, len(words), n)) for n in (0, 1, 149, 150, 400)] + [None, " \t\x0b the\x00 THE\r\n"]
+    rows = [(i, None if t is None else t.encode(), bool(i % 3 == 1)) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "ident long, text binary, held_out boolean").coalesce(1)
+    counts = {w.lower().encode(): i + 1 for i, w in enumerate(words[:35])}
+    book = context_mix.Book(counts, 200)
+    passes = context_mix.Passes(spark, book, np.arange(len(book.words) + 1.0), np.arange(len(book.words) + 1) % 2 == 0)
+    passes.limits = (300, 150, 100, 64, *passes.limits[4:])
+    batch = pa.RecordBatch.from_arrays([pa.array([r[1] for r in rows], pa.binary())], ["text"])
+    about = [(a, s) for segments, some in context_mix.segments_of([batch]) for s, a in zip(segments, some)]
+    streams = [context_mix.Stream(book, segments) for segments, _ in context_mix.segments_of([batch])]
+    assert len(streams) > 1 and [a[0] for a, _ in about].count(4) == 3
+
+    got = {r["word"]: (r["n_train"], r["n"]) for r in context_mix.word_counts(docs).collect()}
+    both, train = collections.Counter(), collections.Counter()
+    for _, text, held in rows:
+        both.update(context_mix.tokens_of(text))
+        train.update([] if held else context_mix.tokens_of(text))
+    assert got == {w: (train[w], n) for w, n in both.items()}
+
+    counts = np.zeros(2 << 16, np.int64)
+    for stream in streams:
+        for _, _, slots, bit in stream.bits(np.argsort(-stream.lengths, kind="stable"), 48):
+            np.add.at(counts, (slots * 2 + bit).ravel(), 1)
+    packed = np.zeros(1 << 16, np.uint16)
+    for at, part in context_mix.count_slots(docs.select("text"), passes, 16, 1000):
+        packed[at * context_mix.SLICE // 2 :][: len(part)] = part
+    assert (packed == context_mix.pack(counts)).all() and packed.any()
+
+    mixer = context_mix.Mixer(packed)
+    start = passes.model(mixer)
+    (learned,) = passes.run(docs.select("text"), "learn", 16, "part int, sums binary", start).collect()
+    used, total, ones = mixer.learn(iter(streams))
+    size = mixer.weights.size
+    sums = np.split(np.frombuffer(learned["sums"], float), [size, 2 * size, 2 * size + mixer.map.size])
+    assert (sums[1] == used.ravel()).all() and total.sum() == sums[2].sum() == sums[1].sum() / 6 and (sums[3].sum() == ones.sum())
+    assert np.allclose(sums[0], (mixer.weights * used).ravel(), rtol=1e-4, atol=1e-4)
+
+    mixer.map = rng.uniform(0.1, 0.9, mixer.map.shape).astype(np.float32)
+    schema = (
+        "ident long, held_out boolean, part int, row long, last boolean, n_tokens long, n_bytes long, n_known long, base double,"
+        " chunks array<struct<key: long, cost: double, again: long, coded: double, named: double>>, rare array<binary>, times array<long>"
+    )
+    rated = passes.run(docs, "score", 16, schema, passes.model(mixer)).collect()
+    assert [(r["row"], r["last"], r["n_tokens"]) for r in rated] == [(a[0], a[1], len(s)) for a, s in about]
+    for r, ((row, last), segment) in zip(rated, about):
+        stream = context_mix.Stream(book, [segment])
+        costs = np.add.reduceat(mixer.costs(stream, np.array([not rows[row][2]])), stream.chunks)
+        want = sorted(zip(*(c.tolist() for c in context_mix.different_chunks(stream.keys, costs))))
+        assert np.allclose(np.array(sorted(map(tuple, r["chunks"])))[:, 1:], np.array(want)[:, 1:], rtol=1e-4, atol=1e-4)
+        assert sorted(c["key"] for c in r["chunks"]) == [w[0] for w in want]
+        assert (r["ident"], r["held_out"], r["n_bytes"]) == (row, rows[row][2], sum(map(len, segment)) + len(segment) - last)
+        assert r["n_known"] == sum(stream.place % 2 == 0) and r["base"] == stream.place.sum()
+        others = collections.Counter(w for w, p in zip(segment, stream.place) if p == len(book.words))
+        assert dict(zip(map(bytes, r["rare"]), r["times"])) == others
+
+
 def test_chunks_by_hand(spark):
     keys, costs = np.array([5, 7, 5, 5]), np.array([-3.0, -9.0, -1.0, -2.0])
     key, cost, again, coded, named = context_mix.different_chunks(keys, costs)
