@@ -529,22 +529,21 @@ def test_passes_are_those_of_stream_and_mixer(spark, monkeypatch):
     assert np.allclose(sums[0], (mixer.weights * used).ravel(), rtol=1e-4, atol=1e-4)
 
     mixer.map = rng.uniform(0.1, 0.9, mixer.map.shape).astype(np.float32)
-    schema = (
-        "ident long, held_out boolean, part int, row long, last boolean, n_tokens long, n_bytes long, n_known long, base double,"
-        " chunks array<struct<key: long, cost: double, again: long, coded: double, named: double>>, rare array<binary>, times array<long>"
-    )
-    rated = passes.run(docs, "score", 16, schema, passes.model(mixer)).collect()
-    assert [(r["row"], r["last"], r["n_tokens"]) for r in rated] == [(a[0], a[1], len(s)) for a, s in about]
-    for r, ((row, last), segment) in zip(rated, about):
+    rated = passes.run(docs, "score", 16, context_mix.LOOKED.format("long"), passes.model(mixer)).collect()
+    ends = [i for i, r in enumerate(rated) if r["n_tokens"]]
+    assert [(rated[i]["row"], rated[i]["last"], rated[i]["n_tokens"]) for i in ends] == [(a[0], a[1], len(s)) for a, s in about]
+    for begin, end, ((row, last), segment) in zip([0, *[i + 1 for i in ends]], ends, about):
         stream = context_mix.Stream(book, [segment])
         costs = np.add.reduceat(mixer.costs(stream, np.array([not rows[row][2]])), stream.chunks)
-        want = sorted(zip(*(c.tolist() for c in context_mix.different_chunks(stream.keys, costs))))
-        assert np.allclose(np.array(sorted(map(tuple, r["chunks"])))[:, 1:], np.array(want)[:, 1:], rtol=1e-4, atol=1e-4)
-        assert sorted(c["key"] for c in r["chunks"]) == [w[0] for w in want]
+        want = {k: w for k, *w in zip(*(c.tolist() for c in context_mix.different_chunks(stream.keys, costs)))}
+        chunks = {r["key"]: [r["cost"], r["again"], r["coded"], r["named"]] for r in rated[begin:end] if r["key"] is not None}
+        assert chunks.keys() == want.keys() and all(np.allclose(chunks[k], want[k], rtol=1e-4, atol=1e-4) for k in want)
+        r = rated[end]
         assert (r["ident"], r["held_out"], r["n_bytes"]) == (row, rows[row][2], sum(map(len, segment)) + len(segment) - last)
         assert r["n_known"] == sum(stream.place % 2 == 0) and r["base"] == stream.place.sum()
         others = collections.Counter(w for w, p in zip(segment, stream.place) if p == len(book.words))
-        assert dict(zip(map(bytes, r["rare"]), r["times"])) == others
+        assert {bytes(r["word"]): r["times"] for r in rated[begin:end] if r["word"] is not None} == others
+        assert len(chunks) + len(others) == end - begin and {r["held_out"] for r in rated[begin:end]} == {rows[row][2]}
 
 
 def test_chunks_by_hand(spark):
